@@ -11,8 +11,7 @@ STOPWORDS = (
     "that this it its not no if then each any all also than into via per whether "
     "only when"
 ).split()
-KEYWORD_PATTERN = "[a-z]+"
-MIN_KEYWORD_LENGTH = 3
+KEYWORD_PATTERN = "[a-z]{3,}"  # maximal runs of letters longer than two
 
 # -- fixed values: element identity ---------------------------------------
 RELEVANT_KINDS = ("module", "class", "function")

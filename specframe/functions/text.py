@@ -10,25 +10,24 @@ from .. import constants as K
 
 def keywords(text: Column) -> Column:
     """Distinct significant lowercase words, in order of first appearance."""
-    words = F.array_distinct(
-        F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(K.KEYWORD_PATTERN), F.lit(0))
-    )
-    return F.filter(
-        words, lambda w: (F.length(w) >= K.MIN_KEYWORD_LENGTH) & ~w.isin(K.STOPWORDS)
-    )
+    words = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(K.KEYWORD_PATTERN), F.lit(0))
+    return F.array_except(words, F.split(F.lit(" ".join(K.STOPWORDS)), " "))
 
 
 def overlap_size(ext_keywords: Column, ref_keywords: Column) -> Column:
     return F.size(F.array_intersect(ref_keywords, ext_keywords))
 
 
+def let(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def keyword_overlap(ext: Column, ref: Column) -> Column:
     """struct(overlap, total): reference keywords found in ``ext``, and their number."""
-    ref_keywords = keywords(ref)
-    return F.struct(
-        overlap_size(keywords(ext), ref_keywords).alias("overlap"),
-        F.size(ref_keywords).alias("total"),
-    )
+    both = F.struct(keywords(ref).alias("r"), keywords(ext).alias("e"))
+    return let(both, lambda k: F.struct(
+        overlap_size(k["e"], k["r"]).alias("overlap"), F.size(k["r"]).alias("total")))
 
 
 def cover_threshold(n_keywords: Column) -> Column:

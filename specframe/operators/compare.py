@@ -21,47 +21,44 @@ ERROR_FIELDS = ("condition", "behavior", "severity")
 
 # -- coverage at corpus scale ----------------------------------------------
 
-def _keyword_index(ref_items: DataFrame) -> DataFrame:
-    """Reference items with keywords, needed overlap, and the keywords to look up.
-
-    An item that shares ``t`` of ``n`` keywords shares at least one of any ``n-t+1`` of
-    them, so only the rarest ``n-t+1`` are indexed (prefix filtering for set-overlap
-    joins).  Rarity only decides speed, never results."""
-    items = ref_items.select("ref_id", keywords(F.col("text")).alias("ref_kw")).withColumn(
-        "n", F.size("ref_kw")).filter("n > 0")
-    words = items.select("ref_id", "n", F.explode("ref_kw").alias("word"))
-    freq = words.groupBy("word").agg(F.count(F.lit(1)).alias("freq"))
-    ranked = words.join(freq, "word").groupBy("ref_id", "n").agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("freq", (-F.length("word")).alias("len"), "word"))),
-        lambda w: w["word"]).alias("ref_kw"))
-    need = X.cover_threshold(F.col("n"))
-    return ranked.select("ref_id", "n", "ref_kw", need.alias("need"),
-                         F.slice("ref_kw", F.lit(1), F.col("n") - need + 1).alias("rare"))
+def _rare_keywords(items: DataFrame, frequencies: DataFrame) -> DataFrame:
+    """``(ref_id, word)``: per item, the keywords to look candidates up by.
+
+    Two sets that share ``t`` of the ``n`` reference keywords share one of any
+    ``n-t+1`` of them, so the rarest ``n-t+1`` suffice (prefix filtering for
+    set-overlap joins).  Rarity decides the number of candidates, never the result."""
+    words = items.select("ref_id", "n", F.explode("ref_kw").alias("word")).join(frequencies, "word", "left")
+    ranked = words.groupBy("ref_id", "n").agg(F.array_sort(F.collect_list(F.struct(
+        F.coalesce("freq", F.lit(0)).alias("freq"), "word"))).alias("ranked"))
+    rare = F.slice("ranked", F.lit(1), F.col("n") - X.cover_threshold(F.col("n")) + 1)
+    return ranked.select("ref_id", F.explode(rare).alias("r")).select("ref_id", "r.word")
 
 
 def covers(ref_items: DataFrame, ext_items: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
     """Which items cover which: ``(ref_id, ext_id, overlap, n)``, qualifying pairs only.
 
-    ``ref_items`` ``(ref_id, text)``, ``ext_items`` ``(ext_id, text)``.  When the index
-    of the reference side is within the bound it travels to the items, every item meets
-    it where it is, and a pair is emitted at the first rare keyword it shares, so there
-    is no shuffle and no duplicate.  Otherwise keywords are shuffled, with only IDs as
-    payload, and the keyword sets are fetched for the candidates alone."""
-    index = _keyword_index(ref_items)
-    entries = index.select("ref_id", "n", "need", "ref_kw", "rare", F.explode("rare").alias("word"))
+    ``ref_items`` ``(ref_id, text)``, ``ext_items`` ``(ext_id, text)``.  Reference keywords
+    within the bound travel to the items: texts are read once and never shuffled, and
+    only co-occurrence counts, combined per item on the map side, are exchanged (not
+    even those when the items are bucketed by ``ext_id``).  A larger reference side is
+    looked up by its rarest keywords, with only IDs in the shuffle, and keyword sets are
+    fetched for the candidates alone."""
+    items = ref_items.select("ref_id", keywords(F.col("text")).alias("ref_kw")).select(
+        "*", F.size("ref_kw").alias("n")).filter("n > 0")
     ext = ext_items.select("ext_id", keywords(F.col("text")).alias("ext_kw"))
-    shared = F.size(F.array_intersect("ref_kw", "ext_kw"))
-    if is_small(entries, max_broadcast):
-        hits = ext.select("ext_id", "ext_kw", F.explode("ext_kw").alias("word")).join(
-            F.broadcast(entries), "word")
-        first = F.try_element_at(F.array_intersect("rare", "ext_kw"), F.lit(1)) == F.col("word")
-        pairs = hits.filter(first)
-    else:
-        words = ext.select("ext_id", F.explode("ext_kw").alias("word"))
-        candidates = words.join(entries.select("word", "ref_id"), "word").select("ref_id", "ext_id").distinct()
-        pairs = candidates.join(index, "ref_id").join(ext, "ext_id")
-    return pairs.select("ref_id", "ext_id", shared.alias("overlap"), "n", "need").filter(
-        F.col("overlap") >= F.col("need")).drop("need")
+    # the outer form keeps the optimizer from tokenizing twice to drop empty texts first
+    words = ext.select("ext_id", F.explode_outer("ext_kw").alias("word"))
+    index = items.select("ref_id", "n", F.explode("ref_kw").alias("word"))
+    enough = F.col("overlap") >= X.cover_threshold(F.col("n"))
+    if is_small(index, max_broadcast):
+        return words.join(F.broadcast(index), "word").groupBy("ref_id", "ext_id", "n").agg(
+            F.count(F.lit(1)).cast("int").alias("overlap")).filter(enough).select("ref_id", "ext_id", "overlap", "n")
+    vocabulary = index.select("word").distinct()
+    frequencies = words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).join(vocabulary, "word", "left_semi")
+    rare = _rare_keywords(items, frequencies)
+    candidates = words.join(rare, "word").select("ref_id", "ext_id").distinct()
+    return candidates.join(items, "ref_id").join(ext, "ext_id").select(
+        "ref_id", "ext_id", X.overlap_size(F.col("ext_kw"), F.col("ref_kw")).alias("overlap"), "n").filter(enough)
 
 
 def coverage_counts(ref_items: DataFrame, ext_items: DataFrame, max_broadcast: int = BROADCAST_ROWS) -> DataFrame:
@@ -69,7 +66,7 @@ def coverage_counts(ref_items: DataFrame, ext_items: DataFrame, max_broadcast: i
     n = covers(ref_items, ext_items, max_broadcast).groupBy("ref_id").agg(
         F.count(F.lit(1)).alias("covering"), F.max("overlap").alias("best_overlap"))
     return ref_items.select("ref_id", F.size(keywords(F.col("text"))).alias("n_keywords")).join(
-        broadcast_if_small(n), "ref_id", "left").select(
+        n, "ref_id", "left").select(
         "ref_id", "n_keywords", F.coalesce("covering", F.lit(0)).cast("bigint").alias("covering"),
         F.coalesce("best_overlap", F.lit(0)).alias("best_overlap"),
         F.col("covering").isNotNull().alias("covered"), (F.col("n_keywords") == 0).alias("no_keywords"))
@@ -124,47 +121,49 @@ def field_set_diff(ext: str = "ext", ref: str = "ref") -> Column:
 
 def purpose_overlap(ext: Column, ref: Column) -> Column:
     """Keyword overlap of two purposes with excerpts; null unless both exist."""
-    o = keyword_overlap(ext, ref)
-    return F.when(ext.isNotNull() & ref.isNotNull(), F.struct(
+    return F.when(ext.isNotNull() & ref.isNotNull(), X.let(keyword_overlap(ext, ref), lambda o: F.struct(
         o["overlap"].alias("overlap"), o["total"].alias("total"),
         X.percent(o["overlap"], o["total"]).alias("pct"),
         F.substring(ref, 1, K.EXCERPT_PURPOSE).alias("reference"),
-        F.substring(ext, 1, K.EXCERPT_PURPOSE).alias("extracted")))
+        F.substring(ext, 1, K.EXCERPT_PURPOSE).alias("extracted"))))
 
 
-def item_covered(ref_item_text: Column, ext_keywords: Column) -> Column:
-    """Does any item, given as an array of keyword arrays, cover this one?"""
-    ref_kw = keywords(ref_item_text)
-    return (F.size(ref_kw) > 0) & F.exists(
-        ext_keywords, lambda e: X.overlap_size(e, ref_kw) >= X.cover_threshold(F.size(ref_kw)))
+def item_covered(ref_keywords: Column, ext_keywords: Column) -> Column:
+    """Does any item, given as an array of keyword arrays, cover these keywords?"""
+    return (F.size(ref_keywords) > 0) & F.exists(
+        ext_keywords, lambda e: X.overlap_size(e, ref_keywords) >= X.cover_threshold(F.size(ref_keywords)))
 
 
 def _texts(items: Column, error: bool) -> Column:
-    return F.transform(items, lambda i: X.item_text(i, ERROR_FIELDS if error else None))
+    return F.transform(items, lambda i: X.item_text(i, ERROR_FIELDS)) if error else items
 
 
 def array_coverage(ext_texts: Column, ref_texts: Column) -> Column:
     """struct(matched, total, uncovered excerpts, field_missing) for two arrays of texts;
     null when the reference has none."""
-    ext_kw = F.transform(F.coalesce(ext_texts, F.array().cast("array<string>")), keywords)
-    flagged = F.transform(ref_texts, lambda r: F.struct(r.alias("text"), item_covered(r, ext_kw).alias("covered")))
-    absent = ext_texts.isNull()
-    open_items = F.filter(flagged, lambda f: ~f["covered"])
-    return F.when(ref_texts.isNotNull(), F.struct(
-        (F.size(flagged) - F.size(open_items)).alias("matched"), F.size(ref_texts).alias("total"),
-        F.when(absent, F.array().cast("array<string>")).otherwise(
-            F.transform(open_items, lambda f: F.substring(f["text"], 1, K.EXCERPT_ITEM))).alias("uncovered"),
-        absent.alias("field_missing")))
+    prepared = F.struct(
+        F.transform(ref_texts, lambda r: F.struct(r.alias("text"), keywords(r).alias("kw"))).alias("refs"),
+        F.transform(ext_texts, keywords).alias("exts"))
+    no_text = F.array().cast("array<string>")
+
+    def measure(s: Column) -> Column:
+        left_over = F.filter(s["refs"], lambda r: ~F.coalesce(item_covered(r["kw"], s["exts"]), F.lit(False)))
+        return X.let(left_over, lambda o: F.struct(
+            (F.size(s["refs"]) - F.size(o)).alias("matched"), F.size(s["refs"]).alias("total"),
+            F.when(s["exts"].isNull(), no_text).otherwise(
+                F.transform(o, lambda r: F.substring(r["text"], 1, K.EXCERPT_ITEM))).alias("uncovered"),
+            s["exts"].isNull().alias("field_missing")))
+
+    return F.when(ref_texts.isNotNull(), X.let(prepared, measure))
 
 
 def array_field_coverage(ext: str = "ext", ref: str = "ref") -> Column:
     """One entry per array field the reference has: its name and coverage."""
-    parts = []
-    for f in K.COVERAGE_FIELDS:
-        error = f == "error_conditions"
-        c = array_coverage(_texts(F.col(f"{ext}.{f}"), error), _texts(F.col(f"{ref}.{f}"), error))
-        parts.append(F.when(c.isNotNull(), F.struct(F.lit(f).alias("field"), c.alias("coverage"))))
-    return F.filter(F.array(*parts), lambda p: p.isNotNull())
+    sides = F.array(*[F.struct(
+        F.lit(f).alias("field"), _texts(F.col(f"{ref}.{f}"), f == "error_conditions").alias("refs"),
+        _texts(F.col(f"{ext}.{f}"), f == "error_conditions").alias("exts")) for f in K.COVERAGE_FIELDS])
+    return F.transform(F.filter(sides, lambda s: s["refs"].isNotNull()), lambda s: F.struct(
+        s["field"].alias("field"), array_coverage(s["exts"], s["refs"]).alias("coverage")))
 
 
 def compare_trust(ext: Column, ref: Column) -> Column:
@@ -173,8 +172,8 @@ def compare_trust(ext: Column, ref: Column) -> Column:
     def status(key: str) -> Column:
         e, r = ext[key], ref[key]
         if key == "sanitization":
-            o = keyword_overlap(e, r)
-            same = F.when(X.percent(o["overlap"], o["total"]) >= K.SANITIZATION_MATCH_PCT, F.lit("MATCH")).otherwise(F.lit("PARTIAL"))
+            share = X.let(keyword_overlap(e, r), lambda o: X.percent(o["overlap"], o["total"]))
+            same = F.when(share >= K.SANITIZATION_MATCH_PCT, F.lit("MATCH")).otherwise(F.lit("PARTIAL"))
         else:
             same = F.when(e == r, F.lit("MATCH")).otherwise(
                 F.concat(F.lit("MISMATCH ('"), e, F.lit("' vs ref '"), r, F.lit("')")))

@@ -7,6 +7,7 @@ project of any size is never gathered; counts are map-side aggregates.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -71,9 +72,9 @@ def _blank(value: Column) -> Column:
 
 
 def _lines(df: DataFrame, section: int, rank, pos, *lines) -> DataFrame:
-    """Rows of ``df`` to lines.  A line is text or a column; an array column stands for
-    several lines; null lines are left out."""
-    parts = [F.array(F.lit(x)) if isinstance(x, str) else x if getattr(x, "_many", False) else F.array(x) for x in lines]
+    """Rows of ``df`` to lines.  A line is text, a column, or several (``_many``); null
+    lines are left out."""
+    parts = [F.array(F.lit(x)) if isinstance(x, str) else x.column if isinstance(x, _Several) else F.array(x) for x in lines]
     text = F.filter(F.concat(*parts), lambda t: t.isNotNull())
     rank = F.lit(rank) if isinstance(rank, int) else rank
     pos = F.lit(None).cast(_POS) if pos is None else pos
@@ -81,11 +82,14 @@ def _lines(df: DataFrame, section: int, rank, pos, *lines) -> DataFrame:
                      F.posexplode(text).alias("ord", "text"))
 
 
-def _many(items: Column) -> Column:
-    """Mark an array of lines; a null array is no lines."""
-    out = F.coalesce(items, F.array().cast("array<string>"))
-    out._many = True
-    return out
+@dataclass(frozen=True)
+class _Several:
+    column: Column
+
+
+def _many(items: Column) -> _Several:
+    """An array of lines; a null array is no lines."""
+    return _Several(F.coalesce(items, F.array().cast("array<string>")))
 
 
 def _pos(df: DataFrame, column: str) -> Column:
@@ -94,7 +98,7 @@ def _pos(df: DataFrame, column: str) -> Column:
     return F.struct(F.lit(0).alias("rank"), F.col(column).cast("bigint").alias("pos"))
 
 
-def _bullets(title: str, items: Column) -> Column:
+def _bullets(title: str, items: Column) -> _Several:
     filled = F.concat(F.array(F.lit(f"- **{title}:**")), F.transform(items, lambda i: F.concat(F.lit("  - "), i)))
     return _many(F.when(F.size(items) > 0, filled))
 

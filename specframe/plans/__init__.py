@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_BINDINGS = ("queries_compare", "queries_graph")
+_BINDINGS = ("queries_compare", "queries_graph", "queries_findings", "queries_imports")
 
 
 def load_queries():

@@ -201,15 +201,14 @@ def skeleton_checks(t):
 @query("spec_meta", """
 SELECT 'n' || n_nationkey AS project_id, n_name AS project_name, '0.1.0' AS spec_version, 'java' AS source_language,
   CASE WHEN n_regionkey > 1 THEN CAST(n_regionkey AS VARCHAR) END AS source_version, '2024-01-01T00:00:00+00:00' AS created_at,
-  '2024-01-01T00:00:00+00:00' AS updated_at, (SELECT string_agg('t' || s % 3 || '=' || v, ',' ORDER BY s % 3) FROM
-   (SELECT DISTINCT s_suppkey % 3 AS s, s_nationkey AS v FROM supplier WHERE s_nationkey = n_nationkey)) AS tools FROM nation""")
+  '2024-01-01T00:00:00+00:00' AS updated_at, CASE WHEN n_regionkey > 0 THEN 't' || n_regionkey || '=' || n_name END AS tools FROM nation""")
 def spec_meta(t):
     p = t.nation.select(
         _text("n", F.col("n_nationkey")).alias("project_id"), F.col("n_name").alias("project_name"), F.lit("java").alias("language"),
         F.when(F.col("n_regionkey") > 1, F.col("n_regionkey").cast("string")).otherwise(F.lit("")).alias("source_version"))
-    tools = t.supplier.select(
-        _text("n", F.col("s_nationkey")).alias("project_id"), _text("t", F.col("s_suppkey") % 3).alias("tool"),
-        F.col("s_nationkey").cast("string").alias("version"))
+    tools = t.nation.select(
+        _text("n", F.col("n_nationkey")).alias("project_id"), _text("t", F.col("n_regionkey")).alias("tool"),
+        F.when(F.col("n_regionkey") > 0, F.col("n_name")).otherwise(F.lit("")).alias("version"))
     meta = graph.spec_meta(p, tools, "2024-01-01T00:00:00+00:00")
     return meta.withColumn("tools", F.array_join(F.array_sort(F.transform(
         F.map_entries("tools"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ","))

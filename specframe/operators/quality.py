@@ -31,25 +31,25 @@ def _shown(value: Column) -> Column:
 
 def required(column: str, path: str | None = None) -> Constraint:
     """The field must be there."""
-    return Constraint(path or column, "required", F.col(column).isNull(),
+    return Constraint(column if path is None else path, "required", F.col(column).isNull(),
                       F.lit(f"'{column.split('.')[-1]}' is a required property"))
 
 
 def one_of(column: str, values: Iterable[str], path: str | None = None) -> Constraint:
     """An existing value must be in the list."""
     values = list(values)
-    return Constraint(path or column, "enum", ~F.col(column).isin(values),
+    return Constraint(column if path is None else path, "enum", ~F.col(column).isin(values),
                       F.concat(F.lit("'"), _shown(F.col(column)), F.lit(f"' is not one of {values}")))
 
 
 def constant(column: str, value: str, path: str | None = None) -> Constraint:
-    return Constraint(path or column, "const", F.col(column) != value,
+    return Constraint(column if path is None else path, "const", F.col(column) != value,
                       F.concat(F.lit(f"'{value}' was expected, got '"), _shown(F.col(column)), F.lit("'")))
 
 
 def of_type(column: str, type_name: str, path: str | None = None) -> Constraint:
     """A value still held as text must read as ``type_name`` (a Spark type)."""
-    return Constraint(path or column, "type", F.col(column).isNotNull() & F.col(column).try_cast(type_name).isNull(),
+    return Constraint(column if path is None else path, "type", F.col(column).isNotNull() & F.col(column).try_cast(type_name).isNull(),
                       F.concat(F.lit("'"), _shown(F.col(column)), F.lit(f"' is not of type {type_name}")))
 
 
@@ -58,12 +58,12 @@ def known_keys(column: str, allowed: Iterable[str], path: str | None = None) ->
     allowed = list(allowed)
     keys = F.json_object_keys(column)
     extra = F.array_sort(F.array_except(keys, F.array(*[F.lit(a) for a in allowed])))
-    return Constraint(path or column, "unknown_key", F.size(extra) > 0,
+    return Constraint(column if path is None else path, "unknown_key", F.size(extra) > 0,
                       F.concat(F.lit("unexpected keys: "), F.array_join(extra, ", ")))
 
 
 def in_range(column: str, low: float, high: float, path: str | None = None) -> Constraint:
-    return Constraint(path or column, "range", ~F.col(column).between(low, high),
+    return Constraint(column if path is None else path, "range", ~F.col(column).between(low, high),
                       F.concat(_shown(F.col(column)), F.lit(f" is not between {low} and {high}")))
 
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_BINDINGS = ("queries_compare", "queries_graph", "queries_findings", "queries_imports")
+_BINDINGS = ("queries_compare", "queries_graph", "queries_findings", "queries_imports", "queries_sources", "queries_prompts")
 
 
 def load_queries():

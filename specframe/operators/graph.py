@@ -57,115 +57,155 @@ def source_root_prefix(nodes: DataFrame, source_root: Column | str) -> DataFrame
         F.min_by("prefix", F.when(F.col("prefix").isNotNull(), F.col("pos"))).alias("prefix"))
 
 
+_NODE = ["id", "kind", "name", "file", "line", "pos"]
+
+
+def link_parents(nodes: DataFrame, kinds=K.RELEVANT_KINDS, max_depth: int = 64) -> DataFrame:
+    """Nodes of ``kinds`` with their nearest enclosing node of those kinds.
+
+    Adds ``parent_id``, ``depth`` and the parent's kind, file and order.  One join on
+    the scope settles almost all nodes.  Only scopes of other kinds are followed
+    further, each distinct one once, however many nodes lie in it; unknown scopes,
+    cycles and chains beyond ``max_depth`` give no parent."""
+    hit = F.col("kind").isin(*kinds)
+    target = nodes.select(
+        P, F.col("id").alias("at"), hit.alias("at_hit"), F.nullif("scope", F.lit("")).alias("next"),
+        F.when(hit, F.struct("kind", "file", _order().alias("ord"))).alias("seen"))
+    have = [c for c in _NODE if c in nodes.columns]
+    first = materialize(
+        nodes.filter(hit).withColumn("to", F.nullif("scope", F.lit(""))).withColumn("at", spread_nulls("to", "id"))
+        .join(target, [P, "at"], "left").select(P, *have, "at", "at_hit", "next", "seen"), "linked")
+
+    pending = first.filter("NOT at_hit AND next IS NOT NULL").select(
+        P, F.col("at").alias("origin"), "next", F.col("at").alias("mark")).distinct()
+    resolved, hops = [], 1
+    while hops < max_depth and not pending.isEmpty():
+        hops += 1
+        step = materialize(pending.withColumnRenamed("next", "at").join(target, [P, "at"]), "scopes")
+        resolved.append(step.filter("at_hit").select(
+            P, F.col("origin").alias("at"), F.col("at").alias("parent_id"), F.lit(hops).alias("depth"), "seen"))
+        # a pointer that meets its mark again is on a cycle; marks move up at powers of two
+        mark = F.col("at") if hops & (hops - 1) == 0 else F.col("mark")
+        pending = step.filter("NOT at_hit AND next IS NOT NULL AND at != mark").select(P, "origin", "next", mark.alias("mark"))
+    direct = first.filter("at_hit IS NULL OR at_hit").select(
+        P, *have, F.when(F.col("at_hit"), F.col("at")).alias("parent_id"), F.when(F.col("at_hit"), F.lit(1)).alias("depth"), "seen")
+    far = first.filter("NOT at_hit").drop("seen")
+    none = [F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("int").alias("depth")]
+    if resolved:
+        far = far.join(reduce(DataFrame.unionByName, resolved), [P, "at"], "left").select(P, *have, "parent_id", "depth", "seen")
+    else:
+        far = far.select(P, *have, *none, F.lit(None).cast(first.schema["seen"].dataType).alias("seen"))
+    return direct.unionByName(far).select(
+        P, *have, "parent_id", "depth", F.col("seen.kind").alias("p_kind"), F.col("seen.file").alias("p_file"), F.col("seen.ord").alias("p_ord"))
+
+
 def resolve_parent(nodes: DataFrame, kinds=K.RELEVANT_KINDS, max_depth: int = 64) -> DataFrame:
-    """Nearest enclosing node of one of ``kinds`` along the scope chain.
-
-    ``(project_id, id, parent_id, depth)`` for every node of those kinds; unknown
-    scopes and chains longer than ``max_depth`` (cycles) give no parent.  Only nodes
-    of other kinds need walking: their own nearest ancestors are found by pointer
-    doubling, so the number of rounds is the logarithm of the longest such chain."""
-    wanted = F.col("kind").isin(*kinds)
-    slim = nodes.select(P, "id", wanted.alias("hit"), F.nullif("scope", F.lit("")).alias("scope"))
-    target = slim.select(P, F.col("id").alias("at"), F.col("hit").alias("at_hit"))
-
-    # state of a pointer: hit (true), still walking (false), left the graph (null)
-    step = materialize(slim.filter("scope IS NOT NULL").join(
-        target.withColumnRenamed("at", "scope"), [P, "scope"], "inner"
-    ).select(P, "id", "hit", F.col("scope").alias("at"), "at_hit", F.lit(1).alias("hops")), "scope-step")
-    own = step.filter("hit").drop("hit")
-    walk = step.filter("NOT hit").drop("hit")
-    span = 1
-    while span < max_depth and not walk.filter("NOT at_hit").isEmpty():
-        ahead = walk.select(P, F.col("id").alias("at"), F.col("at").alias("to"),
-                            F.col("at_hit").alias("to_hit"), F.col("hops").alias("more"))
-        moving = walk.filter("NOT at_hit").join(ahead, [P, "at"], "inner").select(
-            P, "id", F.col("to").alias("at"), F.col("to_hit").alias("at_hit"),
-            (F.col("hops") + F.col("more")).alias("hops"))
-        walk = materialize(walk.filter("at_hit").unionByName(moving), "scope-walk")
-        span *= 2
-    reached = walk.filter("at_hit").select(
-        P, F.col("id").alias("at"), F.col("at").alias("to"), F.col("hops").alias("more"))
-    direct = own.filter("at_hit").select(P, "id", F.col("at").alias("parent_id"), F.col("hops").alias("depth"))
-    walked = own.filter("NOT at_hit").join(reached, [P, "at"]).select(
-        P, "id", F.col("to").alias("parent_id"), (F.col("hops") + F.col("more")).alias("depth"))
-    found = direct.unionByName(walked).filter(F.col("depth") <= max_depth)
-    return slim.filter("hit").select(P, "id").join(found, [P, "id"], "left")
+    """``(project_id, id, parent_id, depth)`` for every node of ``kinds``."""
+    return link_parents(nodes, kinds, max_depth).select(P, "id", "parent_id", "depth")
 
 
 def element_ids(nodes: DataFrame, parents: DataFrame, prefixes: DataFrame,
                 max_rounds: int = 64, strict: bool = False) -> DataFrame:
-    """Deterministic hierarchical IDs.
-
-    ``(project_id, id, element_id, is_collision)``.  An ID depends on its parent's
-    final ID (when the parent comes earlier in kind rank and position) and on
-    whether an earlier node already took it, in which case it gets ``@line``.  Both
-    look backwards only, so rounds of *join with the parent, then first taker per
-    ID* reach the one fixed point; projects that did not change in a round are done
-    and leave the loop.  ``prefixes`` has ``(project_id, prefix, language)``.  Files
-    outside the prefix are left out, or stop the job with ``strict=True``."""
-    named = (
-        nodes.filter(F.col("kind").isin(*K.RELEVANT_KINDS))
-        .join(prefixes.select(P, "prefix", "language"), P)
-        .select(P, "id", "kind", "name", "line", _order().alias("ord"), "file",
-                N.qualified_name(F.col("file"), F.col("prefix"), F.col("language")).alias("qname"))
-    )
+    """Deterministic hierarchical IDs, ``(project_id, id, element_id, is_collision)``.
+
+    ``parents`` comes from ``resolve_parent``; ``prefixes`` has ``(project_id, prefix,
+    language)``.  Files outside the prefix are left out, or stop the job with
+    ``strict=True``."""
+    seen = nodes.select(P, F.col("id").alias("up"), F.col("kind").alias("p_kind"), F.col("file").alias("p_file"), _order().alias("p_ord"))
+    linked = (
+        nodes.filter(F.col("kind").isin(*K.RELEVANT_KINDS)).select(P, *_NODE)
+        .join(parents.select(P, "id", "parent_id"), [P, "id"], "left")
+        .withColumn("up", spread_nulls("parent_id", "id")).join(seen, [P, "up"], "left").drop("up"))
+    return assign_ids(linked, prefixes, max_rounds, strict).select(P, "id", "element_id", "is_collision")
+
+
+def assign_ids(linked: DataFrame, prefixes: DataFrame, max_rounds: int = 64, strict: bool = False) -> DataFrame:
+    """IDs for the rows of ``link_parents``; adds ``element_id``, ``is_collision`` and
+    ``p_eid``, the parent's ID where the parent comes earlier.
+
+    An ID depends on the final ID of an earlier parent and on whether an earlier node
+    took it, in which case it gets ``@line``.  IDs of different kinds never meet, and
+    parents of an earlier kind are final, so each kind is settled in turn, in one pass
+    unless its nodes lie in each other.  Those take rounds of *join with the parents of
+    the last round, then first taker per ID*: both look backwards only, so the rounds
+    reach the one fixed point, and projects without a change leave the loop."""
+    language, prefix = F.col("language"), F.col("prefix")
+    qname = N.qualified_name(F.col("file"), prefix, language)
+    named = linked.join(broadcast_if_small(prefixes.select(P, "prefix", "language")), P).withColumn("qname", qname)
     if strict:
         named = named.withColumn("qname", F.coalesce("qname", F.raise_error(
             F.concat(F.lit("file outside the source root: "), F.col("file")))))
-    named = named.filter("qname IS NOT NULL").drop("file")
-    up = named.select(P, F.col("id").alias("up"), F.col("kind").alias("p_kind"),
-                      F.col("qname").alias("p_qname"), F.col("ord").alias("p_ord"))
-    base = materialize(
-        named.join(parents.select(P, "id", "parent_id"), [P, "id"], "left")
-        .withColumn("up", spread_nulls("parent_id", "id")).join(up, [P, "up"], "left")
-        .select(P, "id", "kind", "name", "line", "ord", "qname", "parent_id", "p_kind", "p_qname",
-                F.coalesce(F.col("p_ord") < F.col("ord"), F.lit(False)).alias("p_earlier"))
-        .withColumn("element_id", F.lit(None).cast("string")), "ids-base")
-
-    done, state = [], base
-    for round_no in range(max_rounds):
-        state = materialize(_next_ids(state), "ids-round")
+    ord_ = _order()
+    named = named.filter("qname IS NOT NULL").select(
+        "*", ord_.alias("ord"), N.qualified_name(F.col("p_file"), prefix, language).alias("p_qname"),
+        F.coalesce((F.col("p_ord") < ord_) & (F.col("kind") != "module"), F.lit(False)).alias("reads")
+    ).drop("prefix", "language", "p_ord", "p_file")
+
+    finished: list[DataFrame] = []
+    for kind in K.RELEVANT_KINDS:
+        mine = named.filter(F.col("kind") == kind).withColumn(
+            "in_kind", F.coalesce(F.col("reads") & (F.col("p_kind") == kind), F.lit(False)))
+        start = F.lit(None).cast("string").alias("p_eid")
+        if finished:
+            above = reduce(DataFrame.unionByName, finished).select(P, F.col("id").alias("up"), F.col("element_id").alias("p_eid"))
+            key = F.when(F.col("reads") & ~F.col("in_kind"), F.col("parent_id"))
+            mine = mine.withColumn("key", key).withColumn("up", spread_nulls("key", "id")).join(above, [P, "up"], "left").drop("key", "up")
+        else:
+            mine = mine.select("*", start)
+        finished.append(_settle(mine, kind, max_rounds))
+    return reduce(DataFrame.unionByName, finished)
+
+
+def _settle(mine: DataFrame, kind: str, max_rounds: int) -> DataFrame:
+    """Final IDs of the nodes of one kind."""
+    columns = [*mine.columns, "element_id", "is_collision"]
+    fresh = mine.withColumn("element_id", F.lit(None).cast("string")).withColumn("is_collision", F.lit(False))
+    state = materialize(_next_ids(fresh, kind), f"ids-{kind}")
+    # parents in the same kind, or names that look like a suffixed ID, need more rounds
+    feedback = state.filter(F.col("in_kind") | F.col("base_id").rlike(_SUFFIXED))
+    if feedback.isEmpty():
+        return state.select(*columns)
+    done: list[DataFrame] = []
+    for _ in range(max_rounds):
+        ids = state.select(P, F.col("id").alias("parent_id"), F.col("element_id").alias("p_eid"))
+        nested = state.filter("in_kind").drop("p_eid").join(ids, [P, "parent_id"], "left")
+        both = state.filter("NOT in_kind").select(*columns).unionByName(nested.select(*columns))
+        state = materialize(_next_ids(both, kind), f"ids-{kind}")
         changed = state.filter("changed").select(P).distinct()
-        if round_no and changed.isEmpty():
-            done.append(state)
-            return reduce(DataFrame.unionByName, done).select(P, "id", "element_id", "is_collision")
-        if round_no:
-            changed = broadcast_if_small(changed)
-            done.append(state.join(changed, P, "left_anti"))
-            state = state.join(changed, P, "left_semi")
+        if changed.isEmpty():
+            return reduce(DataFrame.unionByName, [*done, state]).select(*columns)
+        changed = broadcast_if_small(changed)
+        done.append(state.join(changed, P, "left_anti"))
+        state = state.join(changed, P, "left_semi")
     raise RuntimeError(f"element IDs did not settle in {max_rounds} rounds")
 
 
-def _next_ids(state: DataFrame) -> DataFrame:
-    """One round: IDs from the parents' IDs of the last round, then collisions."""
-    has_flag = "is_collision" in state.columns
-    above = state.select(P, F.col("id").alias("parent_id"), F.col("element_id").alias("p_eid"))
-    keep = [P, "id", "kind", "name", "line", "ord", "qname", "parent_id", "p_kind", "p_qname", "p_earlier"]
-    linked = state.select(*keep, F.col("element_id").alias("old"),
-                          (F.col("is_collision") if has_flag else F.lit(False)).alias("old_flag"))
-    # modules never read a parent ID, nor do nodes whose parent comes later
-    reads = F.col("p_earlier") & (F.col("kind") != "module")
-    linked = linked.withColumn("reads", F.when(reads, F.col("parent_id"))).withColumn(
-        "up", spread_nulls("reads", "id")).join(
-        above.withColumnRenamed("parent_id", "up"), [P, "up"], "left")
+_SUFFIXED = r"@-?\d+$"
+
+
+def _next_ids(rows: DataFrame, kind: str) -> DataFrame:
+    """One round: IDs from the parents' IDs, then collisions.  The IDs seen before a node
+    are the bases of all earlier nodes and the suffixed IDs of earlier collisions."""
     scope = F.coalesce(N.after_colon(F.col("p_eid")), F.col("p_qname"), F.col("qname"))
-    own_file = (F.col("p_kind") == "module") & (N.last_part(F.col("qname")) == F.col("name"))
-    base_id = (
-        F.when(F.col("kind") == "module", F.concat(F.lit("mod:"), F.col("qname")))
-        .when((F.col("kind") == "class") & F.coalesce(own_file, F.lit(False)),
-              F.concat(F.lit("cls:"), F.col("qname")))
-        .when(F.col("kind") == "class", F.concat(F.lit("cls:"), scope, F.lit("."), F.col("name")))
-        .otherwise(F.concat(F.lit("fn:"), scope, F.lit("/"), F.col("name")))
-    )
-    based = linked.withColumn("base_id", base_id)
+    if kind == "module":
+        base_id = F.concat(F.lit("mod:"), F.col("qname"))
+    elif kind == "class":
+        own_file = (F.col("p_kind") == "module") & (N.last_part(F.col("qname")) == F.col("name"))
+        base_id = F.concat(F.lit("cls:"), F.when(own_file, F.col("qname")).otherwise(
+            F.concat(scope, F.lit("."), F.col("name"))))
+    else:
+        base_id = F.concat(F.lit("fn:"), scope, F.lit("/"), F.col("name"))
+    based = rows.withColumnRenamed("element_id", "old").withColumn("base_id", base_id)
     suffixed = F.concat(F.col("base_id"), F.lit("@"), F.col("line").cast("string"))
-    # every ID seen so far: each node's base, and the suffixed IDs of earlier collisions
-    taken = F.explode(F.when(F.col("old_flag"), F.array("base_id", suffixed)).otherwise(F.array("base_id")))
-    first = based.select(P, taken.alias("base_id"), "ord").groupBy(P, "base_id").agg(F.min("ord").alias("first"))
-    out = based.join(first, [P, "base_id"]).withColumn("is_collision", F.col("first") < F.col("ord"))
+    taken = F.explode(F.when(F.col("is_collision"), F.array("base_id", suffixed)).otherwise(F.array("base_id")))
+    # all rows are of one kind, so their position alone is their order
+    first = based.select(P, taken.alias("base_id"), "pos").groupBy(P, "base_id").agg(
+        F.min("pos").alias("first"), F.count(F.lit(1)).alias("takers")).filter("takers > 1").drop("takers")
+    out = based.join(first, [P, "base_id"], "left").withColumn(
+        "is_collision", F.coalesce(F.col("first") < F.col("pos"), F.lit(False))).drop("first")
     new_id = F.when(F.col("is_collision"), suffixed).otherwise(F.col("base_id"))
-    return out.select(*keep, new_id.alias("element_id"), "is_collision",
-                      (~F.col("old").eqNullSafe(new_id)).alias("changed"))
+    return out.withColumn("element_id", new_id).withColumn(
+        "changed", ~F.col("old").eqNullSafe(F.col("element_id"))).drop("old")
 
 
 def scanned_metadata() -> Column:
@@ -180,31 +220,25 @@ def build_elements(nodes: DataFrame, projects: DataFrame, max_rounds: int = 64,
     ``projects`` has ``(project_id, source_root, language)``.  Two nodes may still
     share an ID after the suffix: the later one's fields win, at the earlier one's
     position."""
-    rooted = nodes.join(projects.select(P, "source_root"), P)
-    prefixes = source_root_prefix(rooted, F.col("source_root"))
+    roots = broadcast_if_small(projects.select(P, "source_root"))
+    prefixes = source_root_prefix(nodes.select(P, "pos", "file").join(roots, P), F.col("source_root"))
     if strict:
         prefixes = prefixes.withColumn("prefix", F.coalesce("prefix", F.raise_error(
             F.concat(F.lit("no file below the source root of "), F.col(P)))))
     known = materialize(prefixes.join(projects, P), "prefixes")
-    parents = materialize(resolve_parent(nodes), "parents")
-    ids = materialize(element_ids(nodes, parents, known, max_rounds, strict), "ids")
-    slim = nodes.filter(F.col("kind").isin(*K.RELEVANT_KINDS)).select(
-        P, "id", "kind", "name", "file", "line", "pos")
-    parent_eids = ids.select(P, F.col("id").alias("up"), F.col("element_id").alias("parent"))
-    rows = (
-        slim.join(ids, [P, "id"]).join(parents, [P, "id"], "left")
-        .withColumn("parent_id", F.when(F.col("kind") != "module", F.col("parent_id")))
-        .withColumn("up", spread_nulls("parent_id", "id"))
-        .join(parent_eids, [P, "up"], "left")
-        .join(known.select(P, "prefix", "source_root"), P)
-        .select(
-            P, "element_id", _order().alias("pos"),
-            "is_collision", F.col("kind").alias("hierarchy_level"), F.col("id").alias("node_ref"), "name",
-            "parent", N.relative_file(F.col("file"), F.col("prefix"), F.col("source_root")).alias("file"), "line")
-    )
+    named = assign_ids(link_parents(nodes), known, max_rounds, strict)
+    # where the parent comes later its ID was no input, so it is looked up here
+    later = F.col("parent_id").isNotNull() & (F.col("kind") != "module") & F.col("p_eid").isNull()
+    ids = named.select(P, F.col("id").alias("parent_id"), F.col("element_id").alias("late_eid"))
+    linked = named.filter(~later).withColumn("late_eid", F.lit(None).cast("string")).unionByName(
+        named.filter(later).join(ids, [P, "parent_id"], "left"))
+    rows = linked.join(broadcast_if_small(known.select(P, "prefix", "source_root")), P).select(
+        P, "element_id", F.col("ord").alias("pos"), "is_collision", F.col("kind").alias("hierarchy_level"),
+        F.col("id").alias("node_ref"), "name", F.coalesce("p_eid", "late_eid").alias("parent"),
+        N.relative_file(F.col("file"), F.col("prefix"), F.col("source_root")).alias("file"), "line")
     fields = ["hierarchy_level", "node_ref", "name", "parent", "file", "line"]
     # only suffixed IDs, or IDs that look like one, can be shared: group just those
-    suspect = F.col("is_collision") | F.col("element_id").rlike(r"@-?\d+$")
+    suspect = F.col("is_collision") | F.col("element_id").rlike(_SUFFIXED)
     shared = rows.filter(suspect).groupBy(P, "element_id").agg(
         F.min("pos").alias("pos"), F.max_by(F.struct(*fields), "pos").alias("r")
     ).select(P, "element_id", "pos", *[F.col(f"r.{f}").alias(f) for f in fields])

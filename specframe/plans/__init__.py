@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-_BINDINGS = ("queries_compare", "queries_graph", "queries_findings", "queries_imports", "queries_sources", "queries_prompts")
+_BINDINGS = ("queries_compare", "queries_graph", "queries_findings", "queries_imports", "queries_sources", "queries_prompts", "queries_report")
 
 
 def load_queries():

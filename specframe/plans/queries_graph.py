@@ -27,39 +27,39 @@ def _pad(col: str, width: int):
     return F.lpad(F.col(col).cast("string"), width, "0")
 
 
-LINE_POS = "lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || lpad(CAST(l_linenumber AS VARCHAR), 2, '0') || " \
-           "lpad(CAST(l_partkey AS VARCHAR), 9, '0') || lpad(CAST(l_suppkey AS VARCHAR), 8, '0') || " \
-           "strftime(l_shipdate, '%Y%m%d') || lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 12, '0')"
+LINE_POS = "lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || l_linenumber || lpad(CAST(l_partkey AS VARCHAR), 8, '0') || " \
+           "lpad(CAST(l_suppkey AS VARCHAR), 5, '0') || date_diff('day', DATE '1970-01-01', l_shipdate) || " \
+           "lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 8, '0')"
 
 
 def line_pos():
-    """A key that is unique among line items and sorts them."""
-    return F.concat(_pad("l_orderkey", 10), _pad("l_linenumber", 2), _pad("l_partkey", 9), _pad("l_suppkey", 8),
-                    F.date_format("l_shipdate", "yyyyMMdd"),
-                    F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 12, "0"))
+    """A key of 37 digits that is unique among line items and sorts them."""
+    return F.concat(_pad("l_orderkey", 10), F.col("l_linenumber").cast("string"), _pad("l_partkey", 8), _pad("l_suppkey", 5),
+                    F.datediff("l_shipdate", F.lit("1970-01-01")).cast("string"),
+                    F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 8, "0"))
 
 
 def nodes(t: Tables) -> DataFrame:
     def rows(df, pos, node_id, kind, name, scope, file, line):
         return df.select(
-            F.lit("world").alias("project_id"), pos.alias("pos"), node_id.alias("id"), F.lit(kind).alias("kind"),
+            F.lit("world").alias("project_id"), pos.cast("decimal(38,0)").alias("pos"), node_id.alias("id"), F.lit(kind).alias("kind"),
             name.alias("name"), scope.cast("string").alias("scope"), file.alias("file"), line.cast("int").alias("line"))
 
     c = F.col
     region_file = F.when(c("r_regionkey") == 0, F.lit(ROOT + "__init__.py")).when(
         c("r_regionkey") == 1, F.lit(ROOT + "america/__init__.py")).otherwise(_text(ROOT, F.lower("r_name"), ".py"))
     parts = [
-        rows(t.region, _text("a", c("r_regionkey")), _text("r", c("r_regionkey")), "module", c("r_name"), F.lit(None),
+        rows(t.region, c("r_regionkey"), _text("r", c("r_regionkey")), "module", c("r_name"), F.lit(None),
              region_file, F.lit(1)),
-        rows(t.nation, _text("a", _pad("n_nationkey", 3)), _text("n", c("n_nationkey")), "package", c("n_name"),
+        rows(t.nation, c("n_nationkey"), _text("n", c("n_nationkey")), "package", c("n_name"),
              _text("r", c("n_regionkey")), F.lit(""), F.lit(0)),
-        rows(t.customer, _text("c", _pad("c_custkey", 10)), _text("c", c("c_custkey")), "class",
+        rows(t.customer, _text("2", _pad("c_custkey", 10)), _text("c", c("c_custkey")), "class",
              F.when(c("c_acctbal") > 5000, c("c_mktsegment")).otherwise(c("c_name")), _text("n", c("c_nationkey")),
              _text(ROOT, c("c_mktsegment"), ".java"), c("c_nationkey")),
-        rows(t.orders, _text(F.when(c("o_orderstatus") == "P", F.lit("b")).otherwise(F.lit("d")), _pad("o_orderkey", 10)),
+        rows(t.orders, _text(F.when(c("o_orderstatus") == "P", F.lit("1")).otherwise(F.lit("3")), _pad("o_orderkey", 10)),
              _text("o", c("o_orderkey")), "class", _text("Order", F.substring("o_orderpriority", 1, 1)),
              _text("c", c("o_custkey")), _text(ROOT, c("o_orderstatus"), "/order.py"), c("o_orderkey")),
-        rows(t.lineitem, _text("e", line_pos()), _text("l", line_pos()), "function", _text("L", c("l_linenumber")),
+        rows(t.lineitem, _text("1", line_pos()), _text("l", line_pos()), "function", _text("L", c("l_linenumber")),
              _text("o", c("l_orderkey")), _text(ROOT, c("l_returnflag"), ".py"), c("l_quantity")),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -80,14 +80,14 @@ def projects(t: Tables) -> DataFrame:
 
 _NODES = f"""
 nodes AS (
- SELECT 0 AS rank, 'a' || r_regionkey AS pos, 'r' || r_regionkey AS id, 'module' AS kind, r_name AS name, NULL AS scope,
+ SELECT 0 AS rank, CAST(r_regionkey AS VARCHAR) AS pos, 'r' || r_regionkey AS id, 'module' AS kind, r_name AS name, NULL AS scope,
    CASE r_regionkey WHEN 0 THEN '{ROOT}__init__.py' WHEN 1 THEN '{ROOT}america/__init__.py' ELSE '{ROOT}' || lower(r_name) || '.py' END AS file, 1 AS line FROM region
- UNION ALL SELECT 3, 'a' || lpad(CAST(n_nationkey AS VARCHAR), 3, '0'), 'n' || n_nationkey, 'package', n_name, 'r' || n_regionkey, '', 0 FROM nation
- UNION ALL SELECT 1, 'c' || lpad(CAST(c_custkey AS VARCHAR), 10, '0'), 'c' || c_custkey, 'class', CASE WHEN c_acctbal > 5000 THEN c_mktsegment ELSE c_name END,
+ UNION ALL SELECT 3, CAST(n_nationkey AS VARCHAR), 'n' || n_nationkey, 'package', n_name, 'r' || n_regionkey, '', 0 FROM nation
+ UNION ALL SELECT 1, '2' || lpad(CAST(c_custkey AS VARCHAR), 10, '0'), 'c' || c_custkey, 'class', CASE WHEN c_acctbal > 5000 THEN c_mktsegment ELSE c_name END,
    'n' || c_nationkey, '{ROOT}' || c_mktsegment || '.java', c_nationkey FROM customer
- UNION ALL SELECT 1, CASE WHEN o_orderstatus = 'P' THEN 'b' ELSE 'd' END || lpad(CAST(o_orderkey AS VARCHAR), 10, '0'), 'o' || o_orderkey, 'class',
+ UNION ALL SELECT 1, CASE WHEN o_orderstatus = 'P' THEN '1' ELSE '3' END || lpad(CAST(o_orderkey AS VARCHAR), 10, '0'), 'o' || o_orderkey, 'class',
    'Order' || substr(o_orderpriority, 1, 1), 'c' || o_custkey, '{ROOT}' || o_orderstatus || '/order.py', CAST(o_orderkey AS INT) FROM orders
- UNION ALL SELECT 2, 'e' || {LINE_POS}, 'l' || {LINE_POS}, 'function', 'L' || l_linenumber, 'o' || l_orderkey, '{ROOT}' || l_returnflag || '.py',
+ UNION ALL SELECT 2, '1' || {LINE_POS}, 'l' || {LINE_POS}, 'function', 'L' || l_linenumber, 'o' || l_orderkey, '{ROOT}' || l_returnflag || '.py',
    CAST(l_quantity AS INT) FROM lineitem),
 parents AS (
  SELECT id, NULL AS parent_id, NULL AS depth FROM nodes WHERE kind = 'module'
@@ -100,7 +100,7 @@ cb AS (SELECT n.*, c.c_mktsegment AS seg, CASE WHEN n.name = c.c_mktsegment THEN
    FROM nodes n JOIN customer c ON n.id = 'c' || c.c_custkey JOIN parents p ON p.id = n.id JOIN qn q ON q.id = p.parent_id),
 cids AS (SELECT id, seg, base, row_number() OVER (PARTITION BY base ORDER BY pos) > 1 AS is_collision, line FROM cb),
 cfin AS (SELECT id, seg, is_collision, CASE WHEN is_collision THEN base || '@' || line ELSE base END AS eid FROM cids),
-ob AS (SELECT n.*, CASE WHEN n.pos[1] = 'b' THEN 'cls:' || c.seg ELSE c.eid END || '.' || n.name AS base FROM nodes n JOIN cfin c ON c.id = n.scope WHERE n.id[1] = 'o'),
+ob AS (SELECT n.*, CASE WHEN n.pos[1] = '1' THEN 'cls:' || c.seg ELSE c.eid END || '.' || n.name AS base FROM nodes n JOIN cfin c ON c.id = n.scope WHERE n.id[1] = 'o'),
 oids AS (SELECT id, base, line, row_number() OVER (PARTITION BY base ORDER BY pos) > 1 AS is_collision FROM ob),
 ofin AS (SELECT id, is_collision, CASE WHEN is_collision THEN base || '@' || line ELSE base END AS eid FROM oids),
 lb AS (SELECT n.*, 'fn:' || substr(o.eid, 5) || '/' || n.name AS base FROM nodes n JOIN ofin o ON o.id = n.scope WHERE n.id[1] = 'l'),
@@ -179,7 +179,7 @@ def elements(t: Tables) -> DataFrame:
 @query("build_elements", f"""WITH {_NODES}, {_IDS}, {_ELEMENTS} SELECT element_id, hierarchy_level, node_ref, name, parent, file, line,
   first_pos AS pos, 'high/static_analysis/extracted' AS provenance FROM elements""")
 def build_elements(t):
-    return elements(t).select("element_id", "hierarchy_level", "node_ref", "name", "parent", "file", "line", F.col("pos.pos").alias("pos"),
+    return elements(t).select("element_id", "hierarchy_level", "node_ref", "name", "parent", "file", "line", F.col("pos.pos").cast("string").alias("pos"),
                               F.concat_ws("/", "metadata.confidence", "metadata.source", "metadata.status").alias("provenance"))
 
 

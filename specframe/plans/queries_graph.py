@@ -28,14 +28,14 @@ def _pad(col: str, width: int):
 
 
 LINE_POS = "lpad(CAST(l_orderkey AS VARCHAR), 10, '0') || l_linenumber || lpad(CAST(l_partkey AS VARCHAR), 8, '0') || " \
-           "lpad(CAST(l_suppkey AS VARCHAR), 5, '0') || date_diff('day', DATE '1970-01-01', l_shipdate) || " \
+           "lpad(CAST(l_suppkey AS VARCHAR), 5, '0') || lpad(CAST(date_diff('day', DATE '1970-01-01', l_shipdate) AS VARCHAR), 5, '0') || " \
            "lpad(CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR), 8, '0')"
 
 
 def line_pos():
     """A key of 37 digits that is unique among line items and sorts them."""
     return F.concat(_pad("l_orderkey", 10), F.col("l_linenumber").cast("string"), _pad("l_partkey", 8), _pad("l_suppkey", 5),
-                    F.datediff("l_shipdate", F.lit("1970-01-01")).cast("string"),
+                    F.lpad(F.datediff("l_shipdate", F.lit("1970-01-01")).cast("string"), 5, "0"),
                     F.lpad(F.round(F.col("l_extendedprice") * 100).cast("bigint").cast("string"), 8, "0"))
 
 

@@ -20,7 +20,7 @@ from .graph import P
 HEADER, DEPENDENCIES, FINDINGS, ELEMENTS, PATHS, SUMMARY = range(1, 7)
 FIRST, LAST = -1, 99
 ORDER = ["section", "rank", "pos", "ord"]
-_POS = "STRUCT<rank:INT,pos:BIGINT>"
+_POS = "STRUCT<rank:INT,pos:BIGINT,name:STRING>"
 
 
 # -- counts and groups (also useful as tables) -----------------------------
@@ -93,9 +93,16 @@ def _many(items: Column) -> _Several:
 
 
 def _pos(df: DataFrame, column: str) -> Column:
-    if df.schema[column].dataType.typeName() == "struct":
-        return F.col(column).cast(_POS)
-    return F.struct(F.lit(0).alias("rank"), F.col(column).cast("bigint").alias("pos"))
+    """The order of a row: a number, a text (such as a path), or rank and number."""
+    kind, col = df.schema[column].dataType.typeName(), F.col(column)
+    rank, number, name = F.lit(0), F.lit(0), F.lit(None)
+    if kind == "struct":
+        rank, number = col["rank"], col["pos"]
+    elif kind == "string":
+        name = col
+    else:
+        number = col
+    return F.struct(rank.cast("int").alias("rank"), number.cast("bigint").alias("pos"), name.cast("string").alias("name"))
 
 
 def _bullets(title: str, items: Column) -> _Several:
@@ -227,7 +234,7 @@ def element_lines(elements: DataFrame, projects: DataFrame) -> list[DataFrame]:
         _if(meta("notes"), ""), _if(meta("notes"), "**Review notes:** ", meta("notes")), "", "---")
     levels = ranked.select(P, "rank", "hierarchy_level").distinct()
     opening = _lines(levels, ELEMENTS, c("rank"), None, "", _c("### ", X.plural_heading(c("hierarchy_level"))), "")
-    last = F.struct(F.lit(2147483647).alias("rank"), F.lit(0).cast("bigint").alias("pos")).cast(_POS)
+    last = F.struct(F.lit(2147483647).alias("rank"), F.lit(0).cast("bigint").alias("pos"), F.lit(None).cast("string").alias("name"))
     closing = _lines(levels, ELEMENTS, c("rank"), last, "")
     return [_lines(projects, ELEMENTS, FIRST, None, "", "## Elements"), opening, body, closing]
 

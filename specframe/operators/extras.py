@@ -47,7 +47,7 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int, direction: str = "out") ->
     was reached before, and is written out.  ``direction``: ``out``, ``in`` or ``both``."""
     out = edges.select(P, F.col("src").alias("id"), F.col("dst").alias("to"))
     back = edges.select(P, F.col("dst").alias("id"), F.col("src").alias("to"))
-    steps = {"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct()
+    steps = materialize({"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct(), "steps")
     frontier = seeds.select(P, F.col("id").alias("seed"), "id").distinct()
     reached = materialize(frontier.withColumn("hops", F.lit(0)), "hops")
     frontier = reached.drop("hops")

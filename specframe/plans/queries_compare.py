@@ -132,7 +132,7 @@ def _order_contracts(t: Tables):
 
 def _line_contracts(t: Tables):
     """Extracted contracts from aggregates of each order's lines."""
-    agg = t.lineitem.groupBy("l_orderkey").agg(
+    agg = t.spread("lineitem").groupBy("l_orderkey").agg(
         F.count(F.lit(1)).alias("n"), F.min("l_returnflag").alias("lo"), F.max("l_returnflag").alias("hi"),
         F.max("l_quantity").alias("q"), F.min("l_linestatus").alias("ls"))
     c = F.col

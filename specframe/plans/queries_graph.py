@@ -56,10 +56,10 @@ def nodes(t: Tables) -> DataFrame:
         rows(t.customer, _text("2", _pad("c_custkey", 10)), _text("c", c("c_custkey")), "class",
              F.when(c("c_acctbal") > 5000, c("c_mktsegment")).otherwise(c("c_name")), _text("n", c("c_nationkey")),
              _text(ROOT, c("c_mktsegment"), ".java"), c("c_nationkey")),
-        rows(t.orders, _text(F.when(c("o_orderstatus") == "P", F.lit("1")).otherwise(F.lit("3")), _pad("o_orderkey", 10)),
+        rows(t.spread("orders"), _text(F.when(c("o_orderstatus") == "P", F.lit("1")).otherwise(F.lit("3")), _pad("o_orderkey", 10)),
              _text("o", c("o_orderkey")), "class", _text("Order", F.substring("o_orderpriority", 1, 1)),
              _text("c", c("o_custkey")), _text(ROOT, c("o_orderstatus"), "/order.py"), c("o_orderkey")),
-        rows(t.lineitem, _text("1", line_pos()), _text("l", line_pos()), "function", _text("L", c("l_linenumber")),
+        rows(t.spread("lineitem"), _text("1", line_pos()), _text("l", line_pos()), "function", _text("L", c("l_linenumber")),
              _text("o", c("l_orderkey")), _text(ROOT, c("l_returnflag"), ".py"), c("l_quantity")),
     ]
     return reduce(DataFrame.unionByName, parts)
@@ -67,7 +67,7 @@ def nodes(t: Tables) -> DataFrame:
 
 def edges(t: Tables) -> DataFrame:
     """Line items refer to their order and their part; parts are no known nodes."""
-    e = lambda kind, to: t.lineitem.select(
+    e = lambda kind, to: t.spread("lineitem").select(
         F.lit("world").alias("project_id"), _text("l", line_pos()).alias("src"), to.alias("dst"), F.lit(kind).alias("kind"))
     return e("calls", _text("o", F.col("l_orderkey"))).unionByName(
         e("calls", _text("p", F.col("l_partkey")))).unionByName(e("uses", _text("s", F.col("l_suppkey"))))
@@ -247,7 +247,7 @@ def order_elements(t: Tables) -> DataFrame:
     classes = t.orders.select(
         _text("cls:o", c("o_orderkey")).alias("element_id"), _text("a", _pad("o_orderkey", 10)).alias("pos"), F.lit("class").alias("hierarchy_level"),
         none.alias("parent"), F.when(c("o_orderstatus") == "F", F.lit("done")).alias("contract"))
-    lines = t.lineitem.select(
+    lines = t.spread("lineitem").select(
         _text("fn:l", line_pos()).alias("element_id"), _text("b", line_pos()).alias("pos"), F.lit("function").alias("hierarchy_level"),
         F.when(c("l_discount") > 0.08, F.lit("mod:m")).otherwise(_text("cls:o", c("l_orderkey"))).alias("parent"),
         F.when(c("l_returnflag") == "R", F.lit("done")).alias("contract"))

@@ -117,7 +117,7 @@ def event_responses(t: Tables) -> DataFrame:
         _text('```{"error_conditions": [{"condition": "c', u, '", "behavior": "b", "severity": "fatal", "class": "X"}, "skip", {"condition": "d", "severity": "odd"}], '
               '"state_transitions": [{"from_state": "a", "to_state": "b"}], "purpose": "old", "purpose": "new"}```'))
     g = _text("e", c("event_id"))
-    return t.events.select(F.lit("site").alias("project_id"), g.alias("group_id"), F.lit("single").alias("type"), F.array(g).alias("expected_ids"),
+    return t.spread("events").select(F.lit("site").alias("project_id"), g.alias("group_id"), F.lit("single").alias("type"), F.array(g).alias("expected_ids"),
                            raw.alias("raw"), F.lit(None).cast("string").alias("error"))
 
 
@@ -128,7 +128,7 @@ def order_responses(t: Tables) -> DataFrame:
     bad = _text('{"', k, '": {"purpose": "x"}, "', k, '/m": "text"}')
     raw = F.when(c("o_orderstatus") == "F", both).when(c("o_orderstatus") == "O", one).otherwise(bad)
     raw = F.when(c("o_orderpriority") == "5-LOW", F.lit("[1, 2]")).otherwise(raw)
-    return t.orders.select(F.lit("shop").alias("project_id"), k.alias("group_id"), F.lit("class").alias("type"), F.array(k, _text(k, "/m")).alias("expected_ids"),
+    return t.spread("orders").select(F.lit("shop").alias("project_id"), k.alias("group_id"), F.lit("class").alias("type"), F.array(k, _text(k, "/m")).alias("expected_ids"),
                            raw.alias("raw"), F.lit(None).cast("string").alias("error"))
 
 

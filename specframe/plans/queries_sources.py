@@ -111,7 +111,7 @@ def spec_docs(t: Tables) -> DataFrame:
     k = c("o_orderkey")
     meta = '"metadata": {"confidence": "high", "source": "human_input", "status": "confirmed"}'
     contract = F.when(c("o_orderstatus") == "F", _text('{"purpose": "', c("o_orderpriority"), '", "preconditions": ["a", "b"]}')).otherwise(F.lit("{}"))
-    return t.orders.select(_text("o", k).alias("project_id"), _text(
+    return t.spread("orders").select(_text("o", k).alias("project_id"), _text(
         '{"meta": {"project_name": "P', k, '", "spec_version": "0.1.0", "tools": {"x": "1"}}, "cpg_ref": {"path": "g.json", "stats": {"nodes": ', k, '}}, '
         '"elements": {"mod:z', k, '": {"hierarchy_level": "module", "node_ref": "z", "name": "Z", ', meta, '}, '
         '"cls:a', k, '": {"hierarchy_level": "class", "node_ref": "a", "name": "A", "parent": "mod:z', k, '", "line": ', c("o_custkey"), ', "contract": ', contract, ", ", meta, "}}, "

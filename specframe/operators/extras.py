@@ -104,5 +104,5 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
                               F.explode(F.array("cs", "cd")).alias("cluster")).groupBy(P, "cluster").agg(
         F.sum("weight").alias("degree"), F.sum(F.when(F.col("inside"), F.col("weight")).otherwise(0)).alias("inner2"))
     total = per_cluster.groupBy(P).agg(F.sum("degree").alias("m2"))
-    return per_cluster.join(broadcast_if_small(total), P).groupBy(P).agg(F.sum(
+    return per_cluster.join(total, P).groupBy(P).agg(F.sum(
         F.col("inner2") / F.col("m2") - F.pow(F.col("degree") / F.col("m2"), F.lit(2))).alias("modularity"))

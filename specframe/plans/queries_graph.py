@@ -199,16 +199,18 @@ def skeleton_checks(t):
 
 
 @query("spec_meta", """
-SELECT 'n' || n_nationkey AS project_id, n_name AS project_name, '0.1.0' AS spec_version, 'java' AS source_language,
-  CASE WHEN n_regionkey > 1 THEN CAST(n_regionkey AS VARCHAR) END AS source_version, '2024-01-01T00:00:00+00:00' AS created_at,
-  '2024-01-01T00:00:00+00:00' AS updated_at, CASE WHEN n_regionkey > 0 THEN 't' || n_regionkey || '=' || n_name END AS tools FROM nation""")
+SELECT 'c' || c_custkey AS project_id, c_name AS project_name, '0.1.0' AS spec_version, 'java' AS source_language,
+  CASE WHEN c_nationkey > 1 THEN CAST(c_nationkey AS VARCHAR) END AS source_version, '2024-01-01T00:00:00+00:00' AS created_at,
+  '2024-01-01T00:00:00+00:00' AS updated_at, (SELECT string_agg(DISTINCT 't' || o_orderstatus || '=' || c_mktsegment, ',' ORDER BY 't' || o_orderstatus || '=' || c_mktsegment)
+   FROM orders WHERE o_custkey = c_custkey AND o_orderstatus <> 'P') AS tools FROM customer""")
 def spec_meta(t):
-    p = t.nation.select(
-        _text("n", F.col("n_nationkey")).alias("project_id"), F.col("n_name").alias("project_name"), F.lit("java").alias("language"),
-        F.when(F.col("n_regionkey") > 1, F.col("n_regionkey").cast("string")).otherwise(F.lit("")).alias("source_version"))
-    tools = t.nation.select(
-        _text("n", F.col("n_nationkey")).alias("project_id"), _text("t", F.col("n_regionkey")).alias("tool"),
-        F.when(F.col("n_regionkey") > 0, F.col("n_name")).otherwise(F.lit("")).alias("version"))
+    c = F.col
+    p = t.customer.select(
+        _text("c", c("c_custkey")).alias("project_id"), c("c_name").alias("project_name"), F.lit("java").alias("language"),
+        F.when(c("c_nationkey") > 1, c("c_nationkey").cast("string")).otherwise(F.lit("")).alias("source_version"))
+    tools = t.orders.join(t.customer, c("o_custkey") == c("c_custkey")).select(
+        _text("c", c("c_custkey")).alias("project_id"), _text("t", c("o_orderstatus")).alias("tool"),
+        F.when(c("o_orderstatus") != "P", c("c_mktsegment")).otherwise(F.lit("")).alias("version"))
     meta = graph.spec_meta(p, tools, "2024-01-01T00:00:00+00:00")
     return meta.withColumn("tools", F.array_join(F.array_sort(F.transform(
         F.map_entries("tools"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ","))

@@ -24,20 +24,24 @@ def _project(key: str):
     return _text("n", c(key)).alias("project_id")
 
 
-def meta(t: Tables) -> DataFrame:
-    tools = F.when(c("n_regionkey") > 1, F.create_map(F.lit("scan"), c("n_regionkey").cast("string"), F.lit("audit"), F.lit("2")))
-    return t.nation.select(
-        _project("n_nationkey"), c("n_name").alias("project_name"), F.lit("0.1.0").alias("spec_version"), F.lit("java").alias("source_language"),
-        F.when(c("n_regionkey") > 0, c("n_regionkey").cast("string")).alias("source_version"), F.lit(NOW).alias("created_at"),
+def nations(t: Tables) -> DataFrame:
+    return t.nation.select(c("n_nationkey").alias("k"), c("n_name").alias("name"), c("n_regionkey").alias("r"))
+
+
+def meta(rows: DataFrame) -> DataFrame:
+    tools = F.when(c("r") > 1, F.create_map(F.lit("scan"), c("r").cast("string"), F.lit("audit"), F.lit("2")))
+    return rows.select(
+        _project("k"), c("name").alias("project_name"), F.lit("0.1.0").alias("spec_version"), F.lit("java").alias("source_language"),
+        F.when(c("r") > 0, c("r").cast("string")).alias("source_version"), F.lit(NOW).alias("created_at"),
         F.lit(None).cast("string").alias("updated_at"), tools.alias("tools"))
 
 
-def graph_ref(t: Tables) -> DataFrame:
-    k = c("n_nationkey").cast("bigint")
+def graph_ref(rows: DataFrame) -> DataFrame:
+    k = c("k").cast("bigint")
     stats = F.struct(k.alias("nodes"), (k + 1).alias("edges"), F.lit(None).cast("bigint").alias("files"), F.lit(3).cast("bigint").alias("functions"),
                      F.when(k > 5, k.cast("double") + F.when(k > 10, F.lit(0.5)).otherwise(F.lit(0.0))).alias("call_resolution_pct"))
-    return t.nation.select(
-        _project("n_nationkey"), _text("g", k, ".json").alias("path"), F.sha2("n_name", 256).alias("sha256"), F.lit(NOW).alias("built_at"),
+    return rows.select(
+        _project("k"), _text("g", k, ".json").alias("path"), F.sha2("name", 256).alias("sha256"), F.lit(NOW).alias("built_at"),
         F.when(k > 3, F.lit("0.9")).alias("builder_version"), F.when(k > 1, stats).alias("stats"))
 
 
@@ -180,9 +184,11 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-@query("review_header", _SQL["header"])
+@query("review_header", _SQL["header"].replace(
+    "FROM nation)", "FROM (SELECT c_custkey AS n_nationkey, c_name AS n_name, c_nationkey AS n_regionkey FROM customer))"))
 def review_header(t):
-    return _shown(J.header_lines(meta(t), graph_ref(t)))
+    rows = t.customer.select(c("c_custkey").alias("k"), c("c_name").alias("name"), c("c_nationkey").alias("r"))
+    return _shown(J.header_lines(meta(rows), graph_ref(rows)))
 
 
 @query("review_dependencies", _SQL["dependencies"])
@@ -197,7 +203,7 @@ def review_findings(t):
 
 @query("review_elements", _SQL["elements"])
 def review_elements(t):
-    return _shown(_union(J.element_lines(elements(t), meta(t).select("project_id"))))
+    return _shown(_union(J.element_lines(elements(t), meta(nations(t)).select("project_id"))))
 
 
 @query("review_usage_paths", _SQL["usage_paths"])
@@ -207,13 +213,13 @@ def review_usage_paths(t):
 
 @query("review_summary", _SQL["summary"])
 def review_summary(t):
-    return _shown(J.summary_lines(meta(t).select("project_id"), elements(t), findings(t), dependencies(t)))
+    return _shown(J.summary_lines(meta(nations(t)).select("project_id"), elements(t), findings(t), dependencies(t)))
 
 
 @query("review_document", " UNION ALL ".join(_SQL.values()))
 def review_document(t):
     return _shown(J.review_document({
-        "meta": meta(t), "graph_ref": graph_ref(t), "elements": elements(t), "findings": findings(t), "dependencies": dependencies(t), "usage_paths": usage_paths(t)}))
+        "meta": meta(nations(t)), "graph_ref": graph_ref(nations(t)), "elements": elements(t), "findings": findings(t), "dependencies": dependencies(t), "usage_paths": usage_paths(t)}))
 
 
 @query("findings_by_severity", f"SELECT 'n' || c_nationkey AS project_id, o_orderkey AS seq, r AS rank FROM {_ORDERS}")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 # A last extension, unless everything before it in the base name is dots.
 _EXTENSION = r"^((?:.*/)?\.*[^/.][^/]*)\.[^/.]*$"
 
@@ -27,14 +29,12 @@ def source_prefix(file: Column, source_root: Column) -> Column:
 def qualified_name(file: Column, prefix: Column, language: Column) -> Column:
     """Dotted module name of a file below ``prefix``; null for files outside it."""
     rel = F.substr(file, F.length(prefix) + 1)
-    base = F.regexp_replace(rel, _EXTENSION, "$1")
     python = language == "python"
-    named = (
+    named = let(F.regexp_replace(rel, _EXTENSION, "$1"), lambda base: (
         F.when(python & (base == "__init__"), basename(F.rtrim(prefix, F.lit("/"))))
         .when(python & F.endswith(base, F.lit("/__init__")),
               F.left(base, F.length(base) - len("/__init__")))
-        .otherwise(base)
-    )
+        .otherwise(base)))
     return F.when(F.startswith(file, prefix), F.replace(named, F.lit("/"), F.lit(".")))
 
 

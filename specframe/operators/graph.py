@@ -132,11 +132,12 @@ def assign_ids(linked: DataFrame, prefixes: DataFrame, max_rounds: int = 64, str
     language, prefix = F.col("language"), F.col("prefix")
     qname = N.qualified_name(F.col("file"), prefix, language)
     named = linked.join(broadcast_if_small(prefixes.select(P, "prefix", "language")), P).withColumn("qname", qname)
+    inside = F.startswith(F.col("file"), prefix)
     if strict:
-        named = named.withColumn("qname", F.coalesce("qname", F.raise_error(
-            F.concat(F.lit("file outside the source root: "), F.col("file")))))
+        inside = F.when(inside, True).otherwise(F.raise_error(
+            F.concat(F.lit("file outside the source root: "), F.col("file"))).cast("boolean"))
     ord_ = _order()
-    named = named.filter("qname IS NOT NULL").select(
+    named = named.filter(inside).select(
         "*", ord_.alias("ord"), N.qualified_name(F.col("p_file"), prefix, language).alias("p_qname"),
         F.coalesce((F.col("p_ord") < ord_) & (F.col("kind") != "module"), F.lit(False)).alias("reads")
     ).drop("prefix", "language", "p_ord", "p_file")
@@ -195,7 +196,8 @@ def _next_ids(rows: DataFrame, kind: str) -> DataFrame:
             F.concat(scope, F.lit("."), F.col("name"))))
     else:
         base_id = F.concat(F.lit("fn:"), scope, F.lit("/"), F.col("name"))
-    based = rows.withColumnRenamed("element_id", "old").withColumn("base_id", base_id)
+    # read twice below, so the join with the parents is not run twice
+    based = materialize(rows.withColumnRenamed("element_id", "old").withColumn("base_id", base_id), f"bases-{kind}")
     suffixed = F.concat(F.col("base_id"), F.lit("@"), F.col("line").cast("string"))
     taken = F.explode(F.when(F.col("is_collision"), F.array("base_id", suffixed)).otherwise(F.array("base_id")))
     # all rows are of one kind, so their position alone is their order

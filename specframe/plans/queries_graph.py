@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import names as N
 from ..operators import extras, graph, selection
+from ..runtime import materialize
 from .registry import Tables, query
 
 ROOT = "/work/app/src/"
@@ -65,6 +66,11 @@ def nodes(t: Tables) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def stored_nodes(t: Tables) -> DataFrame:
+    """The same as a table, for operators that read their nodes several times."""
+    return materialize(nodes(t), "nodes")
+
+
 def edges(t: Tables) -> DataFrame:
     """Line items refer to their order and their part; parts are no known nodes."""
     e = lambda kind, to: t.spread("lineitem").select(
@@ -162,18 +168,18 @@ def relative_files(t):
 
 @query("resolve_parent", f"WITH {_NODES} SELECT id, parent_id, CAST(depth AS INT) AS depth FROM parents")
 def resolve_parent(t):
-    return graph.resolve_parent(nodes(t)).select("id", "parent_id", "depth")
+    return graph.resolve_parent(stored_nodes(t)).select("id", "parent_id", "depth")
 
 
 @query("element_ids", f"WITH {_NODES}, {_IDS} SELECT id, element_id, is_collision FROM ids")
 def element_ids(t):
-    n = nodes(t)
+    n = stored_nodes(t)
     prefixes = projects(t).select("project_id", F.lit(ROOT).alias("prefix"), "language")
     return graph.element_ids(n, graph.resolve_parent(n), prefixes).select("id", "element_id", "is_collision")
 
 
 def elements(t: Tables) -> DataFrame:
-    return graph.build_elements(nodes(t), projects(t))
+    return graph.build_elements(stored_nodes(t), projects(t))
 
 
 @query("build_elements", f"""WITH {_NODES}, {_IDS}, {_ELEMENTS} SELECT element_id, hierarchy_level, node_ref, name, parent, file, line,
@@ -194,7 +200,7 @@ def element_counts(t):
     (SELECT count(*) FROM nodes WHERE kind <> 'package' AND id NOT IN (SELECT node_ref FROM elements)) AS failures
   UNION ALL SELECT 'world', 'wrong_provenance', 0 UNION ALL SELECT 'world', 'contract_not_empty', 0""".replace("AS check,", 'AS "check",'))
 def skeleton_checks(t):
-    n = nodes(t)
+    n = stored_nodes(t)
     return graph.skeleton_checks(n, graph.build_elements(n, projects(t)))
 
 

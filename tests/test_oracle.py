@@ -9,6 +9,7 @@ sys.path.insert(0, os.path.join(os.path.dirname(__file__), "..", "tools"))
 
 import __spark_entry__ as entry  # noqa: E402
 import check  # noqa: E402
+from specframe.plans import load_queries  # noqa: E402
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -19,10 +20,10 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(load_queries()[0]) == set(load_queries()[1])
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(load_queries()[0]))
 def test_query(spark, duck, name):
     ok, note, _ = check.compare(spark, duck, FOLDER, name)
     assert ok, note

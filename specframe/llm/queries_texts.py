@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, simhash, topk
+from . import bpe, langid, packing, quality, simhash, topk
 from .registry import query, table
 
 
@@ -53,3 +53,8 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = langid.train(docs.filter(langid.crc_mod(F.col("doc_id"), 3) != 1))
     return langid.identify(docs, model)
+
+
+@query("op6_quality")
+def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.judge(table(spark, folder, "documents"))

@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import shuffle_key
+from .ranks import first_by_key, shuffle_key
 
 ORDER = 3
 TRAIN_DOCS, TRAIN_CHARS = 400, 300_000
@@ -140,10 +140,11 @@ def _scorer(model: LanguageModel) -> Scorer:
 
 def _bounded(rows: DataFrame, docs_per_lang: int, chars_per_lang: int) -> DataFrame:
     """Of each language the first rows by ``key``, within both bounds but for the first row."""
-    order = Window.partitionBy("lang").orderBy("key", "chars", *[c for c in ("text",) if c in rows.columns])
-    first = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= docs_per_lang)
+    ties = ("chars", *[c for c in ("text",) if c in rows.columns])
+    first = first_by_key(rows, "lang", F.lit(docs_per_lang), ties)
+    order = Window.partitionBy("lang").orderBy("key", *ties)
     so_far = F.sum("chars").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    return first.withColumn("so_far", so_far).filter((F.col("n") == 1) | (F.col("so_far") <= chars_per_lang))
+    return first.withColumn("so_far", so_far).withColumn("n", F.row_number().over(order)).filter((F.col("n") == 1) | (F.col("so_far") <= chars_per_lang))
 
 
 def train(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars_per_lang: int = TRAIN_CHARS) -> LanguageModel:
@@ -179,3 +180,10 @@ def identify(docs: DataFrame, model: LanguageModel, folds: int = 3, held: int =
     an empty table gives no rows, other columns are ignored."""
     out = docs.select("doc_id", (crc_mod(F.col("doc_id"), folds) == held).alias("held_out"), predict(F.col("text"), model).alias("p"))
     return out.select("doc_id", "held_out", "p.lang_pred", "p.score")
+
+
+def keep_identified(docs: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language with a score
+    of ``least`` or more."""
+    rows = docs.select(F.struct("*").alias("row"), predict(F.col("text"), model).alias("p"))
+    return rows.filter((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.score") >= least)).select("row.*")

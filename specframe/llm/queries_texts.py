@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, quality, simhash, topk
+from . import bpe, langid, packing, quality, simhash, topk, toxicity
 from .registry import query, table
 
 
@@ -58,3 +58,10 @@ def languages(spark: SparkSession, folder: str) -> DataFrame:
 @query("op6_quality")
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.judge(table(spark, folder, "documents"))
+
+
+@query("op8_toxicity")
+def toxic_documents(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    seen = langid.crc_mod(F.col("doc_id"), toxicity.FOLDS) != 0
+    return toxicity.score(docs, toxicity.train(docs.filter(seen), labels.filter(seen)))

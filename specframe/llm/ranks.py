@@ -43,3 +43,15 @@ def with_ranks(rows: DataFrame, group: list[str], bucket: Column, order: list[Co
     own = Window.partitionBy(*group, "_bucket").orderBy(*order)
     return dealt.join(starts, [*group, "_bucket"]).withColumn(
         "rank", F.col("_start") + F.row_number().over(own) - 1).drop("_bucket", "_start")
+
+
+def first_by_key(rows: DataFrame, group: str, most: Column, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Of each ``group`` the ``most`` rows with the smallest ``key``, a ``shuffle_key``.
+
+    Keys are evenly spread, so the group's size says below which key these rows lie, with
+    a wide margin; only rows below it are sorted."""
+    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_of"))
+    near = rows.join(counts, group).withColumn("_most", most).filter(
+        F.col("key") <= F.least(F.lit(1.0), (4 * F.col("_most") + 100) / F.col("_of")) * F.lit(float(2 ** KEY_BITS)))
+    order = Window.partitionBy(group).orderBy("key", *ties)
+    return near.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= F.col("_most")).drop("_of", "_most", "_n")

@@ -214,7 +214,7 @@ def verdicts(counted: DataFrame, cutoff: float = CHI2_CUTOFF) -> DataFrame:
     counts, ``lang_key`` and ``source_key``.  Rows that fail the base rules teach nothing."""
     rows = counted.withColumn("base_failed", base_failed())
     means = rows.filter("NOT base_failed").groupBy("lang_key").agg((F.sum("word_chars") / F.sum("n_words")).alias("mean_length"))
-    measured = rows.join(means, "lang_key", "left").select(*rows.columns, *statistics(F.coalesce("mean_length", F.lit(0.0))))
+    measured = rows.join(means, "lang_key", "left").select(*rows.columns, *statistics(F.coalesce("mean_length", F.lit(1.0))))
     model = fit(materialize(measured.filter("NOT base_failed").select("lang_key", "source_key", *STATISTICS), "statistics"))
     far = distance() / F.col("scale") > cutoff
     joined = measured.join(model, ["lang_key", "source_key"], "left")

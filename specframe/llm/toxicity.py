@@ -198,8 +198,7 @@ def choose_terms(counts: dict[str, tuple[int, int]], all_toxic: int, all_clean:
 
     longer: dict[str, int] = {}
     for term, (toxic, _) in counts.items():
-        for stem in {term[:-1], term.removesuffix(END)}:
-            longer[stem] = max(longer.get(stem, 0), toxic)
+        longer[term[:-1]] = max(longer.get(term[:-1], 0), toxic)
     closed = [t for t in counts if (t.endswith(END) or longer.get(t, 0) < 0.95 * counts[t][0]) and good(t)]
     stems = {t for t in closed if not t.endswith(END)}
     return sorted(t for t in closed if not any(t.removesuffix(END)[:k] in stems and t[:k] != t for k in range(LEAST_STEM, len(t))))

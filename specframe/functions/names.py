@@ -65,12 +65,22 @@ def after_colon(element_id: Column) -> Column:
     return F.substr(element_id, F.instr(element_id, ":") + 1)
 
 
-def version_parts(version: Column, width: int = 8) -> Column:
-    """Numeric parts of a dotted version, zero-padded to ``width`` so that arrays
-    of different length compare like versions (``3`` equals ``3.0``)."""
-    parts = F.transform(
-        F.split(version, "[.]"),
-        lambda p: F.coalesce(F.try_to_number(F.nullif(F.regexp_extract(p, r"^\d+", 0), F.lit("")),
-                                             F.lit("999999999")).cast("int"), F.lit(0)),
-    )
-    return F.slice(F.concat(parts, F.array_repeat(F.lit(0), width)), 1, width)
+def version_parts(version: Column) -> Column:
+    """Numeric parts of a dotted version as ``(digits, text)`` without leading zeros, which
+    compare like numbers of any length.  A part that starts with no digit is zero."""
+    def part(p: Column) -> Column:
+        return let(F.regexp_extract(p, r"^0*(\d*)", 1), lambda d: F.struct(F.length(d).alias("digits"), d.alias("text")))
+
+    return F.transform(F.split(version, "[.]"), part)
+
+
+def version_before(a: Column, b: Column) -> Column:
+    """Whether version ``a`` is below ``b``; the shorter one is filled up with zeros, so
+    ``3`` equals ``3.0``."""
+    def filled(parts: Column, n: Column) -> Column:
+        zero = F.struct(F.lit(0).alias("digits"), F.lit("").alias("text"))
+        return F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.coalesce(F.get(parts, i), zero))
+
+    both = F.struct(version_parts(a).alias("a"), version_parts(b).alias("b"))
+    return let(both, lambda v: let(F.greatest(F.size(v["a"]), F.size(v["b"])), lambda n: (
+        filled(v["a"], n) < filled(v["b"], n)) & a.isNotNull() & b.isNotNull()))

@@ -60,13 +60,13 @@ def source_root_prefix(nodes: DataFrame, source_root: Column | str) -> DataFrame
 _NODE = ["id", "kind", "name", "file", "line", "pos"]
 
 
-def link_parents(nodes: DataFrame, kinds=K.RELEVANT_KINDS, max_depth: int = 64) -> DataFrame:
+def link_parents(nodes: DataFrame, kinds=K.RELEVANT_KINDS) -> DataFrame:
     """Nodes of ``kinds`` with their nearest enclosing node of those kinds.
 
     Adds ``parent_id``, ``depth`` and the parent's kind, file and order.  One join on
     the scope settles almost all nodes.  Only scopes of other kinds are followed
-    further, each distinct one once, however many nodes lie in it; unknown scopes,
-    cycles and chains beyond ``max_depth`` give no parent."""
+    further, each distinct one once, however many nodes lie in it; unknown scopes and
+    cycles give no parent.  Chains of any length end, as a cycle meets its mark."""
     hit = F.col("kind").isin(*kinds)
     target = nodes.select(
         P, F.col("id").alias("at"), hit.alias("at_hit"), F.nullif("scope", F.lit("")).alias("next"),
@@ -79,7 +79,7 @@ def link_parents(nodes: DataFrame, kinds=K.RELEVANT_KINDS, max_depth: int = 64)
     pending = first.filter("NOT at_hit AND next IS NOT NULL").select(
         P, F.col("at").alias("origin"), "next", F.col("at").alias("mark")).distinct()
     resolved, hops = [], 1
-    while hops < max_depth and not pending.isEmpty():
+    while not pending.isEmpty():
         hops += 1
         step = materialize(pending.withColumnRenamed("next", "at").join(target, [P, "at"]), "scopes")
         resolved.append(step.filter("at_hit").select(
@@ -99,13 +99,13 @@ def link_parents(nodes: DataFrame, kinds=K.RELEVANT_KINDS, max_depth: int = 64)
         P, *have, "parent_id", "depth", F.col("seen.kind").alias("p_kind"), F.col("seen.file").alias("p_file"), F.col("seen.ord").alias("p_ord"))
 
 
-def resolve_parent(nodes: DataFrame, kinds=K.RELEVANT_KINDS, max_depth: int = 64) -> DataFrame:
+def resolve_parent(nodes: DataFrame, kinds=K.RELEVANT_KINDS) -> DataFrame:
     """``(project_id, id, parent_id, depth)`` for every node of ``kinds``."""
-    return link_parents(nodes, kinds, max_depth).select(P, "id", "parent_id", "depth")
+    return link_parents(nodes, kinds).select(P, "id", "parent_id", "depth")
 
 
 def element_ids(nodes: DataFrame, parents: DataFrame, prefixes: DataFrame,
-                max_rounds: int = 64, strict: bool = False) -> DataFrame:
+                strict: bool = False) -> DataFrame:
     """Deterministic hierarchical IDs, ``(project_id, id, element_id, is_collision)``.
 
     ``parents`` comes from ``resolve_parent``; ``prefixes`` has ``(project_id, prefix,
@@ -116,10 +116,10 @@ def element_ids(nodes: DataFrame, parents: DataFrame, prefixes: DataFrame,
         nodes.filter(F.col("kind").isin(*K.RELEVANT_KINDS)).select(P, *_NODE)
         .join(parents.select(P, "id", "parent_id"), [P, "id"], "left")
         .withColumn("up", spread_nulls("parent_id", "id")).join(seen, [P, "up"], "left").drop("up"))
-    return assign_ids(linked, prefixes, max_rounds, strict).select(P, "id", "element_id", "is_collision")
+    return assign_ids(linked, prefixes, strict).select(P, "id", "element_id", "is_collision")
 
 
-def assign_ids(linked: DataFrame, prefixes: DataFrame, max_rounds: int = 64, strict: bool = False) -> DataFrame:
+def assign_ids(linked: DataFrame, prefixes: DataFrame, strict: bool = False) -> DataFrame:
     """IDs for the rows of ``link_parents``; adds ``element_id``, ``is_collision`` and
     ``p_eid``, the parent's ID where the parent comes earlier.
 
@@ -153,11 +153,11 @@ def assign_ids(linked: DataFrame, prefixes: DataFrame, max_rounds: int = 64, str
             mine = mine.withColumn("key", key).withColumn("up", spread_nulls("key", "id")).join(above, [P, "up"], "left").drop("key", "up")
         else:
             mine = mine.select("*", start)
-        finished.append(_settle(mine, kind, max_rounds))
+        finished.append(_settle(mine, kind))
     return reduce(DataFrame.unionByName, finished)
 
 
-def _settle(mine: DataFrame, kind: str, max_rounds: int) -> DataFrame:
+def _settle(mine: DataFrame, kind: str) -> DataFrame:
     """Final IDs of the nodes of one kind."""
     columns = [*mine.columns, "element_id", "is_collision"]
     fresh = mine.withColumn("element_id", F.lit(None).cast("string")).withColumn("is_collision", F.lit(False))
@@ -167,7 +167,7 @@ def _settle(mine: DataFrame, kind: str, max_rounds: int) -> DataFrame:
     if feedback.isEmpty():
         return state.select(*columns)
     done: list[DataFrame] = []
-    for _ in range(max_rounds):
+    while True:
         ids = state.select(P, F.col("id").alias("parent_id"), F.col("element_id").alias("p_eid"))
         nested = state.filter("in_kind").drop("p_eid").join(ids, [P, "parent_id"], "left")
         both = state.filter("NOT in_kind").select(*columns).unionByName(nested.select(*columns))
@@ -178,7 +178,6 @@ def _settle(mine: DataFrame, kind: str, max_rounds: int) -> DataFrame:
         changed = broadcast_if_small(changed)
         done.append(state.join(changed, P, "left_anti"))
         state = state.join(changed, P, "left_semi")
-    raise RuntimeError(f"element IDs did not settle in {max_rounds} rounds")
 
 
 _SUFFIXED = r"@-?\d+$"
@@ -215,8 +214,7 @@ def scanned_metadata() -> Column:
     return F.struct(*[F.lit(v).alias(k) for k, v in K.SCANNED.items()])
 
 
-def build_elements(nodes: DataFrame, projects: DataFrame, max_rounds: int = 64,
-                   strict: bool = False) -> DataFrame:
+def build_elements(nodes: DataFrame, projects: DataFrame, strict: bool = False) -> DataFrame:
     """One element per module, class and function.
 
     ``projects`` has ``(project_id, source_root, language)``.  Two nodes may still
@@ -228,7 +226,7 @@ def build_elements(nodes: DataFrame, projects: DataFrame, max_rounds: int = 64,
         prefixes = prefixes.withColumn("prefix", F.coalesce("prefix", F.raise_error(
             F.concat(F.lit("no file below the source root of "), F.col(P)))))
     known = materialize(prefixes.join(projects, P), "prefixes")
-    named = assign_ids(link_parents(nodes), known, max_rounds, strict)
+    named = assign_ids(link_parents(nodes), known, strict)
     # where the parent comes later its ID was no input, so it is looked up here
     later = F.col("parent_id").isNotNull() & (F.col("kind") != "module") & F.col("p_eid").isNull()
     ids = named.select(P, F.col("id").alias("parent_id"), F.col("element_id").alias("late_eid"))

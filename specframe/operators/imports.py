@@ -57,7 +57,7 @@ def match_imports(imports: DataFrame, rules: DataFrame, strategy: str = "exact",
 def is_advisory(action: Column, removed_in: Column, target_version: Column | str) -> Column:
     """Removed only in a version above the target: still works there."""
     target = F.lit(target_version) if isinstance(target_version, str) else target_version
-    return F.coalesce((action == "removed") & (N.version_parts(target) < N.version_parts(removed_in)),
+    return F.coalesce((action == "removed") & N.version_before(target, removed_in),
                       F.lit(False))
 
 

@@ -55,7 +55,8 @@ def vulnerable_dependencies(dependencies: DataFrame) -> DataFrame:
 # -- line helpers ----------------------------------------------------------
 
 def _c(*parts) -> Column:
-    return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    """Parts joined; a null part is empty, so a line never vanishes for one of them."""
+    return F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p.cast("string"), F.lit("")) for p in parts])
 
 
 def _if(value: Column, *parts) -> Column:
@@ -106,14 +107,14 @@ def _pos(df: DataFrame, column: str) -> Column:
 
 
 def _bullets(title: str, items: Column) -> _Several:
-    filled = F.concat(F.array(F.lit(f"- **{title}:**")), F.transform(items, lambda i: F.concat(F.lit("  - "), i)))
+    filled = F.concat(F.array(F.lit(f"- **{title}:**")), F.transform(items, lambda i: _c("  - ", i)))
     return _many(F.when(F.size(items) > 0, filled))
 
 
 # -- blocks ----------------------------------------------------------------
 
 def cve_list(cves: Column) -> Column:
-    shown = F.array_join(F.transform(cves, lambda c: F.concat(c["id"], F.lit(" ("), c["severity"], F.lit(")"))), ", ")
+    shown = F.array_join(F.transform(cves, lambda c: _c(c["id"], " (", c["severity"], ")")), ", ")
     return F.when(F.size(cves) > 0, shown).otherwise(F.lit("none"))
 
 
@@ -126,7 +127,7 @@ def dependency_row(df: DataFrame) -> Column:
 def header_lines(meta: DataFrame, graph_ref: DataFrame, builder: str = "Builder") -> DataFrame:
     m, g, s = meta.alias("m"), graph_ref.alias("g"), F.col("stats")
     row = lambda name, value: _if(value, f"| {name} | ", value.cast("string"), " |")
-    tools = F.array_join(F.transform(F.map_entries("tools"), lambda e: F.concat(e["key"], F.lit(" "), e["value"])), ", ")
+    tools = F.array_join(F.transform(F.map_entries("tools"), lambda e: _c(e["key"], " ", e["value"])), ", ")
     stat = lambda name, f: F.when(s.isNotNull(), _c(f"| {name} | ", _or(s[f], "?"), " |"))
     pct = F.regexp_replace(s["call_resolution_pct"].cast("string"), r"\.0$", "")
     return _lines(
@@ -179,7 +180,7 @@ def finding_lines(findings: DataFrame) -> list[DataFrame]:
 
 
 def contract_lines(c: Column) -> list:
-    e_line = lambda e: F.concat(F.lit("  - "), e["condition"], F.lit(" -- "), e["behavior"],
+    e_line = lambda e: _c("  - ", e["condition"], " -- ", e["behavior"],
                                 F.coalesce(F.concat(F.lit(" ("), X.truthy(e["severity"]), F.lit(")")), F.lit("")))
     t_line = lambda t: F.concat(F.lit("  - "), _or(t["from_state"], "?"), F.lit(" -> "), _or(t["to_state"], "?"),
                                 F.coalesce(F.concat(F.lit(" ("), X.truthy(t["trigger"]), F.lit(")")), F.lit("")))
@@ -202,9 +203,9 @@ def contract_lines(c: Column) -> list:
 
 def data_model_lines(d: Column) -> list:
     opt = lambda v, a, b="": F.coalesce(F.concat(F.lit(a), X.truthy(v), F.lit(b)), F.lit(""))
-    field = lambda f: F.concat(F.lit("  - `"), f["name"], F.lit("`"), opt(f["type"], ": "), opt(f["constraints"], " (", ")"))
+    field = lambda f: _c("  - `", f["name"], "`", opt(f["type"], ": "), opt(f["constraints"], " (", ")"))
     entity = lambda e: F.concat(
-        F.array(F.concat(F.lit("- **"), e["name"], F.lit("**"), opt(e["description"], ": "))),
+        F.array(_c("- **", e["name"], "**", opt(e["description"], ": "))),
         F.coalesce(F.transform(e["fields"], field), F.array().cast("array<string>")))
     relation = lambda r: F.concat(F.lit("- "), _or(r["from_entity"], "?"), F.lit(" -> "), _or(r["to_entity"], "?"),
                                   opt(r["cardinality"], " [", "]"), opt(r["description"], ": "))
@@ -241,7 +242,7 @@ def element_lines(elements: DataFrame, projects: DataFrame) -> list[DataFrame]:
 
 def usage_path_lines(paths: DataFrame) -> list[DataFrame]:
     c = F.col
-    nodes = F.array_join(F.transform("nodes", lambda n: F.concat(F.lit("`"), n, F.lit("`"))), " -> ")
+    nodes = F.array_join(F.transform("nodes", lambda n: _c("`", n, "`")), " -> ")
     body = _lines(
         paths, PATHS, 0, _pos(paths, "seq"), "", _c("### ", c("name")), "", _if(c("description"), c("description")),
         _if(c("description"), ""), "", "| Field | Value |", "|-------|-------|", _c("| ID | `", c("id"), "` |"),

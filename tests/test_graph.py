@@ -1,7 +1,5 @@
-"""Parents, IDs and elements on hand-made and random graphs, against a plain restatement
-of the rules."""
+"""Parents, IDs and elements: graphs worked by hand, and what must hold on random ones."""
 
-import os.path
 import random
 
 import pytest
@@ -16,45 +14,44 @@ def frame(spark, rows):
     return spark.createDataFrame(rows, NODE)
 
 
-def expected_ids(rows, prefix, language="python"):
-    """(id -> element id, id -> parent id), one project, rule by rule."""
-    by_id = {r[2]: r for r in rows}
-
-    def parent(r):
-        scope, steps = r[5], 0
-        while scope and scope in by_id and steps < 64:
-            if by_id[scope][3] in KINDS:
-                return by_id[scope]
-            scope, steps = by_id[scope][5], steps + 1
-        return None
-
-    def qname(file):
-        stem = os.path.splitext(file[len(prefix):])[0]
-        if language == "python":
-            if stem == "__init__":
-                stem = prefix.rstrip("/").rsplit("/", 1)[-1]
-            elif stem.endswith("/__init__"):
-                stem = stem[:-9]
-        return stem.replace("/", ".")
-
-    taken, ids, parents = set(), {}, {}
-    for r in sorted((r for r in rows if r[3] in KINDS), key=lambda r: (KINDS.index(r[3]), r[1])):
-        p = parent(r)
-        parents[r[2]] = p[2] if p else None
-        own = qname(r[6])
-        above = ids[p[2]].split(":", 1)[1] if p and p[2] in ids else qname(p[6]) if p else own
-        if r[3] == "module":
-            e = "mod:" + own
-        elif r[3] == "class":
-            primary = p is not None and p[3] == "module" and own.split(".")[-1] == r[4]
-            e = "cls:" + (own if primary else f"{above}.{r[4]}")
-        else:
-            e = f"fn:{above}/{r[4]}"
-        if e in taken:
-            e += f"@{r[7]}"
-        taken.add(e)
-        ids[r[2]] = e
-    return ids, parents
+def ids_of(spark, rows, prefix="src/"):
+    """(project, node) -> (element ID, is collision), and (project, node) -> parent node."""
+    nodes = frame(spark, rows)
+    parents = G.resolve_parent(nodes)
+    prefixes = spark.createDataFrame([(p, prefix, "python") for p in sorted({r[0] for r in rows})], "project_id string, prefix string, language string")
+    ids = {(r.project_id, r.id): (r.element_id, r.is_collision) for r in G.element_ids(nodes, parents, prefixes).collect()}
+    return ids, {(r.project_id, r.id): r.parent_id for r in parents.collect()}
+
+
+def test_ids_worked_by_hand(spark):
+    rows = [
+        ("p", 0, "m", "module", "shop", None, "src/shop.py", 1),
+        ("p", 1, "i", "module", "pkg", None, "src/pkg/__init__.py", 1),
+        ("p", 2, "c", "class", "shop", "m", "src/shop.py", 3),       # named like its file
+        ("p", 3, "d", "class", "Cart", "m", "src/shop.py", 9),
+        ("p", 4, "n", "class", "Line", "d", "src/shop.py", 11),
+        ("p", 5, "f", "function", "total", "d", "src/shop.py", 20),
+        ("p", 6, "g", "function", "total", "d", "src/shop.py", 30),  # the name is taken
+        ("p", 7, "h", "function", "inner", "g", "src/shop.py", 31),  # below a suffixed ID
+        ("p", 8, "b", "block", "if", "f", "src/shop.py", 22),
+        ("p", 9, "k", "function", "late", "b", "src/shop.py", 23),   # the block is passed over
+        ("p", 10, "o", "function", "free", "gone", "src/pkg/__init__.py", 2),
+        ("q", 0, "m", "module", "shop", None, "src/shop.py", 1),     # projects do not meet
+    ]
+    ids, parents = ids_of(spark, rows)
+    assert {k[1]: v[0] for k, v in ids.items() if k[0] == "p"} == {
+        "m": "mod:shop", "i": "mod:pkg", "c": "cls:shop", "d": "cls:shop.Cart", "n": "cls:shop.Cart.Line",
+        "f": "fn:shop.Cart/total", "g": "fn:shop.Cart/total@30", "h": "fn:shop.Cart/total@30/inner",
+        "k": "fn:shop.Cart/total/late", "o": "fn:pkg/free"}
+    assert ids["q", "m"] == ("mod:shop", False) and [k[1] for k, v in ids.items() if v[1]] == ["g"]
+    assert parents["p", "k"] == "f" and parents["p", "o"] is None and parents["p", "n"] == "d"
+
+
+def test_a_parent_that_comes_later_lends_its_path(spark):
+    rows = [("p", 0, "inner", "class", "In", "outer", "src/a.py", 2), ("p", 1, "outer", "class", "Out", "m", "src/b.py", 1),
+            ("p", 2, "m", "module", "b", None, "src/b.py", 1)]
+    ids, _ = ids_of(spark, rows)
+    assert {k[1]: v[0] for k, v in ids.items()} == {"m": "mod:b", "inner": "cls:b.In", "outer": "cls:b.Out"}
 
 
 def random_rows(rng, project):
@@ -69,30 +66,58 @@ def random_rows(rng, project):
     return rows
 
 
-def test_random_graphs(spark):
+def test_invariants_of_random_graphs(spark):
     rng = random.Random(7)
     projects = {f"p{i}": random_rows(rng, f"p{i}") for i in range(60)}
-    nodes = frame(spark, [r for rows in projects.values() for r in rows])
-    parents = G.resolve_parent(nodes)
-    prefixes = spark.createDataFrame([(p, "src/", "python") for p in projects], "project_id string, prefix string, language string")
-    got_parent = {(r.project_id, r.id): r.parent_id for r in parents.collect()}
-    got_id = {(r.project_id, r.id): r.element_id for r in G.element_ids(nodes, parents, prefixes).collect()}
-    meta = spark.createDataFrame([(p, "src", "python") for p in projects], "project_id string, source_root string, language string")
-    got_elements = {}
-    for r in G.build_elements(nodes, meta).collect():
-        assert got_elements.setdefault((r.project_id, r.element_id), r) is r
-    for p, rows in projects.items():
-        ids, up = expected_ids(rows, "src/")
-        assert {i: got_parent[p, i] for i in up} == up
-        assert {i: got_id[p, i] for i in ids} == ids
-        last = {}
-        order = {r[2]: (KINDS.index(r[3]), r[1]) for r in rows if r[3] in KINDS}
-        for i in sorted(ids, key=order.get):
-            last[ids[i]] = i
-        assert {e: r.node_ref for (q, e), r in got_elements.items() if q == p} == last
-        for e, i in last.items():
-            want = ids[up[i]] if up[i] and not e.startswith("mod:") else None
-            assert got_elements[p, e].parent == want
+    rows = [r for mine in projects.values() for r in mine]
+    ids, parents = ids_of(spark, rows)
+    by_node = {(r[0], r[2]): r for r in rows}
+    order = {k: (KINDS.index(by_node[k][3]), by_node[k][1]) for k in ids}
+    assert ids.keys() == parents.keys() == {k for k, r in by_node.items() if r[3] in KINDS}
+    seen = set()
+    for key in sorted(ids, key=lambda k: (k[0], order[k])):
+        (project, node), (element_id, collision) = key, ids[key]
+        line = by_node[key][7]
+        assert collision == element_id.endswith(f"@{line}") or "@1" in by_node[key][4]
+        assert collision or (project, element_id) not in seen
+        seen.add((project, element_id))
+        up = parents[key]
+        if up is not None:
+            assert by_node[project, up][3] in KINDS
+            if order[project, up] < order[key] and by_node[key][3] == "function":
+                assert element_id.startswith("fn:" + ids[project, up][0].split(":", 1)[1] + "/")
+        scope = by_node.get((project, by_node[key][5]))
+        if scope is not None and scope[3] in KINDS:
+            assert up == scope[2]
+    # nodes in one block have one parent
+    for p, mine in projects.items():
+        for block in (r for r in mine if r[3] == "block"):
+            assert len({parents[p, r[2]] for r in mine if r[5] == block[2] and r[3] in KINDS}) <= 1
+
+    # an ID does not depend on what comes after it
+    last = {p: max((k for k in ids if k[0] == p), key=order.get, default=None) for p in projects}
+    fewer = [(*r[:3], "gone", *r[4:]) if (r[0], r[2]) == last[r[0]] else r for r in rows]
+    again, parents_again = ids_of(spark, fewer)
+    untouched = [k for k in again if parents_again[k] == parents[k] and last[k[0]][1] not in _above(by_node, k)]
+    assert len(untouched) > 500 and all(again[k] == ids[k] for k in untouched)
+
+
+def _above(by_node, key):
+    """Scopes of a node, up to the first repeat."""
+    project, node = key
+    out = set()
+    while (project, node) in by_node and node not in out:
+        out.add(node)
+        node = by_node[project, node][5]
+    return out
+
+
+def test_elements_keep_the_last_of_equal_ids(spark):
+    rows = [("p", 0, "m", "module", "a", None, "src/a.py", 1), ("p", 1, "f", "function", "f", "m", "src/a.py", 4),
+            ("p", 2, "g", "function", "f", "m", "src/a.py", 7), ("p", 3, "h", "function", "f", "m", "src/a.py", 7)]
+    meta = spark.createDataFrame([("p", "src", "python")], "project_id string, source_root string, language string")
+    got = {r.element_id: (r.node_ref, r.parent) for r in G.build_elements(frame(spark, rows), meta).collect()}
+    assert got == {"mod:a": ("m", None), "fn:a/f": ("f", "mod:a"), "fn:a/f@7": ("h", "mod:a")}
 
 
 def test_file_outside_the_root(spark):
@@ -112,8 +137,8 @@ def test_no_source_root(spark):
 
 
 def test_long_scope_chain_and_cycle(spark):
-    chain = [("p", i, f"b{i}", "block", "b", f"b{i - 1}" if i else "m", "src/m.py", 1) for i in range(20)]
-    loop = [("p", 30, "x", "block", "b", "y", "", 1), ("p", 31, "y", "block", "b", "x", "", 1), ("p", 32, "g", "function", "g", "x", "src/m.py", 1)]
-    nodes = frame(spark, [("p", 50, "m", "module", "m", None, "src/m.py", 1), ("p", 51, "f", "function", "f", "b19", "src/m.py", 1), *chain, *loop])
+    chain = [("p", i, f"b{i}", "block", "b", f"b{i - 1}" if i else "m", "src/m.py", 1) for i in range(75)]
+    loop = [("p", 130, "x", "block", "b", "y", "", 1), ("p", 131, "y", "block", "b", "x", "", 1), ("p", 132, "g", "function", "g", "x", "src/m.py", 1)]
+    nodes = frame(spark, [("p", 150, "m", "module", "m", None, "src/m.py", 1), ("p", 151, "f", "function", "f", "b74", "src/m.py", 1), *chain, *loop])
     got = {r.id: (r.parent_id, r.depth) for r in G.resolve_parent(nodes).collect()}
-    assert got == {"m": (None, None), "f": ("m", 21), "g": (None, None)}
+    assert got == {"m": (None, None), "f": ("m", 76), "g": (None, None)}

@@ -1,4 +1,4 @@
-"""Odd responses, provenance, prompts for oversized units, and resumable runs."""
+"""Odd responses, provenance, prompts, and resumable runs."""
 
 import json
 
@@ -38,6 +38,18 @@ def test_failures(spark):
     assert all(r.error.endswith("missing from class group response") for r in parse(spark, "[]", "class", ("a", "b")).values())
 
 
+def test_one_value_and_nothing_else(spark):
+    for raw in ('{"purpose": "x"} Hope this helps!', '{"purpose": "a"}{"purpose": "b"}', '{"purpose": "x"', '{},{}', '{}],[', '1,"v":2', ""):
+        assert parse(spark, raw)["a"].error == "a: response is not JSON", raw
+
+
+def test_text_that_looks_empty_is_kept(spark):
+    c = contract(spark, {"preconditions": {"retries": "0", "none": 0, "off": False, "list": [], "text": "[]"},
+                         "postconditions": [{"field": "flag", "value": "false"}, {"field": "flag", "value": False}, {"n": 0}]})
+    assert c["preconditions"] == ["retries: 0", "text: []"]
+    assert c["postconditions"] == ["flag: false", "flag", '{"n": 0}'.replace(" ", "")]
+
+
 def test_polymorphic_fields(spark):
     c = contract(spark, {
         "purpose": "p", "preconditions": "one", "postconditions": ["a", {"x": "u", "y": "", "z": "v"}, 3], "invariants": {"k": "v", "e": ""},
@@ -68,10 +80,10 @@ def test_batch_infer_retries(spark, tmp_path):
     assert [(r.raw, r.error) for r in got] == [(None, "down")] and open(seen).read() == "xxx"
 
 
-def test_oversize_text_keeps_its_row(spark):
-    lines = spark.createDataFrame([("a", i, "x" * 10) for i in range(5)] + [("b", 0, "y")], "k string, ord int, text string")
-    got = {r.k: (r.text, r.oversize) for r in assemble_text(lines, ["k"], ["ord"], max_chars=20).collect()}
-    assert got == {"a": (None, True), "b": ("y", False)}
+def test_text_of_any_size_comes_out_whole(spark):
+    lines = spark.createDataFrame([("a", i, str(i) * 400_000) for i in range(9, -1, -1)] + [("b", 0, "y")], "k string, ord int, text string")
+    got = {r.k: r.text for r in assemble_text(lines, ["k"], ["ord"]).collect()}
+    assert got == {"a": "\n".join(str(i) * 400_000 for i in range(10)), "b": "y"}
 
 
 def test_context_rules(spark):

@@ -64,15 +64,15 @@ def item_texts(t):
 
 
 def _turns(t: Tables):
-    """Each user turn with the assistant turn that follows it."""
+    """Each turn with the one that follows it; the last one with an empty text."""
     c = t.spread("conversations")
-    ref = c.filter("role = 'user'").select("conv_id", "turn", F.col("text").alias("ref"))
-    ext = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ext"))
-    return ref.join(ext, ["conv_id", "turn"])
+    ref = c.select("conv_id", "turn", F.col("text").alias("ref"))
+    ext = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("ext"))
+    return ref.join(ext, ["conv_id", "turn"], "left").withColumn("ext", F.coalesce("ext", F.lit("")))
 
 
-_TURNS = """turns AS (SELECT u.conv_id, u.turn, u.text AS ref, a.text AS ext FROM conversations u
-    JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 AND a.role = 'assistant' WHERE u.role = 'user')"""
+_TURNS = """turns AS (SELECT u.conv_id, u.turn, u.text AS ref, coalesce(a.text, '') AS ext FROM conversations u
+    LEFT JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1)"""
 
 
 @query("purpose_overlap", f"""

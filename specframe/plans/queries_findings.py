@@ -23,7 +23,7 @@ def _seconds(ts: str):
             + F.second(ts).cast("bigint"))
 
 
-# -- findings: a user's sign-ups are functions of one day, errors are findings --
+# -- findings: a user's sign-ups are functions of one day, all other events are findings --
 
 def functions(t: Tables) -> DataFrame:
     start = _seconds("ts")
@@ -34,7 +34,7 @@ def functions(t: Tables) -> DataFrame:
 
 
 def raw_findings(t: Tables) -> DataFrame:
-    """Errors as raw scanner findings, with odd severities and actions."""
+    """Other events as raw scanner findings, with odd severities and actions."""
     level = F.when(c("value") > 20, F.lit("HIGH")).when(c("value") > 10, F.lit("Medium")).when(c("value") > 3, F.lit("severe"))
     ids = F.array(F.struct(_text("V", c("user_id")).alias("id"), F.lit("t").alias("title"), F.lit("1").alias("level")))
     full = S.struct(S.COMPLIANCE)
@@ -42,7 +42,7 @@ def raw_findings(t: Tables) -> DataFrame:
         F.when(c("value") > 30, ids).cast(full["owasp_asvs"].dataType).alias("owasp_asvs"),
         F.when(c("value") > 20, F.array(F.lit("AC-1"))).otherwise(F.array().cast("array<string>")).alias("nist_800_53"),
         F.lit(None).cast(full["asd_stig"].dataType).alias("asd_stig"), F.lit(None).cast("array<string>").alias("pci_dss"))
-    return t.events.filter("event_type = 'error'").select(
+    return t.events.filter("event_type <> 'signup'").select(
         F.lit("site").alias("project_id"), c("event_id").alias("seq"), _text("src/app/u", c("user_id"), ".py").alias("file"),
         _seconds("ts").alias("line"), _text("R", c("user_id")).alias("rule_id"), level.alias("severity"),
         F.when(c("value") > 25, F.lit("")).when(c("value") > 22, F.lit("Critical")).alias("derived_severity"),
@@ -54,7 +54,7 @@ def raw_findings(t: Tables) -> DataFrame:
 _FUNC = """
 fn AS (SELECT event_id AS pos, 'f' || event_id AS id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS s,
    CASE WHEN value > 5 THEN CAST(floor(epoch(ts)) AS BIGINT) + CAST(trunc(value * 10000) AS BIGINT) END AS e FROM events WHERE event_type = 'signup'),
-fd AS (SELECT event_id AS seq, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS line, value, props FROM events WHERE event_type = 'error'),
+fd AS (SELECT event_id AS seq, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS line, value, props FROM events WHERE event_type <> 'signup'),
 enc AS (SELECT seq, coalesce(arg_min(id, (s, pos)) FILTER (line <= e), arg_max(id, (s, pos))) AS node_ref
    FROM fd LEFT JOIN fn ON fn.user_id = fd.user_id AND s <= line GROUP BY seq)"""
 
@@ -188,10 +188,12 @@ def cve_details(t):
     return dependencies(t).select("project_id", "pos", F.posexplode("cves").alias("ord", "v")).select("project_id", "pos", "ord", "v.id", "v.severity", "v.summary")
 
 
-@query("recommendations", """SELECT doc_id, CASE WHEN length(t) > 500 THEN left(t, 497) || '...' ELSE t END AS recommendation
-  FROM (SELECT doc_id, coalesce(nullif(CASE WHEN lang = 'en' THEN text ELSE '' END, ''), source) AS t FROM documents)""")
+@query("recommendations", """SELECT doc_id, given, CASE WHEN length(t) > 500 THEN left(t, 497) || '...' ELSE t END AS recommendation
+  FROM (SELECT doc_id, true AS given, coalesce(nullif(text, ''), source) AS t FROM documents UNION ALL SELECT doc_id, false, source FROM documents)""")
 def recommendations(t):
-    return t.documents.select("doc_id", deps.recommendation(F.when(c("lang") == "en", c("text")).otherwise(F.lit("")), c("source")).alias("recommendation"))
+    return t.documents.select("doc_id", "source", F.inline(F.array(
+        F.struct(F.lit(True).alias("given"), c("text").alias("said")), F.struct(F.lit(False).alias("given"), F.lit("").alias("said"))))
+    ).select("doc_id", "given", deps.recommendation(c("said"), c("source")).alias("recommendation"))
 
 
 @query("urgency", """SELECT o_orderkey, CASE lower(substr(o_orderpriority, 3)) WHEN 'high' THEN 'high' WHEN 'medium' THEN 'medium' WHEN 'low' THEN 'low' END AS urgency FROM orders""")

@@ -54,7 +54,7 @@ def prompt_inputs(t: Tables):
         c("o_custkey").cast("int").alias("line"), _text("c", c("o_custkey")).alias("node_ref")).unionByName(t.lineitem.select(
             _text("fn:l", line_pos()).alias("element_id"), _text("src/s", c("l_suppkey"), ".py").alias("file"),
             F.when(c("l_tax") > 0.02, c("l_linenumber")).alias("line"), _text("c", c("l_partkey")).alias("node_ref")))
-    findings = t.supplier.filter(c("s_acctbal") > 0).select(
+    findings = t.supplier.select(
         F.lit("shop").alias("project_id"), c("s_suppkey").alias("seq"), _text("/s", c("s_suppkey"), ".py").alias("file"), F.lit("R1").alias("rule_id"),
         F.lit("low").alias("severity"), c("s_name").alias("message"))
     deps = t.nation.select(
@@ -69,7 +69,7 @@ pl AS (SELECT 'cls:o' || o_orderkey AS element_id, 'class' AS lvl, 'src/c' || o_
 cve AS (SELECT 'Known CVEs for this codebase:' || E'\\n' || string_agg('- ' || n_name || ' (HIGH): s', E'\\n' ORDER BY n_nationkey) AS cves FROM nation),
 body AS (SELECT g.*, pl.*, coalesce(src, '{K.NO_SOURCE}') AS source, coalesce(rel, '{K.NO_CONTEXT}') AS structure,
    CASE WHEN s_suppkey IS NOT NULL THEN 'Relevant security findings:' || E'\\n- R1: R1 (severity: low) — ' || s_name || E'\\n\\n' ELSE '' END || cves AS section
-  FROM grp g JOIN pl ON pl.element_id = g.group_id LEFT JOIN ctx USING (node_ref) LEFT JOIN supplier ON s_suppkey = supp AND s_acctbal > 0, cve),
+  FROM grp g JOIN pl ON pl.element_id = g.group_id LEFT JOIN ctx USING (node_ref) LEFT JOIN supplier ON s_suppkey = supp, cve),
 prm AS (SELECT group_id, everyone, CASE type WHEN 'class' THEN '{K.PROMPT_CLASS_OPENING}' || E'\\n\\nElements:\\n  - ' || replace(everyone, ',', E'\\n  - ') || E'\\n'
    ELSE 'Extract the behavioral contract for the following ' || lvl || E'.\\n\\nElement: ' || group_id || E'\\nFile: ' || file || E'\\nLine: ' || coalesce(CAST(line AS VARCHAR), 'unknown') || E'\\n' END
   || E'\\nSource code:\\n```\\n' || source || E'\\n```\\n\\nStructural context:\\n' || structure || E'\\n\\nIMPORTANT — ' || section

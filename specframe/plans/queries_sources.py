@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..sources import documents as D
 from ..sources import manifests as M
-from ..sources.sinks import spec_lines
+from ..runtime import shared_folder
+from ..sources.sinks import read_spec_tables, spec_lines, write_specs
 from .registry import Tables, query
 
 c = F.col
@@ -120,16 +122,22 @@ def spec_docs(t: Tables) -> DataFrame:
         '"usage_paths": [{"id": "u", "name": "U", "nodes": ["a", "z"], ', meta, "}]}").alias("doc"))
 
 
-@query("read_specs", """
+_SPEC_ROWS = """
 SELECT 'o' || o_orderkey AS project_id, 'meta' AS section, 0 AS pos, 'P' || o_orderkey AS key, '0.1.0' AS detail FROM orders
 UNION ALL SELECT 'o' || o_orderkey, 'graph_ref', 0, 'g.json', CAST(o_orderkey AS VARCHAR) FROM orders
 UNION ALL SELECT 'o' || o_orderkey, 'elements', 0, 'mod:z' || o_orderkey, 'Z//' FROM orders
 UNION ALL SELECT 'o' || o_orderkey, 'elements', 1, 'cls:a' || o_orderkey, 'A/' || o_custkey || '/' || CASE WHEN o_orderstatus = 'F' THEN o_orderpriority || ':2' ELSE '' END FROM orders
 UNION ALL SELECT 'o' || o_orderkey, 'findings', 0, 'R', CAST(o_custkey AS VARCHAR) FROM orders
 UNION ALL SELECT 'o' || o_orderkey, 'dependencies', 0, 'd' || o_orderkey, 'C' FROM orders
-UNION ALL SELECT 'o' || o_orderkey, 'usage_paths', 0, 'u', 'a>z' FROM orders""")
+UNION ALL SELECT 'o' || o_orderkey, 'usage_paths', 0, 'u', 'a>z' FROM orders"""
+
+
+@query("read_specs", _SPEC_ROWS)
 def read_specs(t):
-    s = D.parse_specs(spec_docs(t))
+    return _spec_rows(D.parse_specs(spec_docs(t)))
+
+
+def _spec_rows(s: dict) -> DataFrame:
     row = lambda df, name, pos, key, detail: df.select("project_id", F.lit(name).alias("section"), pos.cast("bigint").alias("pos"), key.alias("key"), detail.cast("string").alias("detail"))
     blank = lambda v: F.coalesce(v.cast("string"), F.lit(""))
     contract = blank(F.when(c("contract").isNotNull(), _text(c("contract.purpose"), ":", F.size("contract.preconditions"))))
@@ -142,14 +150,25 @@ def read_specs(t):
         row(s["usage_paths"], "usage_paths", c("seq"), c("id"), F.array_join("nodes", ">"))])
 
 
+@query("spec_round_trip", _SPEC_ROWS)
+def spec_round_trip(t):
+    """All sections are written and read back."""
+    path = f"{shared_folder(t.spark)}/specframe/specs-{uuid.uuid4().hex}"
+    source = D.parse_specs(spec_docs(t))
+    few = {k: v.withColumn("body_project", c("project_id")).withColumn("project_id", _text("g", F.crc32("project_id") % 4)) for k, v in source.items()}
+    write_specs(few, path)
+    back = read_spec_tables(t.spark, path, {k: v.schema for k, v in few.items()})
+    return _spec_rows({k: v.withColumn("project_id", c("body_project")) for k, v in back.items()})
+
+
 @query("spec_lines", """
-SELECT 'o' || o_orderkey AS project_id, 'elements' AS section, '0' AS pos, 'mod:z' || o_orderkey AS key, 'Z' AS name, 'high' AS confidence FROM orders
-UNION ALL SELECT 'o' || o_orderkey, 'elements', '1', 'cls:a' || o_orderkey, 'A', 'high' FROM orders
-UNION ALL SELECT 'o' || o_orderkey, 'usage_paths', '0', NULL, 'U', 'high' FROM orders""")
+SELECT 'o' || o_orderkey AS project_id, 'elements' AS section, 0 AS rank, 0 AS pos, 'mod:z' || o_orderkey AS key, 'Z' AS name, 'high' AS confidence FROM orders
+UNION ALL SELECT 'o' || o_orderkey, 'elements', 0, 1, 'cls:a' || o_orderkey, 'A', 'high' FROM orders
+UNION ALL SELECT 'o' || o_orderkey, s, 0, 0, NULL, CASE s WHEN 'usage_paths' THEN 'U' END, CASE WHEN s NOT IN ('meta', 'graph_ref') THEN 'high' END
+  FROM orders, (SELECT unnest(['meta', 'graph_ref', 'findings', 'dependencies', 'usage_paths']) AS s)""")
 def write_spec_lines(t):
-    s = D.parse_specs(spec_docs(t))
-    return spec_lines({k: s[k] for k in ("elements", "usage_paths")}).select(
-        "project_id", "section", "pos", "key", F.get_json_object("body", "$.name").alias("name"), F.get_json_object("body", "$.metadata.confidence").alias("confidence"))
+    return spec_lines(D.parse_specs(spec_docs(t))).select(
+        "project_id", "section", "rank", "pos", "key", F.get_json_object("body", "$.name").alias("name"), F.get_json_object("body", "$.metadata.confidence").alias("confidence"))
 
 
 @query("parse_requirements", r"""

@@ -6,11 +6,11 @@ lookup tables, patterns and text fragments.  No logic lives in this module.
 
 # -- fixed values: keyword extraction -------------------------------------
 STOPWORDS = (
-    "a an the and or but in on at to for of with by from as is are was were be "
-    "been being have has had do does did will would could should may might must "
-    "that this it its not no if then each any all also than into via per whether "
-    "only when"
-).split()
+    "a", "an", "the", "and", "or", "but", "in", "on", "at", "to", "for", "of", "with", "by", "from", "as", "is",
+    "are", "was", "were", "be", "been", "being", "have", "has", "had", "do", "does", "did", "will", "would", "could",
+    "should", "may", "might", "must", "that", "this", "it", "its", "not", "no", "if", "then", "each", "any", "all",
+    "also", "than", "into", "via", "per", "whether", "only", "when",
+)
 KEYWORD_PATTERN = "[a-z]{3,}"  # maximal runs of letters longer than two
 
 # -- fixed values: element identity ---------------------------------------

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,10 +11,12 @@ from ..functions import names as N
 from ..operators import compare as H
 from ..operators import deps, findings, graph, imports, selection
 from ..operators import prompts as G
+from ..operators import responses as A
 from ..operators.graph import P
 from ..runtime import materialize
 from ..sources import documents as D
 from ..sources import rules as R
+from ..streaming.resumable import resumable_apply
 
 
 def assemble(spark: SparkSession, projects: DataFrame, graph_paths, now: str, finding_paths=None, audit_paths=None,
@@ -59,6 +63,33 @@ def build_prompts(groups: DataFrame, tables: dict[str, DataFrame], contexts: Dat
     return G.prompts(groups, tables["elements"], contexts, tables["findings"], tables["dependencies"])
 
 
+def extract(tables: dict[str, DataFrame], contexts: DataFrame, fn: Callable[[str], str], path: str, model: str, now: str,
+            scope: str | None = None, skip_existing: bool = False, batches: int = 1, retries: int = 2,
+            wait_seconds: float = 5.0) -> dict[str, DataFrame]:
+    """Plan, ask ``fn`` for each unit, parse, and merge; safe to stop and run again.
+
+    ``path`` holds the units that ended complete, and below ``-failed`` those that did not,
+    of every run.  A unit counts as complete when each of its elements has a contract.
+    Returns the merged ``elements``, the ``plan``, and ``outcomes`` and ``errors`` of this
+    and earlier runs."""
+    groups, plan = plan_extraction(tables["elements"], scope, skip_existing=skip_existing)
+    units = build_prompts(groups, tables, contexts)
+    spark = units.sparkSession
+
+    def answer(todo: DataFrame) -> DataFrame:
+        parsed = materialize(A.parse_responses(G.batch_infer(todo, fn, retries, wait_seconds)), "parsed")
+        whole = parsed.groupBy(P, "group_id").agg(F.min("found").alias("whole"))
+        judged = parsed.join(whole, [P, "group_id"])
+        judged.filter("NOT whole").drop("whole").write.mode("append").parquet(f"{path}-failed")
+        return judged.filter("whole").drop("whole")
+
+    complete = resumable_apply(units, answer, path, [P, "group_id"], batches)
+    failed = spark.read.parquet(f"{path}-failed")
+    open_ = failed.join(complete.select(P, "group_id").distinct(), [P, "group_id"], "left_anti").dropDuplicates([P, "group_id", "element_id"])
+    totals, errors = A.run_outcomes(complete.unionByName(open_))
+    return {"elements": A.merge_contracts(tables["elements"], complete, model, now), "plan": plan, "outcomes": totals, "errors": errors}
+
+
 def compare(extracted: DataFrame, reference: DataFrame, id_map: DataFrame | None = None) -> dict[str, DataFrame]:
     """Comparisons, their summary, and the elements without a reference."""
     if id_map is None:

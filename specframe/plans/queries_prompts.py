@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +14,8 @@ from ..operators import prompts as G
 from ..operators import quality as Q
 from ..operators import responses as R
 from ..operators import selection
+from ..runtime import shared_folder
+from . import jobs
 from .queries_graph import LINE_POS, _GROUPS, line_pos, order_elements
 from .registry import Tables, query
 
@@ -84,6 +89,36 @@ def prompts(t):
         "group_id", F.md5("prompt").alias("prompt_md5"), F.length("prompt").alias("chars"), F.array_join("expected_ids", ",").alias("expected"))
 
 
+def _contracts(prompt: str) -> str:
+    """An answer to any prompt: the prompt's length as the purpose of each element."""
+    lines = prompt.split("\n")
+    purpose = {"purpose": f"n{len(prompt)}"}
+    if lines[0] != K.PROMPT_CLASS_OPENING:
+        return json.dumps(purpose)
+    first = lines.index("Elements:") + 1
+    return json.dumps({line[4:]: purpose for line in lines[first:lines.index("", first)]})
+
+
+def _sometimes(prompt: str) -> str:
+    """The same, but most prompts fail or get half an answer."""
+    if len(prompt) % 3 == 0:
+        raise ValueError("busy")
+    return _contracts(prompt)[:-1] if len(prompt) % 3 == 1 else _contracts(prompt)
+
+
+@query("extraction_job", f"""WITH {_GROUPS}, {_CONTEXT}, {_PROMPT}
+SELECT unnest(string_split(everyone, ',')) AS element_id, 'n' || length(prompt) AS purpose, 'medium/needs_review' AS provenance FROM prm""")
+def extraction_job(t):
+    """Two runs: most units fail in the first, and all are complete after the second."""
+    groups, elements, findings, deps = prompt_inputs(t)
+    tables = {"elements": elements.withColumn("contract", F.lit(None).cast(S.struct(S.CONTRACT))).withColumn(
+        "metadata", F.lit(None).cast(S.struct(S.METADATA))), "findings": findings, "dependencies": deps}
+    path = f"{shared_folder(t.spark)}/specframe/answers-{uuid.uuid4().hex}"
+    jobs.extract(tables, contexts(t), _sometimes, path, "m1", NOW)
+    done = jobs.extract(tables, contexts(t), _contracts, path, "m1", NOW, batches=2)
+    return done["elements"].select("element_id", "contract.purpose", F.concat_ws("/", "metadata.confidence", "metadata.status").alias("provenance"))
+
+
 def _answer(prompt: str) -> str:
     if "\n" not in prompt:
         raise ValueError("one line")

@@ -233,6 +233,7 @@ def whole_percent(value: Column) -> Column:
     return F.concat(F.bround(value, 0).cast("bigint").cast("string"), F.lit("%"))
 
 
+# The labels and line forms of the two texts below.
 def comparison_text(comparisons: DataFrame) -> DataFrame:
     """Report lines per pair, ``(project_id, element_id, ord, text)``."""
     c = F.col

@@ -3,6 +3,9 @@
 ``(project_id, section, rank, pos, ord, text)``: sorted by these columns, the lines of
 a project are its Markdown document.  Every row makes its own lines where it is, so a
 project of any size is never gathered; counts are map-side aggregates.
+
+Fixed values: the headings, table heads and field labels in the functions below are
+those of the review document and stand where its lines are made.
 """
 
 from __future__ import annotations

@@ -162,21 +162,24 @@ def replacement_report(classified: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
-def replacement_checks(imports: DataFrame, classified: DataFrame) -> DataFrame:
+def replacement_checks(imports: DataFrame, classified: DataFrame, routed: DataFrame) -> DataFrame:
     """Acceptance checks, ``(project_id, check, failures)``: no action without a
-    recommendation, choices without alternatives are counted by ``route_symbols``, and
-    matched plus unmatched imports equal the imports scanned."""
+    recommendation, no choice without an alternative, and matched plus unmatched imports
+    equal the imports scanned.  ``routed`` comes from ``route_symbols``."""
     advice = F.col("target_module").isNotNull() | (F.size("replacements") > 0)
     got = classified.groupBy(P).agg(
         F.count(F.lit(1)).alias("matched"),
         F.count_if(F.col("action").isin("rename", "removed") & ~F.coalesce(advice, F.lit(False))).alias("without_advice"),
         F.count_if(~F.col("action").isin(*K.RULE_ACTIONS)).alias("unknown_action"))
+    choices = routed.filter("action = 'choice'").groupBy(P, "file", "line", "module", "name").agg(F.count("new_path").alias("n"))
+    bare = choices.filter("n = 0").groupBy(P).agg(F.count(F.lit(1)).alias("bare"))
     total = imports.groupBy(P).agg(F.count(F.lit(1)).alias("total"))
     left = unmatched_imports(imports, classified).groupBy(P).agg(F.count(F.lit(1)).alias("unmatched"))
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    wide = total.join(got, P, "left").join(left, P, "left").select(
+    wide = total.join(got, P, "left").join(left, P, "left").join(bare, P, "left").select(
         P, F.abs(zero("total") - zero("matched") - zero("unmatched")).alias("imports_not_accounted_for"),
-        zero("without_advice").alias("without_recommendation"), zero("unknown_action").alias("unknown_action"))
+        zero("without_advice").alias("without_recommendation"), zero("unknown_action").alias("unknown_action"),
+        zero("bare").alias("choices_without_alternatives"))
     names = [c for c in wide.columns if c != P]
     return wide.select(P, F.explode(F.array(*[
         F.struct(F.lit(c).alias("check"), F.col(c).cast("bigint").alias("failures")) for c in names])).alias("x")

@@ -112,4 +112,4 @@ def map_imports(spark: SparkSession, statements: DataFrame, migration: str, targ
         "findings": imports.replacement_findings(found), "symbols": routed, "choices": imports.route_choices(routed),
         "summary": imports.replacement_summary(statements, found), "manual_review": imports.manual_review(statements, found),
         "new_dependencies": imports.new_dependencies(found), "report": imports.replacement_report(found),
-        "checks": imports.replacement_checks(statements, found)}
+        "checks": imports.replacement_checks(statements, found, routed)}

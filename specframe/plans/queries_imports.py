@@ -20,6 +20,7 @@ RULES = [
     ("net.example", "choice", None, None, "either", None, []),
     ("net.example.m", "removed", None, "4", None, None, [("lib-m", "get lib-m", None)]),
     ("org.example", "split", None, None, "parts", None, []),
+    ("org.example.thonth", "removed", None, "4", None, None, []),  # no advice
 ]
 # (key, position, from, to, condition)
 TRANSFORMS = [
@@ -171,10 +172,13 @@ def replacement_report(t):
     return E.replacement_report(classified(t))
 
 
-@query("replacement_checks", f"""WITH {_CLASSIFIED}, p AS (SELECT DISTINCT project_id FROM imp)
-SELECT project_id, 'imports_not_accounted_for' AS "check", 0 AS failures FROM p UNION ALL SELECT project_id, 'without_recommendation', 0 FROM p UNION ALL SELECT project_id, 'unknown_action', 0 FROM p""")
+@query("replacement_checks", f"""WITH {_ROUTED}, p AS (SELECT DISTINCT project_id FROM imp),
+bare AS (SELECT project_id, file, line, module, name FROM routed WHERE action = 'choice' GROUP BY ALL HAVING count(new_path) = 0)
+SELECT project_id, 'imports_not_accounted_for' AS "check", 0 AS failures FROM p UNION ALL SELECT project_id, 'unknown_action', 0 FROM p
+UNION ALL SELECT project_id, 'without_recommendation', (SELECT count(*) FROM k WHERE k.project_id = p.project_id AND action IN ('rename', 'removed') AND target_module IS NULL AND len(libs) = 0) FROM p
+UNION ALL SELECT project_id, 'choices_without_alternatives', (SELECT count(*) FROM bare WHERE bare.project_id = p.project_id) FROM p""")
 def replacement_checks(t):
-    return E.replacement_checks(imports(t), classified(t))
+    return E.replacement_checks(imports(t), classified(t), routed(t))
 
 
 # -- the packaged rules, on imports spelled with the rule keys --------------------

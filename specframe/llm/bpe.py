@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heappop, heappush
 
@@ -19,6 +20,7 @@ from .batches import by_bytes, small_file
 CACHE_ENTRIES = 800_000
 _WORD = 256
 _PAIR = 1 << 20
+_MARKS = (".", ",", ";", ":", "!", "?")
 #: A run of white space that a cut before each blank would divide.
 _RUNS = re.compile(r"\s \s|\s \Z")
 
@@ -34,32 +36,36 @@ class RankQueue:
         self.top, self.low, self.buckets = 0, [0] * (ranks // _WORD + 1), {}
 
     def push(self, rank: int, position: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
+        if rank in self.buckets:
+            heappush(self.buckets[rank], position)
+        else:
             self.buckets[rank] = [position]
             word = rank // _WORD
             self.low[word] |= 1 << rank % _WORD
             self.top |= 1 << word
-        else:
-            heappush(bucket, position)
-
-    def pop(self) -> tuple[int, int]:
-        """The leftmost position of the smallest rank."""
-        word = (self.top & -self.top).bit_length() - 1
-        bits = self.low[word]
-        rank = word * _WORD + (bits & -bits).bit_length() - 1
-        bucket = self.buckets[rank]
-        position = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.low[word] = bits & (bits - 1)
-            if not self.low[word]:
-                self.top &= self.top - 1
-        return rank, position
+
+    def pop(self, now: list[int]) -> tuple[int, int]:
+        """The smallest rank and its leftmost position, or (-1, -1).  An entry is stale,
+        and skipped, unless ``now`` has its rank at its position."""
+        low, buckets = self.low, self.buckets
+        while self.top:
+            word = (self.top & -self.top).bit_length() - 1
+            bits = low[word]
+            rank = word * _WORD + (bits & -bits).bit_length() - 1
+            bucket = buckets[rank]
+            position = heappop(bucket)
+            if not bucket:
+                del buckets[rank]
+                low[word] = bits & (bits - 1)
+                if not low[word]:
+                    self.top &= self.top - 1
+            if now[position] == rank:
+                return rank, position
+        return -1, -1
 
 
 class _Chunks(dict):
-    """Token IDs, as little-endian bytes, of texts behind a fixed prefix; filled on demand
+    """Token IDs, as 32-bit numbers in bytes, of texts behind a fixed prefix; filled on demand
     and emptied when it holds ``CACHE_ENTRIES``."""
 
     def __init__(self, encoder: Encoder, prefix: str):
@@ -69,11 +75,13 @@ class _Chunks(dict):
     def __missing__(self, text: str) -> bytes:
         if len(self) >= CACHE_ENTRIES:
             self.clear()
-        ids = self.encoder.chunk(self.prefix + text)
-        out = np.array(ids, dtype="<u4").tobytes()
+        if text[-1:] in _MARKS and text[:-1].isalpha():
+            # the pattern ends a match between letters and a mark
+            return self[text[:-1]] + self.encoder.first[text[-1]]
+        ids = array("I", self.encoder.chunk(self.prefix + text)).tobytes()
         if len(text) <= 64:
-            self[text] = out
-        return out
+            self[text] = ids
+        return ids
 
 
 class Encoder:
@@ -102,27 +110,25 @@ class Encoder:
         """Merges by rising rank, leftmost first, until no neighbours make a token."""
         ids, n, pair, queue = [self.bytes[b] for b in word], len(word), self._pair, self.queue
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        now = [pair(ids[i], ids[i + 1]) for i in range(n - 1)] + [-1]
+        now = [*map(pair, ids, ids[1:]), -1]
         for i, rank in enumerate(now):
             if rank >= 0:
                 queue.push(rank, i)
-        while queue.top:
-            rank, i = queue.pop()
-            if now[i] != rank:
-                continue  # stale: the pair that stood here is gone
+        rank, i = queue.pop(now)
+        while rank >= 0:
             j = after[i]
-            ids[i], ids[j], now[j] = rank, -1, -1
+            ids[i], ids[j], now[i], now[j] = rank, -1, -1, -1
             k = after[i] = after[j]
-            now[i] = -1
             if k < n:
                 before[k] = i
-                now[i] = pair(rank, ids[k])
-                if now[i] >= 0:
-                    queue.push(now[i], i)
+                now[i] = made = pair(rank, ids[k])
+                if made >= 0:
+                    queue.push(made, i)
             if (h := before[i]) >= 0:
-                now[h] = pair(ids[h], rank)
-                if now[h] >= 0:
-                    queue.push(now[h], h)
+                now[h] = made = pair(ids[h], rank)
+                if made >= 0:
+                    queue.push(made, h)
+            rank, i = queue.pop(now)
         return [x for x in ids if x >= 0]
 
     def chunk(self, text: str) -> list[int]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import os
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,11 +18,12 @@ from tokenizers import Tokenizer
 
 from ..runtime import materialize
 from .batches import by_bytes, small_file
-from .bpe import _RUNS, CACHE_ENTRIES
+from .bpe import _MARKS, _RUNS, CACHE_ENTRIES
 from .ranks import bucket_count, key_bucket, shuffle_key, with_ranks
 
 WINDOW = 1024
 END_ID = 0
+LONGEST_KEPT = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -45,16 +47,35 @@ class _Coder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
         self.tokenizer = Tokenizer.from_buffer(file.sent.value)
         self.tokenizer.encode_special_tokens = True
+        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.known: dict[str, bytes] = {}
 
+    def _words(self, words: list[str]) -> list[bytes]:
+        """IDs of chunks that are a blank and letters, many at a call.  Between two of them
+        a line break is a token by itself, so it shows where the IDs of one end."""
+        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ends = np.flatnonzero(ids == self.line_break).tolist()
+        data = ids.tobytes()
+        return [data[4 * i:4 * j] for i, j in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
+
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The IDs of all these chunks; short ones are kept for later texts."""
         if len(self.known) >= CACHE_ENTRIES:
             self.known.clear()
-        new = [c for c in chunks if c not in self.known]
-        coded = self.tokenizer.encode_batch(new, add_special_tokens=False)
-        fresh = {c: np.array(e.ids, dtype="<u4").tobytes() for c, e in zip(new, coded, strict=True)}
-        self.known.update((c, ids) for c, ids in fresh.items() if len(c) <= 64)
+        known = self.known
+        new = [c for c in chunks if c not in known]
+        marked = [c for c in new if c[-1:] in _MARKS and c[1:-1].isalpha() and c[0] == " "]
+        words = {c for c in new if c[1:].isalpha() and c[0] == " "} | {c[:-1] for c in marked if c[:-1] not in known}
+        marks = {c[-1] for c in marked if c[-1] not in known}
+        short = sorted(w for w in words if len(w) <= LONGEST_KEPT)
+        for i in range(0, len(short), 1000):
+            known.update(zip(short[i:i + 1000], self._words(short[i:i + 1000]), strict=True))
+        rest = list(({c for c in new if c not in known} - set(marked)) | {w for w in words if len(w) > LONGEST_KEPT} | marks)
+        coded = self.tokenizer.encode_batch(rest, add_special_tokens=False)
+        fresh = {c: array("I", e.ids).tobytes() for c, e in zip(rest, coded, strict=True)}
+        known.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST_KEPT)
+        for c in marked:
+            fresh[c] = (known.get(c[:-1]) or fresh[c[:-1]]) + known[c[-1]]
         return fresh
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import let
-from ..runtime import materialize
+from ..runtime import broadcast_if_small, materialize
+from .ranks import per_group
 
 WINDOW = 5
 BLANKS = r"[\x20\x09-\x0D]+"
@@ -157,7 +158,7 @@ def _medians(rows: DataFrame) -> DataFrame:
     long = rows.select(*_GROUP[:2], F.posexplode(F.array(*STATISTICS)).alias("k", "x")).withColumn("start", F.col("k"))
     class_ = (F.col("x") / (UNIT / 100)).cast("long")
     middle = _quantile_bin(long.withColumn("bin", class_), 0.5, "mid")
-    off = long.join(middle, _GROUP).withColumn("bin", F.abs(class_ - F.col("mid")))
+    off = long.join(per_group(middle, "middle"), _GROUP).withColumn("bin", F.abs(class_ - F.col("mid")))
     spread = _quantile_bin(off, 0.5, "dev")
     both = middle.join(spread, _GROUP).select(
         "lang_key", "source_key", "start", (F.col("mid") / 100).alias("mid"), (F.col("dev") / 100 * 1.4826).alias("dev"))
@@ -186,8 +187,8 @@ def fit(rows: DataFrame, steps: int = STEPS) -> DataFrame:
     state = materialize(_estimates(_sums(rows.withColumn("start", F.lit(0)))).select(*_ESTIMATE).unionByName(
         _medians(rows).select(*_ESTIMATE)), "start")
     for step in range(steps):
-        measured = both.join(state, _GROUP).select(*_GROUP, *STATISTICS, _bin(distance()).alias("bin"))
-        near = measured.join(_quantile_bin(measured, SUBSET, "limit"), _GROUP).filter("bin <= limit")
+        measured = both.join(broadcast_if_small(state), _GROUP).select(*_GROUP, *STATISTICS, _bin(distance()).alias("bin"))
+        near = measured.join(per_group(_quantile_bin(measured, SUBSET, "limit"), "limits"), _GROUP).filter("bin <= limit")
         moved = materialize(_estimates(_sums(near)).select(*_ESTIMATE), f"step-{step}")
         change = moved.join(state.select(*_GROUP, F.col("log_det").alias("was")), _GROUP).agg(
             F.max(F.abs(F.col("log_det") - F.col("was")))).first()[0]
@@ -195,7 +196,7 @@ def fit(rows: DataFrame, steps: int = STEPS) -> DataFrame:
         if change is None or change < 1e-9:
             break
     best = F.row_number().over(Window.partitionBy("lang_key", "source_key").orderBy("log_det", "start"))
-    chosen = state.withColumn("place", best).filter("place = 1").drop("place")
+    chosen = per_group(state.withColumn("place", best).filter("place = 1").drop("place"), "chosen")
     measured = rows.join(chosen.drop("start"), ["lang_key", "source_key"]).withColumn("start", F.lit(0)).withColumn("bin", _bin(distance()))
     middle = _quantile_bin(measured, 0.5, "mid").drop("start")
     # a group whose middle lies nearer than a normal sample's is held by the floors alone
@@ -214,8 +215,8 @@ def verdicts(counted: DataFrame, cutoff: float = CHI2_CUTOFF) -> DataFrame:
     counts, ``lang_key`` and ``source_key``.  Rows that fail the base rules teach nothing."""
     rows = counted.withColumn("base_failed", base_failed())
     means = rows.filter("NOT base_failed").groupBy("lang_key").agg((F.sum("word_chars") / F.sum("n_words")).alias("mean_length"))
-    measured = rows.join(means, "lang_key", "left").select(*rows.columns, *statistics(F.coalesce("mean_length", F.lit(1.0))))
-    model = fit(materialize(measured.filter("NOT base_failed").select("lang_key", "source_key", *STATISTICS), "statistics"))
+    measured = rows.join(per_group(means, "means"), "lang_key", "left").select(*rows.columns, *statistics(F.coalesce("mean_length", F.lit(1.0))))
+    model = per_group(fit(materialize(measured.filter("NOT base_failed").select("lang_key", "source_key", *STATISTICS), "statistics")), "model")
     far = distance() / F.col("scale") > cutoff
     joined = measured.join(model, ["lang_key", "source_key"], "left")
     return joined.select(*rows.columns, (~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).alias("kept"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..runtime import broadcast_if_small, materialize
+
 ROWS_PER_BUCKET = 50_000
 LEAST_BUCKETS = 256
 KEY_BITS = 60
@@ -45,12 +47,18 @@ def with_ranks(rows: DataFrame, group: list[str], bucket: Column, order: list[Co
         "rank", F.col("_start") + F.row_number().over(own) - 1).drop("_bucket", "_start")
 
 
+def per_group(small: DataFrame, label: str) -> DataFrame:
+    """A table with few rows per group, written, and sent to all tasks if its size allows:
+    then no join deals the rows of a large group to one task."""
+    return broadcast_if_small(materialize(small, label))
+
+
 def first_by_key(rows: DataFrame, group: str, most: Column, ties: tuple[str, ...] = ()) -> DataFrame:
     """Of each ``group`` the ``most`` rows with the smallest ``key``, a ``shuffle_key``.
 
     Keys are evenly spread, so the group's size says below which key these rows lie, with
     a wide margin; only rows below it are sorted."""
-    counts = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_of"))
+    counts = per_group(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_of")), "group-sizes")
     near = rows.join(counts, group).withColumn("_most", most).filter(
         F.col("key") <= F.least(F.lit(1.0), (4 * F.col("_most") + 100) / F.col("_of")) * F.lit(float(2 ** KEY_BITS)))
     order = Window.partitionBy(group).orderBy("key", *ties)

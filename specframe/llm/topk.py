@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..runtime import materialize
 
 SCALE = 64
-BLOCK, QUERY_BLOCK = 32_768, 128
+BLOCK, QUERY_BLOCK = 32_768, 512
 LARGEST = 2 ** 23
 
 
@@ -20,7 +20,7 @@ def quantised(vector: Column, scale: int = SCALE) -> Column:
     or not finite, or if a component leaves the range in which sums stay exact."""
     cells = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
     usable = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) * scale < LARGEST, F.lit(False)))
-    return F.when(usable, cells.cast("array<long>"))
+    return F.when(usable, cells.cast("array<int>"))
 
 
 class BitSlices:
@@ -115,6 +115,8 @@ def exact_top(vectors: DataFrame, k: int, is_query: Column, block: int = BLOCK,
     Rows go to blocks, queries to blocks of their own, both by a hash of the ID; each block
     of queries meets each block of rows in a task of its own, which builds the bit-sliced
     index of its rows and returns ``k`` rows per query, and these are merged by query.
+    Exact search compares all queries with all rows, so a row is sent once per block of
+    queries; larger ``query_block`` sends less and makes longer tasks.
     Null IDs and vectors take no part; a repeated ID counts once, with its smallest vector;
     shorter vectors are filled up with zeros.  An empty table gives no rows."""
     rows = materialize(vectors.filter("vec_id IS NOT NULL AND q IS NOT NULL").groupBy("vec_id").agg(F.min("q").alias("q")), "vectors")

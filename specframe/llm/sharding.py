@@ -49,6 +49,7 @@ def interleave(docs: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, placed: DataFrame, path: str) -> None:
-    """The documents as one folder per shard, in slot order.  ``doc_id`` must be unique."""
+    """The documents as one folder per shard, whose files follow each other in slot order.
+    ``doc_id`` must be unique.  A shard of any size is spread over tasks by slot."""
     whole = docs.join(placed.select("doc_id", "shard", "slot"), "doc_id")
-    whole.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    whole.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)

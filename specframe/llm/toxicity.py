@@ -22,7 +22,7 @@ from .ranks import first_by_key, shuffle_key
 FOLDS = 5
 #: Bounds of the training sample: labelled rows of either class.
 TRAIN_TOXIC, TRAIN_CLEAN = 3000, 6000
-LEAST_STEM, LONGEST_STEM = 3, 12
+LEAST_STEM, LONGEST_STEM, FUZZY_STEM = 3, 12, 5
 LEAST_DOCS, LEAST_SIGNIFICANCE, LEAST_ODDS = 3, 25.0, 2.0
 CONTEXT = 5
 #: What a hit counts when it is misspelled, when it stands in quotation marks, and what
@@ -35,20 +35,26 @@ CACHE_ENTRIES = 500_000
 
 
 def errors_allowed(term: str) -> int:
-    """Edits that a whole word may differ by; stems and short words are taken exactly."""
-    return 0 if not term.endswith(END) or len(term) <= 5 else 1 if len(term) <= 10 else 2
+    """Edits that a whole word, or what a word starts with, may differ by.  Short stems are
+    taken exactly; ``loose_terms`` tells which others must be."""
+    if not term.endswith(END):
+        return 1 if len(term) >= FUZZY_STEM else 0
+    return 1 if len(term) <= 10 else 2
 
 
 class Matcher:
     """Levenshtein automata of all terms, run over the trie of the lexicon at once.
 
     A state is a set of (trie node, edits so far).  A character moves along an edge that
-    bears it, or costs one edit as a wrong, an extra or, before it, a missing character.
+    bears it, or costs one edit as a wrong, an extra or, before it, a missing character;
+    with ``swaps``, two neighbours in the wrong order cost one edit too, and between them
+    the state holds the node behind both and the character still to come.
     Sets and their moves are made when a text first needs them and kept, so words are
     read at one table lookup per character."""
 
-    def __init__(self, terms: dict[str, int]):
+    def __init__(self, terms: dict[str, int], swaps: bool = False):
         """``terms`` with the edits that each may differ by."""
+        self.swaps = swaps
         self.children: list[dict[str, int]] = [{}]
         self.most, self.words, self.stems = [0], {}, {}
         for term, allowed in terms.items():
@@ -64,16 +70,18 @@ class Matcher:
             if term.endswith(END):
                 self.words[node] = term, allowed
             else:
-                self.stems[node] = term
+                self.stems[node] = term, allowed
         self.alphabet = {c for edges in self.children for c in edges}
         self.moves: dict[tuple[frozenset, str], frozenset] = {}
         self.start = self._closed({0: 0})
 
-    def _closed(self, state: dict[int, int]) -> frozenset:
+    def _closed(self, state: dict) -> frozenset:
         """Adds what is reached by skipping characters of terms."""
         waiting = list(state.items())
         while waiting:
             node, used = waiting.pop()
+            if isinstance(node, tuple):
+                continue
             for child in self.children[node].values():
                 if used < self.most[child] and state.get(child, 99) > used + 1:
                     state[child] = used + 1
@@ -81,22 +89,29 @@ class Matcher:
         return frozenset(state.items())
 
     def _move(self, state: frozenset, c: str) -> frozenset:
-        after: dict[int, int] = {}
+        after: dict[int | tuple[int, str], int] = {}
 
         def reach(node: int, used: int) -> None:
             if used <= self.most[node] or not used:
                 after[node] = min(used, after.get(node, 99))
 
         for node, used in state:
-            if node in self.stems and not used:
-                reach(node, 0)
+            if isinstance(node, tuple):
+                if node[1] == c:
+                    reach(node[0], used)
+                continue
+            if node in self.stems and used <= self.stems[node][1]:
+                reach(node, used)
             for edge, child in self.children[node].items():
                 reach(child, used + (edge != c))
+                behind = self.children[child].get(c)
+                if self.swaps and edge != c and behind is not None and used < self.most[behind]:
+                    after[behind, edge] = min(used + 1, after.get((behind, edge), 99))
             reach(node, used + 1)
         return self._closed(after)
 
-    def find(self, word: str) -> tuple[float, str]:
-        """The term that a word is: with strength 1, or less if misspelled; 0 for no hit."""
+    def matches(self, word: str) -> list[tuple[float, str]]:
+        """All terms that a word is, each with strength 1, or less if misspelled."""
         state = self.start
         for c in word:
             key = state, c if c in self.alphabet else ""
@@ -104,15 +119,16 @@ class Matcher:
                 self.moves[key] = self._move(*key)
             state = self.moves[key]
             if not state:
-                return 0.0, ""
-        best = 0.0, ""
+                return []
+        out = []
         for node, used in state:
-            if node in self.stems and not used:
-                return 1.0, self.stems[node]
-            term, allowed = self.words.get(node, ("", -1))
-            if used <= allowed:
-                best = max(best, (FUZZY ** used, term))
-        return best
+            ends = (self.words.get(node), self.stems.get(node))
+            out += [(FUZZY ** used, term) for term, allowed in filter(None, ends) if used <= allowed]
+        return out
+
+    def find(self, word: str) -> tuple[float, str]:
+        """The strongest match of a word; strength 0 for no hit."""
+        return max(self.matches(word), default=(0.0, ""))
 
 
 class _Hits(dict):
@@ -188,32 +204,48 @@ def significance(toxic: int, clean: int, all_toxic: int, all_clean: int) -> floa
     return 2 * out
 
 
+def telling(term: str, counts: dict[str, tuple[int, int]], all_toxic: int, all_clean: int) -> float:
+    """Likelihood ratio of a term that tells the classes apart, else 0."""
+    toxic, clean = counts[term]
+    odds = math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1))
+    evidence = significance(toxic, clean, all_toxic, all_clean)
+    return evidence if toxic >= LEAST_DOCS and odds >= LEAST_ODDS and evidence >= LEAST_SIGNIFICANCE else 0.0
+
+
 def choose_terms(counts: dict[str, tuple[int, int]], all_toxic: int, all_clean: int) -> list[str]:
     """Terms that tell the classes apart.  A stem goes on as long as one longer term keeps
-    nearly all its documents; terms below a chosen stem are covered by it."""
-    def good(term: str) -> bool:
-        toxic, clean = counts[term]
-        odds = math.log((toxic + 0.5) / (all_toxic + 1)) - math.log((clean + 0.5) / (all_clean + 1))
-        return toxic >= LEAST_DOCS and odds >= LEAST_ODDS and significance(toxic, clean, all_toxic, all_clean) >= LEAST_SIGNIFICANCE
-
+    nearly all its documents, and gives way to longer terms if one of them has the higher
+    likelihood ratio; terms below a chosen stem are covered by it."""
     longer: dict[str, int] = {}
     for term, (toxic, _) in counts.items():
         longer[term[:-1]] = max(longer.get(term[:-1], 0), toxic)
-    closed = [t for t in counts if (t.endswith(END) or longer.get(t, 0) < 0.95 * counts[t][0]) and good(t)]
-    stems = {t for t in closed if not t.endswith(END)}
-    return sorted(t for t in closed if not any(t.removesuffix(END)[:k] in stems and t[:k] != t for k in range(LEAST_STEM, len(t))))
+    closed = {t: e for t in counts if (t.endswith(END) or longer.get(t, 0) < 0.95 * counts[t][0]) and (e := telling(t, counts, all_toxic, all_clean))}
+    purer: dict[str, float] = {}
+    for term, evidence in closed.items():
+        for k in range(LEAST_STEM, len(term)):
+            purer[term[:k]] = max(purer.get(term[:k], 0.0), evidence)
+    stems = {t for t in closed if not t.endswith(END) and purer.get(t, 0.0) <= closed[t]}
+    return sorted(t for t in closed if (t.endswith(END) or t in stems) and not any(
+        t.removesuffix(END)[:k] in stems and t[:k] != t for k in range(LEAST_STEM, len(t))))
+
+
+def with_words(terms: list[str], counts: dict[str, tuple[int, int]], all_toxic: int, all_clean: int) -> list[str]:
+    """``terms`` and the telling whole words under their stems, which misspelled words may be near."""
+    stems = {t for t in terms if not t.endswith(END)}
+    words = {t for t in counts if t.endswith(END) and any(t[:k] in stems for k in range(LEAST_STEM, len(t))) and telling(t, counts, all_toxic, all_clean)}
+    return sorted({*terms, *words})
 
 
 def loose_terms(sample: DataFrame, terms: dict[str, int]) -> set[str]:
     """Terms that clean documents of the sample hold misspelled, in ``LEAST_DOCS`` or more
     of them: other words are too like them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(terms)
+        matcher = Matcher(terms, swaps=True)
         for batch in batches:
             found: Counter = Counter()
             for text in batch.column("text").to_pylist():
-                hits = (matcher.find(w.strip(_PUNCTUATION)) for w in set(text.lower().split()))
-                found.update({term for strength, term in hits if 0 < strength < 1})
+                hits = (matcher.matches(w.strip(_PUNCTUATION)) for w in set(text.lower().split()))
+                found.update({term for near in hits if near and max(near)[0] < 1 for _, term in near})
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["term", "n"])
 
     seen = sample.filter("toxic = 0").select("text").mapInArrow(run, "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
@@ -247,7 +279,7 @@ _HITS: dict[str, _Hits] = {}
 def _hits(key: str, terms: Broadcast) -> _Hits:
     if key not in _HITS:
         _HITS.clear()
-        _HITS[key] = _Hits(Matcher(terms.value))
+        _HITS[key] = _Hits(Matcher(terms.value, swaps=True))
     return _HITS[key]
 
 
@@ -286,7 +318,8 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
     size = Counter({r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
     telling = count_terms(sample).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * size[0] > F.col("clean") * size[1]))
     counts = {r["term"]: (r["toxic"], r["clean"]) for r in telling.collect()}
-    terms, key = {t: errors_allowed(t) for t in choose_terms(counts, size[1], size[0])}, uuid.uuid4().hex
+    chosen = with_words(choose_terms(counts, size[1], size[0]), counts, size[1], size[0])
+    terms, key = {t: errors_allowed(t) for t in chosen}, uuid.uuid4().hex
     terms |= dict.fromkeys(loose_terms(sample, terms), 0)
     sent = spark.sparkContext.broadcast(terms)
     rows = _measure(sample, key, sent, ["toxic"]).collect()

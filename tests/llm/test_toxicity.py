@@ -53,6 +53,47 @@ def test_term_choice():
     assert toxicity.significance(1, 10, 100, 1000) == 0 and toxicity.significance(20, 0, 100, 1000) > 80
 
 
+def test_purer_words_win_over_a_stem():
+    counts = {"stu": (95, 78), "stud$": (0, 78), **dict.fromkeys(("stup", "stupi", "stupid", "stupid$"), (87, 0))}
+    assert toxicity.choose_terms(counts, 342, 2709) == ["stupid$"]
+    counts = {"low": (80, 0), "lowe": (80, 0), "lowea$": (30, 0), "loweb$": (50, 0), "lower$": (1, 0)}
+    chosen = toxicity.choose_terms(counts, 100, 1000)
+    assert chosen == ["lowe"] and toxicity.with_words(chosen, counts, 100, 1000) == ["lowe", "lowea$", "loweb$"]
+
+
+def swapped(a, b):
+    """Edit distance in which two neighbours in the wrong order cost one edit."""
+    @lru_cache(None)
+    def d(i, j):
+        if not i or not j:
+            return i + j
+        swap = d(i - 2, j - 2) + 1 if min(i, j) > 1 and a[i - 2:i] == b[j - 2:j][::-1] else 99
+        return min(d(i - 1, j) + 1, d(i, j - 1) + 1, d(i - 1, j - 1) + (a[i - 1] != b[j - 1]), swap)
+    return d(len(a), len(b))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.sampled_from(["stupid", "worthless", "scum", "loweing"]).flatmap(lambda t: st.tuples(
+    st.just(t), st.integers(0, 8), st.text("stupidlowe", max_size=2), st.integers(0, 2), st.integers(0, 8)).map(
+        lambda x: (w := x[0][:x[1]] + x[2] + x[0][x[1] + x[3]:])[:x[4]] + w[x[4]:x[4] + 2][::-1] + w[x[4] + 2:])))
+def test_swaps_and_misspelled_stems(word):
+    terms, want = {"stupid$": 1, "worthless$": 2, "scum$": 1, "lowei": 1}, 0.0
+    for term, allowed in terms.items():
+        edits = swapped(word, term[:-1]) if term.endswith("$") else min(swapped(word[:k], term) for k in range(len(word) + 1))
+        want = max(want, toxicity.FUZZY ** edits if edits <= allowed else 0)
+    assert toxicity.Matcher(terms, swaps=True).find(word)[0] == pytest.approx(want)
+
+
+def test_misspelled_words_of_a_family(spark, make_docs):
+    words = ["stupid", "pathetic", "scum"]
+    texts = [(i, f"a {(words if i % 2 else ['student', 'patent', 'stop'])[i % 3]} day {i}", "en", "s") for i in range(240)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(240)], "doc_id long, toxic int")
+    model = toxicity.train(make_docs(texts), labels)
+    more = ["a sutpid day", "a spupid day", "a ptahetic day", "a scvm day", "a studio day", "a path of day"]
+    got = toxicity.score(make_docs([(k, text, "en", "s") for k, text in enumerate(more)]), model).collect()
+    assert [r["predicted"] for r in sorted(got, key=lambda r: r["doc_id"])] == [1, 1, 1, 1, 0, 0]
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")

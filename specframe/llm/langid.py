@@ -15,6 +15,9 @@ from .ranks import first_by_key, shuffle_key
 
 ORDER = 3
 TRAIN_DOCS, TRAIN_CHARS = 400, 300_000
+#: A sampled text teaches at most this part of its language's characters, so that very
+#: long texts leave room for others.
+STRETCHES = 20
 UNKNOWN = "und"
 _LETTER = r"\p{L}"
 
@@ -139,7 +142,8 @@ def _scorer(model: LanguageModel) -> Scorer:
 
 
 def _bounded(rows: DataFrame, docs_per_lang: int, chars_per_lang: int) -> DataFrame:
-    """Of each language the first rows by ``key``, within both bounds but for the first row."""
+    """Of each language the first rows by ``key``, within both bounds but for the first row.
+    No row may hold more than a small part of the characters, or it ends the sample early."""
     ties = ("chars", *[c for c in ("text",) if c in rows.columns])
     first = first_by_key(rows, "lang", F.lit(docs_per_lang), ties)
     order = Window.partitionBy("lang").orderBy("key", *ties)
@@ -151,10 +155,12 @@ def train(labelled: DataFrame, docs_per_lang: int = TRAIN_DOCS, chars_per_lang:
     """A model from ``(doc_id, text, lang)``; rows with null text, language or ID teach nothing.
 
     The sample is bounded: of each language the first documents in a fixed random order of
-    their IDs, at most ``docs_per_lang`` and, but for the first, ``chars_per_lang``
-    characters.  IDs are chosen before any text moves; repeated IDs stay within the bounds."""
+    their IDs, at most ``docs_per_lang`` and ``chars_per_lang`` characters.  Of each text
+    the first ``chars_per_lang / STRETCHES`` characters are used.  IDs are chosen before any
+    text moves; repeated IDs stay within the bounds."""
+    stretch = F.substring("text", 1, max(1, chars_per_lang // STRETCHES))
     rows = labelled.filter("doc_id IS NOT NULL AND lang IS NOT NULL AND text IS NOT NULL").select(
-        "doc_id", "lang", F.length("text").alias("chars"), shuffle_key(0, F.col("doc_id")).alias("key"), "text")
+        "doc_id", "lang", F.length(stretch).alias("chars"), shuffle_key(0, F.col("doc_id")).alias("key"), stretch.alias("text"))
     chosen = _bounded(rows.drop("text"), docs_per_lang, chars_per_lang)
     ids = [r["doc_id"] for r in chosen.select("doc_id").distinct().collect()]
     trees: dict[str, ContextTree] = {}

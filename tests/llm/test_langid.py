@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import numpy as np
@@ -74,5 +75,14 @@ def test_bounded_sample(spark, make_docs):
     assert set(roots) == {"en", "de"} and all(0 < n <= 110 for n in roots.values())
 
 
+def test_sample_fills_up_behind_a_very_long_text(spark, make_docs):
+    order = sorted(range(60), key=lambda i: int(hashlib.md5(f"0:{i}".encode()).hexdigest()[:15], 16))
+    texts = {i: "short text" for i in order} | {order[1]: "long " * 80_000, order[-1]: "the last one: zebra"}
+    model = langid.train(make_docs([(i, text, "en", "s") for i, text in texts.items()]))
+    tree = model.sent.value["en"]
+    assert tree.nodes[3][b"ebr"] == {ord("a"): 1} and tree.nodes[3][b"sho"] == {ord("r"): 58}
+    assert sum(tree.nodes[0][b""].values()) == 58 * 10 + 19 + langid.TRAIN_CHARS // langid.STRETCHES
+
+
 def test_nothing_to_learn_from(spark, odd_docs, no_docs):
     assert {r["lang_pred"] for r in langid.identify(odd_docs, langid.train(no_docs)).collect()} == {"und"}

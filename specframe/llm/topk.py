@@ -12,29 +12,31 @@ from ..runtime import materialize
 
 SCALE = 64
 BLOCK, QUERY_BLOCK = 32_768, 512
-LARGEST = 2 ** 23
+LARGEST = 2.0 ** 63
 
 
 def quantised(vector: Column, scale: int = SCALE) -> Column:
     """``floor(scale * x)`` of every component; null if the vector or a component is null
-    or not finite, or if a component leaves the range in which sums stay exact."""
+    or not finite, or if a cell does not fit a long."""
     cells = F.transform(vector, lambda x: F.floor(x.cast("double") * scale))
     usable = F.forall(vector, lambda x: F.coalesce(F.abs(x.cast("double")) * scale < LARGEST, F.lit(False)))
-    return F.when(usable, cells.cast("array<int>"))
+    return F.when(usable, cells.cast("array<long>"))
 
 
 class BitSlices:
     """The index of one block: rows as bits, one bitmap for each bit of each component.
 
-    Components are shifted by their least value, so slices hold no signs."""
+    Components are shifted by their least value, so slices hold no signs; the shifted
+    values of longs fit 64 bits without a sign."""
 
     def __init__(self, rows: np.ndarray):
         self.rows, (self.n, self.dims) = rows, rows.shape
         self.words = -(-self.n // 64)
         self.least = rows.min(axis=0) if self.n else np.zeros(self.dims, dtype=np.int64)
-        self.widths = [int(w).bit_length() for w in (rows - self.least).max(axis=0)] if self.n else [0] * self.dims
-        self.slices = [[self._pack((column - low) >> k & 1) for k in range(width)]
-                       for column, low, width in zip(rows.T, self.least, self.widths, strict=True)]
+        shifted = rows.astype(np.uint64) - self.least.astype(np.uint64)
+        self.widths = [int(w).bit_length() for w in shifted.max(axis=0)] if self.n else [0] * self.dims
+        self.slices = [[self._pack(column >> np.uint64(k) & np.uint64(1)) for k in range(width)]
+                       for column, width in zip(shifted.T, self.widths, strict=True)]
         self.inverse = [[~s for s in slices] for slices in self.slices]
         self.all = self._pack(np.ones(self.n, dtype=np.int64))
 
@@ -108,6 +110,17 @@ def _matrix(cells: pa.Array | pd.Series, dims: int) -> np.ndarray:
     return out
 
 
+def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products of rows with a query, exact; an error if one does not fit a long."""
+    most = [float(np.abs(x.astype(float)).max(initial=0)) for x in (rows, query)]
+    if most[0] * most[1] * max(1, len(query)) < 2 ** 62:
+        return rows @ query
+    exact = rows.astype(object) @ query.astype(object)
+    if any(not -2 ** 63 <= v < 2 ** 63 for v in exact):
+        raise OverflowError("an inner product among the results does not fit a long")
+    return exact.astype(np.int64)
+
+
 def exact_top(vectors: DataFrame, k: int, is_query: Column, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: for each row of ``vectors (vec_id, q)`` that is a
     query the ``k`` other rows with the highest inner products, ties to the smaller ID.
@@ -140,7 +153,7 @@ def exact_top(vectors: DataFrame, k: int, is_query: Column, block: int = BLOCK,
             hits = index.top(query, k, at if at < len(ids) and ids[at] == query_id else None)
             query_ids.append(np.full(len(hits), query_id))
             found.append(ids[hits])
-            scores.append(index.rows[hits] @ query)
+            scores.append(products(index.rows[hits], query))
         if not query_ids:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         return pd.DataFrame({"query_id": np.concatenate(query_ids), "vec_id": np.concatenate(found), "score": np.concatenate(scores)})

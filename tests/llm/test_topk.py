@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from specframe.llm import topk
@@ -45,6 +46,16 @@ def test_rows_that_take_no_part(spark):
     assert found(spark, []) == [] and found(spark, [(0, [1.0])]) == []
 
 
+def test_large_components_take_part(spark):
+    rows = [(i, [float(i % 7), 2.0 ** 18 * (i % 3), -1.0]) for i in range(60)] + [(100, [3e7, -3e7, 1.0]), (101, [2.0 ** 22, 1.0, 0.0]), (102, [3e7, 1.0, 0.0])]
+    assert found(spark, rows) == expected(rows) and {i for i, *_ in expected(rows)} == {0, 20, 40, 100}
+    assert found(spark, rows, 3, block=16, query_block=2) == expected(rows)
+    ends = np.array([[-2 ** 63, 5], [2 ** 63 - 1024, -5], [0, 0]])
+    assert list(topk.BitSlices(ends).top(np.array([2 ** 40, -3]), 2, None)) == [1, 2]
+    with pytest.raises(OverflowError):
+        topk.products(ends, np.array([2 ** 40, 0]))
+
+
 def test_slices_add_up():
     rnd = np.random.default_rng(5)
     rows, query = rnd.integers(-50, 50, (130, 7)), np.array([3, -7, 0, 1, -1, 12, -30])

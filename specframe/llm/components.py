@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,3 +32,15 @@ def stars(edges: DataFrame, label: str = "stars") -> DataFrame:
         if now == before:
             return links.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
+
+
+def forest(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The smallest reachable place of every place, after links between ``x`` and ``y`` are
+    added to ``root``, which points every place to its smallest one so far."""
+    while len(x):
+        x, y = root[x], root[y]
+        x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+        np.minimum.at(root, y, x)
+        while not np.array_equal(root, up := root[root]):
+            root = up
+    return root

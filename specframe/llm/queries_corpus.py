@@ -18,10 +18,10 @@ sets AS (
     ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS s FROM numbered),
 items AS (SELECT row_no, unnest(s) AS item FROM sets),
 shared AS (
-  SELECT a.row_no AS x, b.row_no AS y, count(*) AS both FROM items a JOIN items b ON a.item = b.item AND a.row_no != b.row_no GROUP BY ALL),
+  SELECT a.row_no AS x, b.row_no AS y, count(*) AS n_common FROM items a JOIN items b ON a.item = b.item AND a.row_no != b.row_no GROUP BY ALL),
 links AS (
   SELECT x, y FROM shared JOIN sets a ON a.row_no = x JOIN sets b ON b.row_no = y
-  WHERE 100 * both >= 90 * (len(a.s) + len(b.s) - both)),
+  WHERE 100 * n_common >= 90 * (len(a.s) + len(b.s) - n_common)),
 reached(start_no, row_no) AS (
   SELECT row_no, row_no FROM sets
   UNION

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +17,7 @@ from .batches import by_bytes
 from .ranks import per_group
 
 LONGEST, LEAST_COUNT, TOP = 5, 100, 2000
-#: A pair of words in so many ends a chunk, on average; a chunk without any ends at ``CUT`` words.
+#: One word in so many ends a chunk, on average; a chunk without any ends at ``CUT`` words.
 TRIGGER, CUT = 64, 4096
 #: Bits of the filter of frequent phrases that all tasks get; its size does not grow.
 FILTER_BITS = 27
@@ -61,19 +61,23 @@ def _hashes(words: list[bytes]) -> np.ndarray:
 def parse(words: list[bytes], longest: int = LONGEST) -> list[tuple[bytes, int]]:
     """Chunks of a text: their words joined by blanks, and at how many of them phrases start.
 
-    A chunk ends where the hash of two neighbouring words says so, and goes on for
+    A chunk ends behind a word where the hash of the last eight bytes says so, and goes on for
     ``longest - 1`` words into the next one.  So every phrase lies whole in the chunk that
     its first word belongs to, and is counted there alone; equal stretches of text are
     cut alike, wherever they stand.  A text's last chunk ends in a ``BREAK``."""
-    words = [*words, BREAK]
-    n = len(words)
-    h = _hashes(words)
-    cuts = np.flatnonzero(_mix(h[:-1] * _M[2] + h[1:]) % np.uint64(TRIGGER) == 0) + 1
-    out, start = [], 0
+    line = b" ".join([*words, BREAK, b""])
+    data = np.frombuffer(line, np.uint8)
+    ends = np.flatnonzero(data == 32)
+    n, context = len(ends), np.zeros(len(ends), np.uint64)
+    for k in range(8):
+        at = ends - 1 - k
+        context = context << np.uint64(8) | np.where(at >= 0, data[np.maximum(at, 0)], 0).astype(np.uint64)
+    cuts = np.flatnonzero(_mix(context) % np.uint64(TRIGGER) == 0) + 1
+    out, start, places = [], 0, [-1, *ends.tolist()]
     for end in [*cuts.tolist(), n]:
         while start < end:
             stop = min(end, start + CUT)
-            out.append((b" ".join(words[start:stop + longest - 1]), stop - start))
+            out.append((line[places[start] + 1:places[min(n, stop + longest - 1)]], stop - start))
             start = stop
     return out
 
@@ -127,6 +131,7 @@ class _Chunks:
         suspects = np.flatnonzero(~self.whole)
         if any(self.words[i] != BREAK for i in suspects.tolist()):
             raise ValueError("a word has the hash of the break")
+        self.chunk = np.repeat(np.arange(len(sizes)), sizes)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
         self.own = np.arange(len(self.words)) - first < np.repeat(part.column("own").to_numpy().astype(np.int64), sizes)
         self.freq = np.repeat(part.column("freq").to_numpy(), sizes)
@@ -134,8 +139,7 @@ class _Chunks:
         names = {lang: k for k, lang in enumerate(dict.fromkeys(self.langs))}
         self.lang_names = list(names)
         self.lang = np.repeat(np.array([names[x] for x in self.langs], np.int64), sizes)
-        seed = np.array([xxhash.xxh64_intdigest(x, 1) for x in self.lang_names], np.uint64)
-        self.seed = seed[self.lang] if len(self.lang) else np.zeros(0, np.uint64)
+        self.seed = _hashes_of_langs(self.lang_names)[self.lang] if names else np.zeros(0, np.uint64)
 
     def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length the hash of the phrase from each word on, and where it is one."""
@@ -149,6 +153,10 @@ class _Chunks:
             yield k, h, ok
 
 
+def _hashes_of_langs(langs: list[str]) -> np.ndarray:
+    return np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in langs), np.uint64, len(langs))
+
+
 def _counted(h: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(h):
         return h, freq
@@ -187,27 +195,88 @@ def frequent_hashes(chunks: DataFrame, size: int, shorter: Filter, least: int) -
     return chunks.mapInArrow(run, "h long, freq long").groupBy("h").agg(F.sum("freq").alias("f")).filter(F.col("f") >= least).select("h")
 
 
-def exact_counts(chunks: DataFrame, sizes: dict[int, Filter | None]) -> DataFrame:
-    """``(lang, phrase, words, h, f)``: how often the phrases of these sizes that pass their filter
-    (all, without one) occur, by their full text; ``h`` is the hash that filters go by."""
+def word_counts(chunks: DataFrame) -> DataFrame:
+    """``(lang, phrase, f)``: how often each word occurs, in its own part of the chunks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "chunk"):
+                found: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
+                columns = (part.column(c).to_pylist() for c in ("lang", "chunk", "own", "freq"))
+                for lang, chunk, own, freq in zip(*columns, strict=True):
+                    words = chunk.split()[:own]
+                    if freq == 1:
+                        found[lang].update(words)
+                    else:
+                        count = found[lang]
+                        for word in words:
+                            count[word] += freq
+                for lang, count in found.items():
+                    del count[BREAK]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(count), pa.string()), pa.array(count.keys(), pa.binary()).cast(pa.string()), pa.array(count.values(), pa.int64())],
+                        names=["lang", "phrase", "f"])
+
+    return chunks.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+
+
+def word_hashes(words: DataFrame) -> DataFrame:
+    """``h`` of the words of ``(lang, phrase)``, as phrases of one word have it."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            seed = _hashes_of_langs(batch.column("lang").to_pylist())
+            h = _mix(seed + _hashes(batch.column("phrase").cast(pa.binary()).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+
+    return words.select("lang", "phrase").mapInArrow(run, "h long")
+
+
+def without_rare(chunks: DataFrame, frequent: Filter) -> DataFrame:
+    """The chunks with a break in place of each stretch of words that are not frequent, as no
+    frequent phrase holds one; chunks without two neighbouring words drop out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "chunk"):
                 work = _Chunks(part)
-                for k, h, ok in work.phrases(max(sizes)):
-                    if k not in sizes:
-                        continue
-                    wanted = ok & work.own[:len(ok)]
-                    if sizes[k] is not None:
-                        wanted &= sizes[k].has(h)
-                    at = np.flatnonzero(wanted)
+                if not len(work.words):
+                    continue
+                (_, h, ok), *_ = work.phrases(1)
+                keep = frequent.has(h) & ok
+                inside = np.concatenate([[False], work.chunk[1:] == work.chunk[:-1]])
+                stay = keep | np.concatenate([[False], keep[:-1]]) & inside
+                pair = np.concatenate([[False], keep[1:] & keep[:-1]]) & inside
+                rows = part.num_rows
+                useful = np.bincount(work.chunk[pair], minlength=rows) > 0
+                sizes = np.bincount(work.chunk[stay], minlength=rows)
+                owns = np.bincount(work.chunk[stay & work.own], minlength=rows)
+                words = [w if k else BREAK for w, k in zip(compress(work.words, stay.tolist()), keep[stay].tolist(), strict=True)]
+                ends = np.cumsum(sizes)
+                at = np.flatnonzero(useful & (owns > 0))
+                text = [b" ".join(words[e - n:e]) for e, n in zip(ends[at].tolist(), sizes[at].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("lang").take(pa.array(at)), pa.array(text, pa.binary()), pa.array(owns[at].astype(np.int32)), part.column("freq").take(pa.array(at))],
+                    names=["lang", "chunk", "own", "freq"])
+
+    return chunks.mapInArrow(run, "lang string, chunk binary, own int, freq long")
+
+
+def exact_counts(chunks: DataFrame, filters: dict[int, Filter], longest: int) -> DataFrame:
+    """``(lang, phrase, words, f)``: how often phrases of two words or more occur, by their full
+    text, if they pass the filter of their size; the longest ones, which have none, if
+    their first and last words pass the filter of a word less."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "chunk"):
+                work, before = _Chunks(part), None
+                for k, h, ok in work.phrases(longest):
+                    passed = filters[k].has(h) & ok if k < longest else before[:-1] & before[1:] & ok
+                    before = passed
+                    at = np.flatnonzero(passed & work.own[:len(ok)]) if k > 1 else np.zeros(0, np.int64)
                     if not len(at):
                         continue
                     at = at[np.argsort(h[at], kind="stable")]
-                    new = h[at][1:] != h[at][:-1]
+                    new = (h[at][1:] != h[at][:-1]) | (work.lang[at[1:]] != work.lang[at[:-1]])
                     for i in range(k):  # words that differ under one hash make rows of their own
                         new |= work.hashes[at[1:] + i] != work.hashes[at[:-1] + i]
-                    new |= work.lang[at[1:]] != work.lang[at[:-1]]
                     first = np.flatnonzero(np.concatenate([[True], new]))
                     freq = np.add.reduceat(work.freq[at], first)
                     starts = at[first]
@@ -215,11 +284,11 @@ def exact_counts(chunks: DataFrame, sizes: dict[int, Filter | None]) -> DataFram
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([names[x] for x in work.lang[starts].tolist()], pa.string()),
                          pa.array([b" ".join(words[s:s + k]) for s in starts.tolist()], pa.binary()).cast(pa.string()),
-                         pa.array(np.full(len(starts), k, np.int32)), pa.array(h[starts].view(np.int64)), pa.array(freq)],
-                        names=["lang", "phrase", "words", "h", "f"])
+                         pa.array(np.full(len(starts), k, np.int32)), pa.array(freq)],
+                        names=["lang", "phrase", "words", "f"])
 
-    found = chunks.mapInArrow(run, "lang string, phrase string, words int, h long, f long")
-    return found.groupBy("lang", "phrase", "words", "h").agg(F.sum("f").alias("f"))
+    found = chunks.mapInArrow(run, "lang string, phrase string, words int, f long")
+    return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONGEST, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
@@ -227,15 +296,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONG
     times, and ``(lang, n)``, all words of a language; both written."""
     spark = docs.sparkSession
     chunks = materialize(dictionary(docs, longest), "chunks")
-    single = materialize(exact_counts(chunks, {1: None}), "words")
+    single = materialize(word_counts(chunks), "words")
     totals = materialize(single.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
     frequent = single.filter(F.col("f") >= least)
-    filters = {1: Filter(spark, frequent.select("h"), bits)}
-    for k in range(2, longest + 1):
+    filters = {1: Filter(spark, word_hashes(frequent), bits)}
+    chunks = materialize(without_rare(chunks, filters[1]), "frequent-chunks")
+    for k in range(2, longest):
         filters[k] = Filter(spark, frequent_hashes(chunks, k, filters[k - 1], least), bits)
-    longer = exact_counts(chunks, {k: f for k, f in filters.items() if k > 1}).filter(F.col("f") >= least) if longest > 1 else frequent.limit(0)
-    counts = frequent.select("lang", "phrase", "words", "f").union(longer.select("lang", "phrase", "words", "f"))
-    return materialize(counts, "phrases"), totals
+    longer = exact_counts(chunks, filters, longest).filter(F.col("f") >= least)
+    return materialize(frequent.select("lang", "phrase", F.lit(1).alias("words"), "f").union(longer), "phrases"), totals
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:

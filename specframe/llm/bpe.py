@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
-from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 from heapq import heappop, heappush
+from itertools import chain, filterfalse
 
 import numpy as np
 import pyarrow as pa
@@ -17,144 +19,198 @@ from pyspark.sql import functions as F
 
 from .batches import by_bytes, small_file
 
-CACHE_ENTRIES = 800_000
+CACHE_ENTRIES, LONGEST_KEPT = 1_200_000, 64
 _WORD = 256
 _PAIR = 1 << 20
-_MARKS = (".", ",", ";", ":", "!", "?")
+#: Words that share a queue: many enough for full buckets, few enough for the processor's caches.
+_WORDS = 1000
+MARKS = (".", ",", ";", ":", "!", "?")
 #: A run of white space that a cut before each blank would divide.
-_RUNS = re.compile(r"\s \s|\s \Z")
-
-
-class RankQueue:
-    """Positions of a linked list by the rank of the merge that starts there.
-
-    A bucket holds the positions of one rank, smallest first.  ``low`` has a bit for each
-    rank in words of 256, ``top`` a bit for each word that is not zero, so the next rank is
-    two find-first-set steps away, however many ranks wait."""
-
-    def __init__(self, ranks: int):
-        self.top, self.low, self.buckets = 0, [0] * (ranks // _WORD + 1), {}
-
-    def push(self, rank: int, position: int) -> None:
-        if rank in self.buckets:
-            heappush(self.buckets[rank], position)
-        else:
-            self.buckets[rank] = [position]
-            word = rank // _WORD
-            self.low[word] |= 1 << rank % _WORD
-            self.top |= 1 << word
-
-    def pop(self, now: list[int]) -> tuple[int, int]:
-        """The smallest rank and its leftmost position, or (-1, -1).  An entry is stale,
-        and skipped, unless ``now`` has its rank at its position."""
-        low, buckets = self.low, self.buckets
-        while self.top:
-            word = (self.top & -self.top).bit_length() - 1
-            bits = low[word]
-            rank = word * _WORD + (bits & -bits).bit_length() - 1
-            bucket = buckets[rank]
-            position = heappop(bucket)
-            if not bucket:
-                del buckets[rank]
-                low[word] = bits & (bits - 1)
-                if not low[word]:
-                    self.top &= self.top - 1
-            if now[position] == rank:
-                return rank, position
-        return -1, -1
-
-
-class _Chunks(dict):
-    """Token IDs, as 32-bit numbers in bytes, of texts behind a fixed prefix; filled on demand
-    and emptied when it holds ``CACHE_ENTRIES``."""
-
-    def __init__(self, encoder: Encoder, prefix: str):
-        super().__init__()
-        self.encoder, self.prefix = encoder, prefix
-
-    def __missing__(self, text: str) -> bytes:
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if text[-1:] in _MARKS and text[:-1].isalpha():
-            # the pattern ends a match between letters and a mark
-            return self[text[:-1]] + self.encoder.first[text[-1]]
-        ids = array("I", self.encoder.chunk(self.prefix + text)).tobytes()
-        if len(text) <= 64:
-            self[text] = ids
-        return ids
-
-
-class Encoder:
-    def __init__(self, vocabulary: bytes, pattern: str):
-        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
-        self.tokens = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.tokens[rank] = token
-        self.bytes = [self.ranks[bytes([b])] for b in range(256)]
-        self.pattern = regex.compile(pattern)
-        self.pairs: dict[int, int] = {}
-        self.queue = RankQueue(len(self.tokens))
-        self.first, self.rest = _Chunks(self, ""), _Chunks(self, " ")
-
-    def _pair(self, left: int, right: int) -> int:
-        """Rank of the token that two tokens make together, or -1."""
-        key = left * _PAIR + right
-        rank = self.pairs.get(key)
-        if rank is None:
-            if len(self.pairs) >= CACHE_ENTRIES:
-                self.pairs.clear()
-            rank = self.pairs[key] = self.ranks.get(self.tokens[left] + self.tokens[right], -1)
-        return rank
-
-    def merge(self, word: bytes) -> list[int]:
-        """Merges by rising rank, leftmost first, until no neighbours make a token."""
-        ids, n, pair, queue = [self.bytes[b] for b in word], len(word), self._pair, self.queue
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        now = [*map(pair, ids, ids[1:]), -1]
-        for i, rank in enumerate(now):
-            if rank >= 0:
-                queue.push(rank, i)
-        rank, i = queue.pop(now)
-        while rank >= 0:
-            j = after[i]
-            ids[i], ids[j], now[i], now[j] = rank, -1, -1, -1
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                now[i] = made = pair(rank, ids[k])
-                if made >= 0:
-                    queue.push(made, i)
-            if (h := before[i]) >= 0:
-                now[h] = made = pair(ids[h], rank)
-                if made >= 0:
-                    queue.push(made, h)
-            rank, i = queue.pop(now)
-        return [x for x in ids if x >= 0]
-
-    def chunk(self, text: str) -> list[int]:
-        """IDs of a stretch of text, each match of the pattern by itself."""
-        out: list[int] = []
-        for match in self.pattern.findall(text):
-            word = match.encode()
-            rank = self.ranks.get(word)
-            if rank is None:
-                out += self.merge(word)
+RUNS = re.compile(r"(?<=\s) (?=\s|\Z)")
+
+
+@contextmanager
+def no_collection() -> Iterator[None]:
+    """Without the search for cyclic garbage, of which coding makes none."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
+class CachedCoder:
+    """IDs, as little-endian 32-bit numbers, of texts that are cut into chunks whose IDs are known.
+
+    ``first`` and ``rest`` keep the IDs of chunks as they stand and behind a blank; they
+    are emptied before they would hold over ``most`` chunks."""
+
+    def __init__(self, pattern: str, most: int):
+        self.pattern, self.most = regex.compile(pattern), most
+        self.first: dict[str, bytes] = {}
+        self.rest: dict[str, bytes] = {}
+
+    def learn(self, prefix: str, chunks: list[str], known: dict[str, bytes]) -> None:
+        """Puts the IDs of each chunk behind ``prefix`` into ``known``."""
+        raise NotImplementedError
+
+    def mark(self, mark: str) -> bytes:
+        """The IDs of a punctuation mark."""
+        raise NotImplementedError
+
+    def _fill(self, known: dict[str, bytes], prefix: str, lists: list[list[str]]) -> list[str]:
+        """Puts the IDs of all these chunks into ``known``; returns those too long to stay."""
+        new: set[str] = set()
+        for chunks in lists:
+            new.update(filterfalse(known.__contains__, chunks))
+        if len(known) + len(new) > self.most:
+            known.clear()
+            new = set(chain.from_iterable(lists))
+        # the pattern ends a match between letters and a mark
+        marked = [c for c in new if c[-1:] in MARKS and c[:-1].isalpha()]
+        wanted = list({c[:-1] for c in marked}.difference(known).union(new).difference(marked))
+        self.learn(prefix, wanted, known)
+        marks = {mark: self.mark(mark) for mark in {c[-1] for c in marked}}
+        for c in marked:
+            known[c] = known[c[:-1]] + marks[c[-1]]
+        return [c for some in (wanted, marked) for c in some if len(c) > LONGEST_KEPT]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """IDs of whole texts.
+
+        No match of the pattern runs over a blank from the left, so a text may be cut
+        before every blank, unless white space stands on both sides of one."""
+        with no_collection():
+            return self._encode_all(texts)
+
+    def _encode_all(self, texts: list[str]) -> list[bytes]:
+        heads, tails = [], []
+        for text in texts:
+            if not text or RUNS.search(text):
+                heads.append(self.pattern.findall(text))
+                tails.append([])
             else:
-                out.append(rank)
+                head, *tail = text.split(" ")
+                heads.append([head])
+                tails.append(tail)
+        long = [(known, self._fill(known, prefix, lists))
+                for known, prefix, lists in ((self.first, "", heads), (self.rest, " ", tails))]
+        first, rest = self.first.__getitem__, self.rest.__getitem__
+        out = [b"".join(map(first, head)) + b"".join(map(rest, tail)) for head, tail in zip(heads, tails, strict=True)]
+        for known, chunks in long:
+            for c in chunks:
+                del known[c]
         return out
 
     def encode(self, text: str) -> bytes:
-        """IDs of a whole text as little-endian 32-bit numbers.
+        return self.encode_all([text])[0]
 
-        No match of the pattern runs over a blank from the left, so the text may be cut
-        before every blank, unless white space stands on both sides of one."""
-        if _RUNS.search(text):
-            return b"".join(map(self.first.__getitem__, self.pattern.findall(text)))
-        head, *rest = text.split(" ")
-        return self.first[head] + b"".join(map(self.rest.__getitem__, rest))
+class Encoder(CachedCoder):
+    """Texts to IDs and back by the ranks of a vocabulary."""
+
+    def __init__(self, vocabulary: bytes, pattern: str):
+        super().__init__(pattern, CACHE_ENTRIES)
+        self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, vocabulary.splitlines())}
+        tokens = [b""] * (max(self.ranks.values()) + 1)
+        for token, rank in self.ranks.items():
+            tokens[rank] = token
+        self.bytes = np.array([self.ranks[bytes([b])] for b in range(256)])
+        #: the token that two tokens make together
+        self.pairs = {left * _PAIR + right: rank for token, rank in self.ranks.items() for cut in range(1, len(token))
+                      if (left := self.ranks.get(token[:cut])) is not None and (right := self.ranks.get(token[cut:])) is not None}
+        self.byte_pairs = np.array([self.pairs.get(a * _PAIR + b, -1) for a in self.bytes.tolist() for b in self.bytes.tolist()])
+        self.low = [0] * (len(tokens) // _WORD + 1)
+        self.text = np.frombuffer(b"".join(tokens), np.uint8)
+        self.widths = np.array([len(t) for t in tokens], np.int64)
+        self.starts = np.cumsum(self.widths) - self.widths
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """IDs of each word: merges by rising rank, leftmost first, until no neighbours make
+        a token.
+
+        The words' positions form linked lists and wait in buckets by the rank of the merge
+        that starts there, smallest position first.  ``low`` has a bit for each rank in
+        words of 256, ``top`` a bit for each word that is not zero, so the next rank is two
+        find-first-set steps away, however many wait.  An entry is stale, and skipped,
+        unless ``now`` has its rank at its position.  A merge that makes a pair of a smaller
+        rank sends the search back to that rank at once."""
+        data = np.frombuffer(b"".join(words), np.uint8)
+        n, ends = len(data), np.cumsum([len(w) for w in words])
+        ranks = np.full(n, -1, np.int64)
+        ranks[:-1] = self.byte_pairs[data[:-1].astype(np.int64) * 256 + data[1:]]
+        ranks[ends - 1] = -1
+        following, preceding = np.arange(1, n + 1), np.arange(-1, n - 1)
+        following[ends - 1] = preceding[ends[:-1]] = -1
+        waiting = np.flatnonzero(ranks >= 0)
+        waiting = waiting[np.argsort(ranks[waiting], kind="stable")]
+        found, first = np.unique(ranks[waiting], return_index=True)
+        low, pairs, top, buckets = self.low, self.pairs.get, 0, {}
+        for rank, positions in zip(found.tolist(), np.split(waiting, first[1:]), strict=False):
+            buckets[rank] = positions.tolist()
+            low[rank >> 8] |= 1 << (rank & 255)
+            top |= 1 << (rank >> 8)
+        ids, now, after, before = self.bytes[data].tolist(), ranks.tolist(), following.tolist(), preceding.tolist()
+        while top:
+            place = (top & -top).bit_length() - 1
+            rank = least = (place << 8) + (low[place] & -low[place]).bit_length() - 1
+            bucket = buckets[rank]
+            while bucket and least >= rank:
+                i = heappop(bucket)
+                if now[i] != rank:
+                    continue
+                j = after[i]
+                ids[i], ids[j], now[i], now[j] = rank, -1, -1, -1
+                k = after[i] = after[j]
+                if k >= 0:
+                    before[k] = i
+                h = before[i]
+                for x, y in ((i, k), (h, i)):
+                    if x >= 0 and y >= 0:
+                        made = now[x] = pairs(ids[x] * _PAIR + ids[y], -1)
+                        if made >= 0:
+                            if made in buckets:
+                                heappush(buckets[made], x)
+                            else:
+                                buckets[made] = [x]
+                                low[made >> 8] |= 1 << (made & 255)
+                                top |= 1 << (made >> 8)
+                            if made < least:
+                                least = made
+            if not bucket:
+                del buckets[rank]
+                low[place] ^= 1 << (rank & 255)
+                if not low[place]:
+                    top ^= 1 << place
+        out = np.array(ids, np.int32)
+        left = out >= 0
+        upto = np.cumsum(left)[ends - 1].tolist()
+        coded = out[left].tobytes()
+        return [coded[4 * a:4 * b] for a, b in zip([0, *upto], upto, strict=False)]
+
+    def learn(self, prefix: str, chunks: list[str], known: dict[str, bytes]) -> None:
+        """Each match of the pattern by itself; letters, and letters behind a blank, are one match."""
+        matches = [[(prefix + c).encode()] if c.isalpha() else [m.encode() for m in self.pattern.findall(prefix + c)] for c in chunks]
+        whole, coded = self.ranks, {}
+        new = list(dict.fromkeys(w for m in matches for w in m if w not in whole))
+        for i in range(0, len(new), _WORDS):
+            coded.update(zip(new[i:i + _WORDS], self.merge(new[i:i + _WORDS]), strict=True))
+        known.update(zip(chunks, [b"".join([coded[w] if w in coded else whole[w].to_bytes(4, "little") for w in m]) for m in matches], strict=True))
+
+    def mark(self, mark: str) -> bytes:
+        return self.ranks[mark.encode()].to_bytes(4, "little")
+
+    def decode_all(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes of IDs side by side, ``counts`` of them for each text, and where each
+        text's bytes end."""
+        widths = self.widths[ids]
+        ends = np.cumsum(widths)
+        at = np.repeat(self.starts[ids] - ends + widths, widths) + np.arange(int(widths.sum()))
+        return self.text[at], np.concatenate([[0], ends])[np.cumsum(counts)]
 
     def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.decode_all(np.array(ids, np.int64), np.array([len(ids)]))[0].tobytes()
 
 
 class Vocabulary:
@@ -175,23 +231,35 @@ def loaded(vocabulary: Vocabulary) -> Encoder:
     return _LOADED[key]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """``(doc_id, ids)``, one row per row, in the order and with the repeats of ``docs``.
+def _ids(coded: list[bytes]) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(coded), dtype="<i4")))
+
+
+def _texts(encoder: Encoder, ids: pa.ListArray) -> pa.Array:
+    counts = np.diff(ids.offsets.to_numpy())
+    text, ends = encoder.decode_all(ids.flatten().to_numpy(), counts)
+    offsets = np.concatenate([[0], ends]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(text))]).cast(pa.binary())
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, decoded: bool = False) -> DataFrame:
+    """``(doc_id, ids)``, one row per row, in the order and with the repeats of ``docs``; with
+    ``decoded``, what the IDs decode to, on demand.
 
     A null or empty text has no IDs.  Texts are whole and of any length; a long match of
-    the pattern costs time as its length times the logarithm of it.  An empty table gives
-    no rows; other columns are ignored."""
+    the pattern costs time as its length times the logarithm of it.  Of equal ranks in one
+    match the leftmost is merged first.  An empty table gives no rows; other columns are
+    ignored."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(vocabulary)
         for batch in batches:
             for part in by_bytes(batch, "text"):
-                coded = [encoder.encode(t) if t else b"" for t in part.column("text").to_pylist()]
-                offsets = np.concatenate([[0], np.cumsum([len(c) // 4 for c in coded])]).astype(np.int32)
-                values = pa.array(np.frombuffer(b"".join(coded), dtype="<i4"))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["doc_id", "ids"])
+                ids = _ids(encoder.encode_all([t or "" for t in part.column("text").to_pylist()]))
+                columns = [part.column("doc_id"), ids, *([_texts(encoder, ids)] if decoded else [])]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", *(["decoded"] if decoded else [])])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>" + (", decoded binary" if decoded else ""))
 
 
 def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -199,9 +267,7 @@ def decode(coded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = loaded(vocabulary)
         for batch in batches:
-            ids = batch.column("ids")
-            out = [encoder.decode(ids[i].values.to_numpy().tolist()) for i in range(len(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], names=["doc_id", "ids", "decoded"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _texts(encoder, batch.column("ids"))], names=["doc_id", "ids", "decoded"])
 
     return coded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded binary")
 

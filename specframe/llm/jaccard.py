@@ -23,7 +23,7 @@ SHINGLE = 3
 SHARE = (9, 10)
 #: Parts beyond those that differences can spoil; sets with more empty parts show these too.
 SPARE = 3
-TILE_ENTRIES, TILE_DOCS = 1 << 20, 4096
+TILE_ENTRIES, TILE_DOCS = 1 << 20, 1024
 LARGEST = 1 << 40
 CACHE_ENTRIES = 800_000
 _ROWS, _LIGHT, _COLUMNS, _PAIRS = 512, 64, 1024, 1 << 21

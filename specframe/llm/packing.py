@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,12 +19,12 @@ from tokenizers import Tokenizer
 
 from ..runtime import materialize
 from .batches import by_bytes, small_file
-from .bpe import _MARKS, _RUNS, CACHE_ENTRIES
+from .bpe import RUNS, CachedCoder
 from .ranks import bucket_count, key_bucket, shuffle_key, with_ranks
 
 WINDOW = 1024
 END_ID = 0
-LONGEST_KEPT = 64
+CACHE_ENTRIES = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -40,50 +41,48 @@ class TokenizerFile:
         return TokenizerFile(hashlib.sha256(data).hexdigest(), spark.sparkContext.broadcast(data))
 
 
-class _Coder:
+class _Coder(CachedCoder):
     """IDs of texts by the tokenizer, which is asked once for each distinct chunk."""
 
     def __init__(self, file: TokenizerFile):
+        super().__init__(public_tokenizers.PATTERN, CACHE_ENTRIES)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
         self.tokenizer = Tokenizer.from_buffer(file.sent.value)
-        self.tokenizer.encode_special_tokens = True
         (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.known: dict[str, bytes] = {}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def _words(self, words: list[str]) -> list[bytes]:
         """IDs of chunks that are a blank and letters, many at a call.  Between two of them
         a line break is a token by itself, so it shows where the IDs of one end."""
-        ids = np.array(self.tokenizer.encode("\n".join(words), add_special_tokens=False).ids, dtype="<u4")
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
         ends = np.flatnonzero(ids == self.line_break).tolist()
         data = ids.tobytes()
         return [data[4 * i:4 * j] for i, j in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The IDs of all these chunks; short ones are kept for later texts."""
-        if len(self.known) >= CACHE_ENTRIES:
-            self.known.clear()
-        known = self.known
-        new = [c for c in chunks if c not in known]
-        marked = [c for c in new if c[-1:] in _MARKS and c[1:-1].isalpha() and c[0] == " "]
-        words = {c for c in new if c[1:].isalpha() and c[0] == " "} | {c[:-1] for c in marked if c[:-1] not in known}
-        marks = {c[-1] for c in marked if c[-1] not in known}
-        short = sorted(w for w in words if len(w) <= LONGEST_KEPT)
-        for i in range(0, len(short), 1000):
-            known.update(zip(short[i:i + 1000], self._words(short[i:i + 1000]), strict=True))
-        rest = list(({c for c in new if c not in known} - set(marked)) | {w for w in words if len(w) > LONGEST_KEPT} | marks)
-        coded = self.tokenizer.encode_batch(rest, add_special_tokens=False)
-        fresh = {c: array("I", e.ids).tobytes() for c, e in zip(rest, coded, strict=True)}
-        known.update((c, ids) for c, ids in fresh.items() if len(c) <= LONGEST_KEPT)
-        for c in marked:
-            fresh[c] = (known.get(c[:-1]) or fresh[c[:-1]]) + known[c[-1]]
-        return fresh
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Whole texts; cut before each blank where that cannot divide a match."""
-        cut = [[t] if _RUNS.search(t) else t.replace(" ", "\0 ").split("\0") if "\0" not in t else [t] for t in texts]
-        fresh = self._learn(set().union(*cut))
-        known = self.known
-        return [b"".join([known[c] if c in known else fresh[c] for c in chunks]) for chunks in cut]
+    def _apart(self, texts: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, prefix: str, chunks: list[str], known: dict[str, bytes]) -> None:
+        letters = [c for c in chunks if c.isalpha()] if prefix else []
+        for i in range(0, len(letters), 1000):
+            some = letters[i:i + 1000]
+            known.update(zip(some, self._words([prefix + c for c in some]), strict=True))
+        others = [c for c in chunks if not (prefix and c.isalpha())]
+        known.update(zip(others, self._apart([prefix + c for c in others]), strict=True))
+
+    def mark(self, mark: str) -> bytes:
+        return self._apart([mark])[0]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Whole texts, as the tokenizer's plain call.  It looks for its added tokens before
+        anything else, so a text that holds the letters of one is left to it, as one is that
+        cannot be cut before every blank."""
+        plain = [bool(RUNS.search(t)) or any(a in t for a in self.added) for t in texts]
+        out = super().encode_all(["" if p else t for t, p in zip(texts, plain, strict=True)])
+        for i, p in enumerate(plain):
+            if p:
+                out[i] = self._apart([texts[i]])[0]
+        return out
 
 
 _CODERS: dict[str, _Coder] = {}
@@ -106,7 +105,7 @@ def cut_pieces(docs: DataFrame, tokenizer: TokenizerFile, window: int = WINDOW,
         work, end = coder(tokenizer), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             for part in by_bytes(batch, "text"):
-                coded = [c + end for c in work.encode([t or "" for t in part.column("text").to_pylist()])]
+                coded = [c + end for c in work.encode_all([t or "" for t in part.column("text").to_pylist()])]
                 rows: list[tuple] = []
                 ids: list[bytes] = []
                 for doc_id, data in zip(part.column("doc_id").to_pylist(), coded, strict=True):

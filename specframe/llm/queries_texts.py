@@ -13,8 +13,7 @@ from .registry import query, table
 @query("op4_bpe")
 def byte_pairs(spark: SparkSession, folder: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    docs = table(spark, folder, "documents")
-    return bpe.digests(bpe.decode(bpe.encode(docs, vocabulary), vocabulary))
+    return bpe.digests(bpe.encode(table(spark, folder, "documents"), vocabulary, decoded=True))
 
 
 @query("op7_packing")

@@ -3,6 +3,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -41,18 +42,30 @@ def test_long_stretches(coders):
         same(coders, text)
 
 
-def test_rank_queue_pops_in_order():
-    queue = bpe.RankQueue(50_000)
-    entries = [(7, 3), (49_999, 1), (7, 1), (300, 2), (7, 2), (256, 9)]
-    for rank, position in entries:
-        queue.push(rank, position)
-    now = [-1, 7, 300, 7, -1, -1, -1, -1, -1, 256]
-    assert [queue.pop(now) for _ in range(5)] == [(7, 1), (7, 3), (256, 9), (300, 2), (-1, -1)] and not queue.top
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="abehnrstu .,'1é", max_size=60), min_size=1, max_size=8))
+def test_many_texts_at_once(coders, texts):
+    own, library = coders
+    assert [np.frombuffer(c, "<u4").tolist() for c in own.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
+    assert not any(own.low)
+
+
+def test_a_full_cache_is_emptied(coders, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 3)
+    for text in ("one two three", "four five, six seven", "two. three four", "one"):
+        same(coders, text)
+
+
+def test_all_words_of_a_table(coders):
+    own, library = coders
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist()
+    assert [np.frombuffer(c, "<u4").tolist() for c in own.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]
 
 
 def test_query_shape(spark, coders, odd_docs, no_docs):
     vocabulary = bpe.Vocabulary(spark, PATH, public_tokenizers.PATTERN)
     rows = bpe.digests(bpe.decode(bpe.encode(odd_docs, vocabulary), vocabulary)).collect()
+    assert rows == bpe.digests(bpe.encode(odd_docs, vocabulary, decoded=True)).collect()
     want = []
     for doc_id, text, _, _ in ODD_TEXTS:
         ids = coders[1].encode_ordinary(text or "")

@@ -4,6 +4,7 @@ from itertools import product
 
 import numpy as np
 import public_tokenizers
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -48,7 +49,6 @@ def test_plan_places_every_piece_once(counts):
 
 def check_packed(rows, docs):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     ids = {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for k, t in docs.items()}
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -66,6 +66,20 @@ def check_packed(rows, docs):
     return ids, pieces, sequences
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from([" ", "  ", "\n", "a", "th", "ing", "é", "12", "!?", ".", "'s", "<|endoftext|>", "<|endof"]), max_size=12).map("".join),
+                min_size=1, max_size=4))
+def test_ids_of_the_plain_call(coder, texts):
+    plain = Tokenizer.from_file(PATH)
+    got = [np.frombuffer(c, "<u4").tolist() for c in coder.encode_all(texts)]
+    assert got == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.fixture(scope="module")
+def coder(spark):
+    return packing.coder(packing.TokenizerFile.of(spark, PATH))
+
+
 def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     texts = {r["doc_id"]: r["text"] for r in docs.collect()}

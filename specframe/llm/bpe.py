@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from heapq import heappop, heappush
-from itertools import chain, filterfalse
+from itertools import accumulate, chain, filterfalse, islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +27,15 @@ _WORDS = 1000
 MARKS = (".", ",", ";", ":", "!", "?")
 #: A run of white space that a cut before each blank would divide.
 RUNS = re.compile(r"(?<=\s) (?=\s|\Z)")
+_TOGETHER = [*(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"), "  ", " \n", "\n ", "\n\n"]
+#: A line break that is one of three blanks in a row, or of two at the end.
+BREAKS = re.compile(r"\n(?:(?<=\s\n)(?=\s|\Z)|(?=\s\s|\s\Z)|(?<=\s\s\n))")
+
+
+def blanks_apart(text: str) -> bool:
+    """Whether blanks and line breaks are the only white space, none beside another or at the
+    end; then there is nothing that ``RUNS`` or ``BREAKS`` could find."""
+    return not (any(map(text.__contains__, _TOGETHER)) or text.endswith((" ", "\n")))
 
 
 @contextmanager
@@ -45,7 +54,7 @@ class CachedCoder:
     """IDs, as little-endian 32-bit numbers, of texts that are cut into chunks whose IDs are known.
 
     ``first`` and ``rest`` keep the IDs of chunks as they stand and behind a blank; they
-    are emptied before they would hold over ``most`` chunks."""
+    lose their later half before they would hold over ``most`` chunks."""
 
     def __init__(self, pattern: str, most: int):
         self.pattern, self.most = regex.compile(pattern), most
@@ -60,14 +69,20 @@ class CachedCoder:
         """The IDs of a punctuation mark."""
         raise NotImplementedError
 
-    def _fill(self, known: dict[str, bytes], prefix: str, lists: list[list[str]]) -> list[str]:
-        """Puts the IDs of all these chunks into ``known``; returns those too long to stay."""
+    def _unknown(self, known: dict[str, bytes], lists: list[list[str]]) -> set[str]:
         new: set[str] = set()
         for chunks in lists:
             new.update(filterfalse(known.__contains__, chunks))
+        return new
+
+    def _fill(self, known: dict[str, bytes], prefix: str, lists: list[list[str]]) -> list[str]:
+        """Puts the IDs of all these chunks into ``known``; returns those too long to stay."""
+        new = self._unknown(known, lists)
         if len(known) + len(new) > self.most:
-            known.clear()
-            new = set(chain.from_iterable(lists))
+            # frequent chunks came first
+            for c in list(islice(known, self.most // 2, None)):
+                del known[c]
+            new = self._unknown(known, lists)
         # the pattern ends a match between letters and a mark
         marked = [c for c in new if c[-1:] in MARKS and c[:-1].isalpha()]
         wanted = list({c[:-1] for c in marked}.difference(known).union(new).difference(marked))
@@ -81,32 +96,41 @@ class CachedCoder:
         """IDs of whole texts.
 
         No match of the pattern runs over a blank from the left, so a text may be cut
-        before every blank, unless white space stands on both sides of one."""
+        before every blank, unless white space stands on both sides of one.  It may also be
+        cut on both sides of each line break, unless that is one of three blanks in a row or of
+        two at the end of the text."""
         with no_collection():
             return self._encode_all(texts)
 
     def _encode_all(self, texts: list[str]) -> list[bytes]:
-        heads, tails = [], []
+        heads, tails, line_counts = [], [], []
         for text in texts:
-            if not text or RUNS.search(text):
+            calm = blanks_apart(text)
+            if not text or not calm and RUNS.search(text):
                 heads.append(self.pattern.findall(text))
                 tails.append([])
-            else:
-                head, *tail = text.split(" ")
-                heads.append([head])
+                line_counts.append(1)
+                continue
+            lines = [text] if not calm and BREAKS.search(text) else text.split("\n")
+            for line in lines:
+                head, *tail = line.split(" ")
+                heads.append([head] if head else [])
                 tails.append(tail)
+            line_counts.append(len(lines))
         long = [(known, self._fill(known, prefix, lists))
                 for known, prefix, lists in ((self.first, "", heads), (self.rest, " ", tails))]
-        first, rest = self.first.__getitem__, self.rest.__getitem__
-        out = [b"".join(map(first, head)) + b"".join(map(rest, tail)) for head, tail in zip(heads, tails, strict=True)]
+        first, rest, line_break = self.first.__getitem__, self.rest.__getitem__, self.mark("\n")
+        lines = [b"".join(chain(map(first, head), map(rest, tail))) for head, tail in zip(heads, tails, strict=True)]
         for known, chunks in long:
             for c in chunks:
                 del known[c]
-        return out
+        ends = list(accumulate(line_counts))
+        return [line_break.join(lines[e - n:e]) for e, n in zip(ends, line_counts, strict=True)]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
 
+
 class Encoder(CachedCoder):
     """Texts to IDs and back by the ranks of a vocabulary."""
 

@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 
 from ..runtime import materialize
 from .batches import by_bytes, small_file
-from .bpe import RUNS, CachedCoder
+from .bpe import RUNS, CachedCoder, blanks_apart
 from .ranks import bucket_count, key_bucket, shuffle_key, with_ranks
 
 WINDOW = 1024
@@ -48,6 +48,7 @@ class _Coder(CachedCoder):
         super().__init__(public_tokenizers.PATTERN, CACHE_ENTRIES)
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
         self.tokenizer = Tokenizer.from_buffer(file.sent.value)
+        self.marks: dict[str, bytes] = {}
         (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
@@ -71,13 +72,15 @@ class _Coder(CachedCoder):
         known.update(zip(others, self._apart([prefix + c for c in others]), strict=True))
 
     def mark(self, mark: str) -> bytes:
-        return self._apart([mark])[0]
+        if mark not in self.marks:
+            self.marks[mark] = self._apart([mark])[0]
+        return self.marks[mark]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Whole texts, as the tokenizer's plain call.  It looks for its added tokens before
         anything else, so a text that holds the letters of one is left to it, as one is that
         cannot be cut before every blank."""
-        plain = [bool(RUNS.search(t)) or any(a in t for a in self.added) for t in texts]
+        plain = [not blanks_apart(t) and bool(RUNS.search(t)) or any(a in t for a in self.added) for t in texts]
         out = super().encode_all(["" if p else t for t, p in zip(texts, plain, strict=True)])
         for i, p in enumerate(plain):
             if p:

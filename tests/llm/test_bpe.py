@@ -43,7 +43,7 @@ def test_long_stretches(coders):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.lists(st.text(alphabet="abehnrstu .,'1é", max_size=60), min_size=1, max_size=8))
+@given(st.lists(st.text(alphabet="abehnrstu .,'1é\n\t", max_size=60), min_size=1, max_size=8))
 def test_many_texts_at_once(coders, texts):
     own, library = coders
     assert [np.frombuffer(c, "<u4").tolist() for c in own.encode_all(texts)] == [library.encode_ordinary(t) for t in texts]

@@ -119,40 +119,55 @@ class Filter:
         return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
+def _short(hashes: np.ndarray) -> np.ndarray:
+    """32 bits of each word's hash; 0 for ``BREAK`` alone."""
+    return np.where(hashes == _BREAK, np.uint32(0), np.maximum(hashes.astype(np.uint32), np.uint32(1)))
+
+
 class _Chunks:
-    """The words of a batch of chunks, side by side."""
+    """A batch of chunks by the hashes of their words, side by side."""
 
-    def __init__(self, part: pa.RecordBatch):
-        lists = [c.split() for c in part.column("chunk").to_pylist()]
-        sizes = np.array([len(x) for x in lists], np.int64)
-        self.words = list(chain.from_iterable(lists))
-        self.hashes = _hashes(self.words)
-        self.whole = self.hashes != _BREAK
-        suspects = np.flatnonzero(~self.whole)
-        if any(self.words[i] != BREAK for i in suspects.tolist()):
-            raise ValueError("a word has the hash of the break")
+    def __init__(self, part: pa.RecordBatch, hashes: np.ndarray, sizes: np.ndarray):
+        self.short, self.whole = hashes, hashes != 0
         self.chunk = np.repeat(np.arange(len(sizes)), sizes)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.own = np.arange(len(self.words)) - first < np.repeat(part.column("own").to_numpy().astype(np.int64), sizes)
+        self.own = np.arange(len(hashes)) - first < np.repeat(part.column("own").to_numpy().astype(np.int64), sizes)
         self.freq = np.repeat(part.column("freq").to_numpy(), sizes)
-        self.langs = part.column("lang").to_pylist()
-        names = {lang: k for k, lang in enumerate(dict.fromkeys(self.langs))}
+        langs = part.column("lang").to_pylist()
+        names = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
         self.lang_names = list(names)
-        self.lang = np.repeat(np.array([names[x] for x in self.langs], np.int64), sizes)
+        self.lang = np.repeat(np.array([names[x] for x in langs], np.int64), sizes)
         self.seed = _hashes_of_langs(self.lang_names)[self.lang] if names else np.zeros(0, np.uint64)
 
     def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For each length the hash of the phrase from each word on, and where it is one."""
-        h, ok = _mix(self.seed + self.hashes), self.whole
+        short = self.short.astype(np.uint64)
+        h, ok = _mix(self.seed + short), self.whole
         yield 1, h, ok
         for k in range(2, longest + 1):
             if len(h) < 2:
                 return
-            h = _mix(h[:-1] * _M[2] + self.hashes[k - 1:])
+            h = _mix(h[:-1] * _M[2] + short[k - 1:])
             ok = ok[:-1] & self.whole[k - 1:]
             yield k, h, ok
 
 
+def _hashed(part: pa.RecordBatch) -> _Chunks:
+    """Chunks by the hashes that stand beside them."""
+    data = part.column("hashes").to_pylist()
+    return _Chunks(part, np.frombuffer(b"".join(data), np.uint32), np.array([len(d) // 4 for d in data], np.int64))
+
+
+class _Words(_Chunks):
+    """Chunks with their words."""
+
+    def __init__(self, part: pa.RecordBatch):
+        lists = [c.split() for c in part.column("chunk").to_pylist()]
+        self.words = list(chain.from_iterable(lists))
+        self.hashes = _hashes(self.words)
+        super().__init__(part, _short(self.hashes), np.array([len(x) for x in lists], np.int64))
+
+
 def _hashes_of_langs(langs: list[str]) -> np.ndarray:
     return np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in langs), np.uint64, len(langs))
 
@@ -177,8 +192,8 @@ def frequent_hashes(chunks: DataFrame, size: int, shorter: Filter, least: int) -
         held: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
         for batch in batches:
-            for part in by_bytes(batch, "chunk"):
-                work, before = _Chunks(part), None
+            for part in by_bytes(batch, "hashes"):
+                work, before = _hashed(part), None
                 for k, h, ok in work.phrases(size):
                     if k == size - 1:
                         before = shorter.has(h) & ok
@@ -192,7 +207,7 @@ def frequent_hashes(chunks: DataFrame, size: int, shorter: Filter, least: int) -
         if held:
             yield out(*_counted(*map(np.concatenate, zip(*held, strict=True))))
 
-    return chunks.mapInArrow(run, "h long, freq long").groupBy("h").agg(F.sum("freq").alias("f")).filter(F.col("f") >= least).select("h")
+    return chunks.select("lang", "own", "freq", "hashes").mapInArrow(run, "h long, freq long").groupBy("h").agg(F.sum("freq").alias("f")).filter(F.col("f") >= least).select("h")
 
 
 def word_counts(chunks: DataFrame) -> DataFrame:
@@ -224,7 +239,7 @@ def word_hashes(words: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             seed = _hashes_of_langs(batch.column("lang").to_pylist())
-            h = _mix(seed + _hashes(batch.column("phrase").cast(pa.binary()).to_pylist()))
+            h = _mix(seed + _short(_hashes(batch.column("phrase").cast(pa.binary()).to_pylist())).astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
 
     return words.select("lang", "phrase").mapInArrow(run, "h long")
@@ -232,11 +247,12 @@ def word_hashes(words: DataFrame) -> DataFrame:
 
 def without_rare(chunks: DataFrame, frequent: Filter) -> DataFrame:
     """The chunks with a break in place of each stretch of words that are not frequent, as no
-    frequent phrase holds one; chunks without two neighbouring words drop out."""
+    frequent phrase holds one, and with ``hashes`` of what stays, 32 bits a word;
+    chunks without two neighbouring words drop out."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "chunk"):
-                work = _Chunks(part)
+                work = _Words(part)
                 if not len(work.words):
                     continue
                 (_, h, ok), *_ = work.phrases(1)
@@ -252,11 +268,14 @@ def without_rare(chunks: DataFrame, frequent: Filter) -> DataFrame:
                 ends = np.cumsum(sizes)
                 at = np.flatnonzero(useful & (owns > 0))
                 text = [b" ".join(words[e - n:e]) for e, n in zip(ends[at].tolist(), sizes[at].tolist(), strict=True)]
+                short = np.where(keep, work.short, np.uint32(0))[stay].tobytes()
+                hashes = [short[4 * (e - n):4 * e] for e, n in zip(ends[at].tolist(), sizes[at].tolist(), strict=True)]
+                taken = pa.array(at)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("lang").take(pa.array(at)), pa.array(text, pa.binary()), pa.array(owns[at].astype(np.int32)), part.column("freq").take(pa.array(at))],
-                    names=["lang", "chunk", "own", "freq"])
+                    [part.column("lang").take(taken), pa.array(text, pa.binary()), pa.array(owns[at].astype(np.int32)), part.column("freq").take(taken),
+                     pa.array(hashes, pa.binary())], names=["lang", "chunk", "own", "freq", "hashes"])
 
-    return chunks.mapInArrow(run, "lang string, chunk binary, own int, freq long")
+    return chunks.mapInArrow(run, "lang string, chunk binary, own int, freq long, hashes binary")
 
 
 def exact_counts(chunks: DataFrame, filters: dict[int, Filter], longest: int) -> DataFrame:
@@ -266,7 +285,7 @@ def exact_counts(chunks: DataFrame, filters: dict[int, Filter], longest: int) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "chunk"):
-                work, before = _Chunks(part), None
+                work, before = _Words(part), None
                 for k, h, ok in work.phrases(longest):
                     passed = filters[k].has(h) & ok if k < longest else before[:-1] & before[1:] & ok
                     before = passed
@@ -287,7 +306,7 @@ def exact_counts(chunks: DataFrame, filters: dict[int, Filter], longest: int) ->
                          pa.array(np.full(len(starts), k, np.int32)), pa.array(freq)],
                         names=["lang", "phrase", "words", "f"])
 
-    found = chunks.mapInArrow(run, "lang string, phrase string, words int, f long")
+    found = chunks.select("lang", "chunk", "own", "freq").mapInArrow(run, "lang string, phrase string, words int, f long")
     return found.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
 
 

@@ -64,9 +64,9 @@ def link_parents(nodes: DataFrame, kinds=K.RELEVANT_KINDS) -> DataFrame:
     """Nodes of ``kinds`` with their nearest enclosing node of those kinds.
 
     Adds ``parent_id``, ``depth`` and the parent's kind, file and order.  One join on
-    the scope settles almost all nodes.  Only scopes of other kinds are followed
-    further, each distinct one once, however many nodes lie in it; unknown scopes and
-    cycles give no parent.  Chains of any length end, as a cycle meets its mark."""
+    the scope settles almost all nodes.  Only nodes in scopes of other kinds need more:
+    ``_enclosing`` follows those scopes, once each however many nodes lie in them.
+    Unknown scopes and cycles give no parent."""
     hit = F.col("kind").isin(*kinds)
     target = nodes.select(
         P, F.col("id").alias("at"), hit.alias("at_hit"), F.nullif("scope", F.lit("")).alias("next"),
@@ -75,30 +75,42 @@ def link_parents(nodes: DataFrame, kinds=K.RELEVANT_KINDS) -> DataFrame:
     first = materialize(
         nodes.filter(hit).withColumn("to", F.nullif("scope", F.lit(""))).withColumn("at", spread_nulls("to", "id"))
         .join(target, [P, "at"], "left").select(P, *have, "at", "at_hit", "next", "seen"), "linked")
-
-    pending = first.filter("NOT at_hit AND next IS NOT NULL").select(
-        P, F.col("at").alias("origin"), "next", F.col("at").alias("mark")).distinct()
-    resolved, hops = [], 1
-    while not pending.isEmpty():
-        hops += 1
-        step = materialize(pending.withColumnRenamed("next", "at").join(target, [P, "at"]), "scopes")
-        resolved.append(step.filter("at_hit").select(
-            P, F.col("origin").alias("at"), F.col("at").alias("parent_id"), F.lit(hops).alias("depth"), "seen"))
-        # a pointer that meets its mark again is on a cycle; marks move up at powers of two
-        mark = F.col("at") if hops & (hops - 1) == 0 else F.col("mark")
-        pending = step.filter("NOT at_hit AND next IS NOT NULL AND at != mark").select(P, "origin", "next", mark.alias("mark"))
     direct = first.filter("at_hit IS NULL OR at_hit").select(
         P, *have, F.when(F.col("at_hit"), F.col("at")).alias("parent_id"), F.when(F.col("at_hit"), F.lit(1)).alias("depth"), "seen")
-    far = first.filter("NOT at_hit").drop("seen")
-    none = [F.lit(None).cast("string").alias("parent_id"), F.lit(None).cast("int").alias("depth")]
-    if resolved:
-        far = far.join(reduce(DataFrame.unionByName, resolved), [P, "at"], "left").select(P, *have, "parent_id", "depth", "seen")
+    far = first.filter("NOT at_hit")
+    if not far.isEmpty():
+        far = far.drop("seen").join(_enclosing(target), [P, "at"], "left").withColumn("depth", F.col("hops") + 1)
     else:
-        far = far.select(P, *have, *none, F.lit(None).cast(first.schema["seen"].dataType).alias("seen"))
-    return direct.unionByName(far).select(
+        far = far.withColumn("parent_id", F.lit(None).cast("string")).withColumn("depth", F.lit(None).cast("int"))
+    return direct.unionByName(far.select(direct.columns)).select(
         P, *have, "parent_id", "depth", F.col("seen.kind").alias("p_kind"), F.col("seen.file").alias("p_file"), F.col("seen.ord").alias("p_ord"))
 
 
+def _enclosing(target: DataFrame) -> DataFrame:
+    """``(project_id, at, parent_id, hops, seen)`` for the nodes that are no hit themselves and lie
+    in one, by pointer doubling.
+
+    Every open node points ``hops`` scopes up.  A round replaces its pointer by the one of
+    the node it points to, or takes that node's parent if it has one, so a chain of
+    depth d ends after log d rounds.  A node whose chain ends nowhere drops out.  Along a
+    chain that ends there is a node at every distance, so a round that settles none leaves
+    cycles alone, and what leads into them."""
+    open_ = target.filter("NOT at_hit AND next IS NOT NULL").select(P, "at", "next")
+    up = target.select(P, F.col("at").alias("next"), F.col("at_hit").alias("next_hit"), F.col("next").alias("beyond"), "seen")
+    state = materialize(open_.join(up, [P, "next"]).filter("next_hit OR beyond IS NOT NULL").select(
+        P, "at", "next", F.when(F.col("next_hit"), F.col("next")).alias("parent_id"), F.lit(1).alias("hops"), "seen"), "scopes")
+    settled = []
+    while True:
+        settled.append(state.filter("parent_id IS NOT NULL"))
+        waiting = state.filter("parent_id IS NULL")
+        if settled[-1].isEmpty() or waiting.isEmpty():
+            return reduce(DataFrame.unionByName, settled).drop("next")
+        known = reduce(DataFrame.unionByName, [*settled, waiting]).select(
+            P, F.col("at").alias("next"), F.col("next").alias("beyond"), F.col("parent_id").alias("found"), F.col("hops").alias("more"), "seen")
+        state = materialize(waiting.drop("seen").join(known, [P, "next"]).select(
+            P, "at", F.col("beyond").alias("next"), F.col("found").alias("parent_id"), (F.col("hops") + F.col("more")).alias("hops"), "seen"), "scopes")
+
+
 def resolve_parent(nodes: DataFrame, kinds=K.RELEVANT_KINDS) -> DataFrame:
     """``(project_id, id, parent_id, depth)`` for every node of ``kinds``."""
     return link_parents(nodes, kinds).select(P, "id", "parent_id", "depth")
@@ -127,8 +139,8 @@ def assign_ids(linked: DataFrame, prefixes: DataFrame, strict: bool = False) ->
     took it, in which case it gets ``@line``.  IDs of different kinds never meet, and
     parents of an earlier kind are final, so each kind is settled in turn, in one pass
     unless its nodes lie in each other.  Those take rounds of *join with the parents of
-    the last round, then first taker per ID*: both look backwards only, so the rounds
-    reach the one fixed point, and projects without a change leave the loop."""
+    the last round, then first taker per ID* over what may have changed: both look
+    backwards only, so the rounds reach the one fixed point."""
     language, prefix = F.col("language"), F.col("prefix")
     qname = N.qualified_name(F.col("file"), prefix, language)
     named = linked.join(broadcast_if_small(prefixes.select(P, "prefix", "language")), P).withColumn("qname", qname)
@@ -158,55 +170,78 @@ def assign_ids(linked: DataFrame, prefixes: DataFrame, strict: bool = False) ->
 
 
 def _settle(mine: DataFrame, kind: str) -> DataFrame:
-    """Final IDs of the nodes of one kind."""
-    columns = [*mine.columns, "element_id", "is_collision"]
-    fresh = mine.withColumn("element_id", F.lit(None).cast("string")).withColumn("is_collision", F.lit(False))
-    state = materialize(_next_ids(fresh, kind), f"ids-{kind}")
+    """Final IDs of the nodes of one kind, by delta iteration.
+
+    One pass gives every node an ID from the parents known so far.  After that a round
+    looks only at nodes below a parent whose ID changed, and at nodes whose ID is one that a
+    changed node took, takes now or took before.  What changes is laid over the one written
+    table of all nodes; that is written anew only when much of it is out of date."""
+    based = materialize(mine.withColumn("base_id", _base_id(kind)), f"bases-{kind}")
+    repeated = based.groupBy(P, "base_id").agg(F.min("pos").alias("first"), F.count(F.lit(1)).alias("takers")).filter("takers > 1").drop("takers")
+    collides = F.coalesce(F.col("first") < F.col("pos"), F.lit(False))
+    state = materialize(_with_id(based.join(repeated, [P, "base_id"], "left").withColumn("is_collision", collides).drop("first")), f"ids-{kind}")
     # parents in the same kind, or names that look like a suffixed ID, need more rounds
-    feedback = state.filter(F.col("in_kind") | F.col("base_id").rlike(_SUFFIXED))
-    if feedback.isEmpty():
-        return state.select(*columns)
-    done: list[DataFrame] = []
+    if state.filter(F.col("in_kind") | F.col("base_id").rlike(_SUFFIXED)).isEmpty():
+        return state
+    columns, rows = state.columns, state.count()
+    overlay, current = None, state
+    delta = state.select(*columns, F.lit(None).cast("string").alias("old_id"), F.lit(False).alias("old_collision"))
     while True:
-        ids = state.select(P, F.col("id").alias("parent_id"), F.col("element_id").alias("p_eid"))
-        nested = state.filter("in_kind").drop("p_eid").join(ids, [P, "parent_id"], "left")
-        both = state.filter("NOT in_kind").select(*columns).unionByName(nested.select(*columns))
-        state = materialize(_next_ids(both, kind), f"ids-{kind}")
-        changed = state.filter("changed").select(P).distinct()
-        if changed.isEmpty():
-            return reduce(DataFrame.unionByName, [*done, state]).select(*columns)
-        changed = broadcast_if_small(changed)
-        done.append(state.join(changed, P, "left_anti"))
-        state = state.join(changed, P, "left_semi")
+        delta = materialize(_changes(current, delta, kind, columns), f"delta-{kind}")
+        if delta.isEmpty():
+            return current
+        ids, news = broadcast_if_small(delta.select(P, "id")), delta.select(*columns)
+        overlay = materialize(news if overlay is None else overlay.join(ids, [P, "id"], "left_anti").unionByName(news), f"overlay-{kind}")
+        current = state.join(broadcast_if_small(overlay.select(P, "id")), [P, "id"], "left_anti").unionByName(overlay)
+        if overlay.count() * 4 > rows:
+            overlay, state = None, materialize(current, f"ids-{kind}")
+            current = state
 
 
 _SUFFIXED = r"@-?\d+$"
 
 
-def _next_ids(rows: DataFrame, kind: str) -> DataFrame:
-    """One round: IDs from the parents' IDs, then collisions.  The IDs seen before a node
-    are the bases of all earlier nodes and the suffixed IDs of earlier collisions."""
+def _changes(current: DataFrame, delta: DataFrame, kind: str, columns: list[str]) -> DataFrame:
+    """The rows that a round changes, with ``old_id`` and ``old_collision``, from the rows that the
+    last round changed.
+
+    The IDs seen before a node are the bases of all earlier nodes and the suffixed IDs
+    of earlier collisions."""
+    renamed = delta.filter("NOT old_id <=> element_id").select(P, F.col("id").alias("parent_id"), F.col("element_id").alias("new_p"))
+    moved = materialize(
+        current.filter("in_kind").join(broadcast_if_small(renamed), [P, "parent_id"]).filter("NOT p_eid <=> new_p")
+        .withColumn("old_base", F.col("base_id")).withColumn("p_eid", F.col("new_p")).drop("new_p")
+        .withColumn("base_id", _base_id(kind)).select(*columns, "old_base"), f"moved-{kind}")
+    taken = F.when(F.col("is_collision"), F.array("old_base", "base_id", _suffixed("old_base"), _suffixed("base_id"))).otherwise(F.array("old_base", "base_id"))
+    keys = moved.select(P, F.explode(taken).alias("base_id")).union(
+        delta.filter("old_collision != is_collision").select(P, _suffixed("base_id"))).distinct()
+    keys = broadcast_if_small(materialize(keys, f"keys-{kind}"))
+    after = current.withColumn("was_moved", F.lit(False)).join(broadcast_if_small(moved.select(P, "id")), [P, "id"], "left_anti").unionByName(
+        moved.drop("old_base").withColumn("was_moved", F.lit(True)))
+    takes = F.explode(F.when(F.col("is_collision"), F.array("base_id", _suffixed("base_id"))).otherwise(F.array("base_id")))
+    first = after.select(P, takes.alias("base_id"), "pos").join(keys, [P, "base_id"], "left_semi").groupBy(P, "base_id").agg(F.min("pos").alias("first"))
+    checked = after.join(keys, [P, "base_id"], "left_semi").withColumnsRenamed({"element_id": "old_id", "is_collision": "old_collision"}).join(first, [P, "base_id"])
+    return _with_id(checked.withColumn("is_collision", F.col("first") < F.col("pos"))).filter(
+        "was_moved OR is_collision != old_collision").select(*columns, "old_id", "old_collision")
+
+
+def _base_id(kind: str) -> Column:
+    """IDs from the parents' IDs, before collisions."""
     scope = F.coalesce(N.after_colon(F.col("p_eid")), F.col("p_qname"), F.col("qname"))
     if kind == "module":
-        base_id = F.concat(F.lit("mod:"), F.col("qname"))
-    elif kind == "class":
+        return F.concat(F.lit("mod:"), F.col("qname"))
+    if kind == "class":
         own_file = (F.col("p_kind") == "module") & (N.last_part(F.col("qname")) == F.col("name"))
-        base_id = F.concat(F.lit("cls:"), F.when(own_file, F.col("qname")).otherwise(
-            F.concat(scope, F.lit("."), F.col("name"))))
-    else:
-        base_id = F.concat(F.lit("fn:"), scope, F.lit("/"), F.col("name"))
-    # read twice below, so the join with the parents is not run twice
-    based = materialize(rows.withColumnRenamed("element_id", "old").withColumn("base_id", base_id), f"bases-{kind}")
-    suffixed = F.concat(F.col("base_id"), F.lit("@"), F.col("line").cast("string"))
-    taken = F.explode(F.when(F.col("is_collision"), F.array("base_id", suffixed)).otherwise(F.array("base_id")))
-    # all rows are of one kind, so their position alone is their order
-    first = based.select(P, taken.alias("base_id"), "pos").groupBy(P, "base_id").agg(
-        F.min("pos").alias("first"), F.count(F.lit(1)).alias("takers")).filter("takers > 1").drop("takers")
-    out = based.join(first, [P, "base_id"], "left").withColumn(
-        "is_collision", F.coalesce(F.col("first") < F.col("pos"), F.lit(False))).drop("first")
-    new_id = F.when(F.col("is_collision"), suffixed).otherwise(F.col("base_id"))
-    return out.withColumn("element_id", new_id).withColumn(
-        "changed", ~F.col("old").eqNullSafe(F.col("element_id"))).drop("old")
+        return F.concat(F.lit("cls:"), F.when(own_file, F.col("qname")).otherwise(F.concat(scope, F.lit("."), F.col("name"))))
+    return F.concat(F.lit("fn:"), scope, F.lit("/"), F.col("name"))
+
+
+def _suffixed(base: str) -> Column:
+    return F.concat(F.col(base), F.lit("@"), F.col("line").cast("string"))
+
+
+def _with_id(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("element_id", F.when(F.col("is_collision"), _suffixed("base_id")).otherwise(F.col("base_id")))
 
 
 def scanned_metadata() -> Column:

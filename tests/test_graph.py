@@ -94,11 +94,15 @@ def test_invariants_of_random_graphs(spark):
         for block in (r for r in mine if r[3] == "block"):
             assert len({parents[p, r[2]] for r in mine if r[5] == block[2] and r[3] in KINDS}) <= 1
 
-    # an ID does not depend on what comes after it
+    # an ID does not depend on nodes after it that are no scope of its own or of an earlier node
     last = {p: max((k for k in ids if k[0] == p), key=order.get, default=None) for p in projects}
     fewer = [(*r[:3], "gone", *r[4:]) if (r[0], r[2]) == last[r[0]] else r for r in rows]
     again, parents_again = ids_of(spark, fewer)
-    untouched = [k for k in again if parents_again[k] == parents[k] and last[k[0]][1] not in _above(by_node, k)]
+    touched = {}
+    for k in again:
+        if parents_again[k] != parents[k] or last[k[0]][1] in _above(by_node, k):
+            touched[k[0]] = min(touched.get(k[0], order[k]), order[k])
+    untouched = [k for k in again if k[0] not in touched or order[k] < touched[k[0]]]
     assert len(untouched) > 500 and all(again[k] == ids[k] for k in untouched)
 
 
@@ -136,6 +140,31 @@ def test_no_source_root(spark):
         G.build_elements(nodes, meta, strict=True).collect()
 
 
+def test_chains_take_few_rounds(spark, monkeypatch):
+    rows = [("p", i, f"b{i}", "block", "b", f"b{i - 1}" if i else "m", "src/m.py", 1) for i in range(1000)]
+    rows += [("p", 1000 + i, f"f{i}", "function", "f", f"b{i}", "src/m.py", i) for i in (0, 1, 2, 511, 512, 999)]
+    written = []
+    monkeypatch.setattr(G, "materialize", lambda df, label, inner=G.materialize: written.append(label) or inner(df, label))
+    got = {r.id: (r.parent_id, r.depth) for r in G.resolve_parent(frame(spark, [*rows, ("p", 2000, "m", "module", "m", None, "src/m.py", 1)])).collect()}
+    assert got == {"m": (None, None), **{f"f{i}": ("m", i + 2) for i in (0, 1, 2, 511, 512, 999)}}
+    assert written.count("scopes") <= 11
+
+
+def test_late_changes_touch_few_rows(spark, monkeypatch):
+    """Classes nested three deep and collisions among their children: only rows below a changed
+    parent, or with an ID that a changed row took, are worked on again."""
+    rows = [("p", 0, "m", "module", "m", None, "src/m.py", 1)]
+    rows += [("p", i, f"t{i}", "class", f"T{i}", "m", "src/m.py", i) for i in range(1, 400)]
+    rows += [("p", 400, "x", "class", "T1", "m", "src/m.py", 9), ("p", 401, "y", "class", "Y", "x", "src/m.py", 10), ("p", 402, "z", "class", "Z", "y", "src/m.py", 11),
+             ("p", 403, "w", "class", "T1@9", "m", "src/m.py", 12)]
+    sizes = []
+    monkeypatch.setattr(G, "materialize", lambda df, label, inner=G.materialize: (lambda out: sizes.append((label, out.count())) or out)(inner(df, label)))
+    got = ids_of(spark, rows)[0]
+    assert [got["p", k] for k in "xyzw"] == [("cls:m.T1@9", True), ("cls:m.T1@9.Y", False), ("cls:m.T1@9.Y.Z", False), ("cls:m.T1@9@12", True)]
+    later = [n for label, n in sizes if label.startswith(("delta", "moved", "overlay"))]
+    assert later and max(later) <= 4 and [label for label, _ in sizes].count("ids-class") == 1
+
+
 def test_long_scope_chain_and_cycle(spark):
     chain = [("p", i, f"b{i}", "block", "b", f"b{i - 1}" if i else "m", "src/m.py", 1) for i in range(75)]
     loop = [("p", 130, "x", "block", "b", "y", "", 1), ("p", 131, "y", "block", "b", "x", "", 1), ("p", 132, "g", "function", "g", "x", "src/m.py", 1)]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names as N
@@ -16,7 +16,7 @@ from ..operators.graph import P
 from ..runtime import materialize
 from ..sources import documents as D
 from ..sources import rules as R
-from ..streaming.resumable import resumable_apply
+from ..streaming.resumable import existing, resumable_apply
 
 
 def assemble(spark: SparkSession, projects: DataFrame, graph_paths, now: str, finding_paths=None, audit_paths=None,
@@ -68,26 +68,37 @@ def extract(tables: dict[str, DataFrame], contexts: DataFrame, fn: Callable[[str
             wait_seconds: float = 5.0) -> dict[str, DataFrame]:
     """Plan, ask ``fn`` for each unit, parse, and merge; safe to stop and run again.
 
-    ``path`` holds the units that ended complete, and below ``-failed`` those that did not,
-    of every run.  A unit counts as complete when each of its elements has a contract.
-    Returns the merged ``elements``, the ``plan``, and ``outcomes`` and ``errors`` of this
-    and earlier runs."""
+    ``path`` holds every contract that was found, and below ``-failed`` the messages of elements
+    without one, of every run.  A unit of which elements are missing is asked again by the
+    next run; contracts found before stay as they are.  Returns the merged ``elements``, the
+    ``plan``, and ``outcomes`` and ``errors`` of this and earlier runs: an element counts
+    once, and one that is still missing has its last run's message."""
     groups, plan = plan_extraction(tables["elements"], scope, skip_existing=skip_existing)
     units = build_prompts(groups, tables, contexts)
     spark = units.sparkSession
+    element = [P, "group_id", "element_id"]
+    earlier = existing(spark, f"{path}-failed")
+    run = 1 if earlier is None else 1 + (earlier.agg(F.max("run").alias("run")).first()["run"] or 0)
 
     def answer(todo: DataFrame) -> DataFrame:
-        parsed = materialize(A.parse_responses(G.batch_infer(todo, fn, retries, wait_seconds)), "parsed")
-        whole = parsed.groupBy(P, "group_id").agg(F.min("found").alias("whole"))
-        judged = parsed.join(whole, [P, "group_id"])
-        judged.filter("NOT whole").drop("whole").write.mode("append").parquet(f"{path}-failed")
-        return judged.filter("whole").drop("whole")
-
-    complete = resumable_apply(units, answer, path, [P, "group_id"], batches)
-    failed = spark.read.parquet(f"{path}-failed")
-    open_ = failed.join(complete.select(P, "group_id").distinct(), [P, "group_id"], "left_anti").dropDuplicates([P, "group_id", "element_id"])
-    totals, errors = A.run_outcomes(complete.unionByName(open_))
-    return {"elements": A.merge_contracts(tables["elements"], complete, model, now), "plan": plan, "outcomes": totals, "errors": errors}
+        parsed = materialize(A.parse_responses(G.batch_infer(todo, fn, retries, wait_seconds)).withColumn("run", F.lit(run)), "parsed")
+        parsed.filter("NOT found").write.mode("append").parquet(f"{path}-failed")
+        return parsed.filter("found")
+
+    def finished(found: DataFrame) -> DataFrame:
+        wanted = units.select(P, "group_id", F.explode("expected_ids").alias("element_id"))
+        missing = wanted.join(found.select(*element).distinct(), element, "left_anti").select(P, "group_id").distinct()
+        return units.join(missing, [P, "group_id"], "left_anti")
+
+    def once(rows: DataFrame, which: Callable[..., Column]) -> DataFrame:
+        """Of each element the row of one run; rows of one run are the same."""
+        rest = [c for c in rows.columns if c not in element]
+        return rows.groupBy(*element).agg(which(F.struct(*rest), "run").alias("r")).select(*element, *[f"r.{c}" for c in rest])
+
+    found = materialize(once(resumable_apply(units, answer, path, [P, "group_id"], batches, finished), F.min_by), "found")
+    failed = once(spark.read.parquet(f"{path}-failed"), F.max_by).join(found.select(*element), element, "left_anti")
+    totals, errors = A.run_outcomes(found.unionByName(failed))
+    return {"elements": A.merge_contracts(tables["elements"], found, model, now), "plan": plan, "outcomes": totals, "errors": errors}
 
 
 def compare(extracted: DataFrame, reference: DataFrame, id_map: DataFrame | None = None) -> dict[str, DataFrame]:

@@ -119,6 +119,29 @@ def extraction_job(t):
     return done["elements"].select("element_id", "contract.purpose", F.concat_ws("/", "metadata.confidence", "metadata.status").alias("provenance"))
 
 
+def _mostly(prompt: str) -> str:
+    """Answers to class groups lack the last element."""
+    answer = json.loads(_contracts(prompt))
+    return json.dumps(dict(list(answer.items())[:-1])) if prompt.startswith(K.PROMPT_CLASS_OPENING) else json.dumps(answer)
+
+
+@query("extraction_job_partial", f"""WITH {_GROUPS}, {_CONTEXT}, {_PROMPT},
+el AS (SELECT prompt, string_split(everyone, ',') AS ids, unnest(string_split(everyone, ',')) AS element_id FROM prm),
+lost AS (SELECT *, length(prompt) % 3 <> 2 AND starts_with(prompt, '{K.PROMPT_CLASS_OPENING}') AND element_id = ids[-1] AS gone FROM el)
+SELECT element_id, CASE WHEN NOT gone THEN 'n' || length(prompt) END AS purpose, CASE WHEN gone THEN '' ELSE 'medium/needs_review' END AS provenance,
+  count(*) FILTER (gone) OVER () AS failures, count(*) FILTER (NOT gone) OVER () AS successes FROM lost""")
+def extraction_job_partial(t):
+    """Two runs after which class groups lack an element: the contracts of the others stay."""
+    groups, elements, findings, deps = prompt_inputs(t)
+    tables = {"elements": elements.withColumn("contract", F.lit(None).cast(S.struct(S.CONTRACT))).withColumn(
+        "metadata", F.lit(None).cast(S.struct(S.METADATA))), "findings": findings, "dependencies": deps}
+    path = f"{shared_folder(t.spark)}/specframe/answers-{uuid.uuid4().hex}"
+    jobs.extract(tables, contexts(t), _sometimes, path, "m1", NOW)
+    done = jobs.extract(tables, contexts(t), _mostly, path, "m1", NOW)
+    return done["elements"].join(done["outcomes"].select("project_id", "failures", "successes"), "project_id").select(
+        "element_id", "contract.purpose", F.concat_ws("/", "metadata.confidence", "metadata.status").alias("provenance"), "failures", "successes")
+
+
 def _answer(prompt: str) -> str:
     if "\n" not in prompt:
         raise ValueError("one line")

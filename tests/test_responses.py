@@ -2,13 +2,14 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from specframe import schemas as S
 from specframe.operators import prompts as G
 from specframe.operators import responses as R
 from specframe.operators.blocks import assemble_text
-from specframe.streaming.resumable import resumable_apply, resumable_stream
+from specframe.streaming.resumable import existing, resumable_apply, resumable_stream
 
 RESPONSE = "project_id string, group_id string, type string, expected_ids array<string>, raw string, error string"
 
@@ -103,6 +104,15 @@ def test_resume(spark, tmp_path):
     assert resumable_apply(work, lambda df: df, path, ["k"]).count() == 10
 
 
+def test_resume_takes_only_a_missing_path_for_no_results(spark, tmp_path):
+    broken = tmp_path / "results"
+    broken.mkdir()
+    (broken / "part.parquet").write_text("no parquet")
+    with pytest.raises(Exception, match="(?i)parquet"):
+        resumable_apply(spark.range(3).withColumn("k", F.col("id").cast("string")), lambda df: df, str(broken), ["k"]).count()
+    assert existing(spark, str(tmp_path / "none")) is None
+
+
 def test_resume_stream(spark, tmp_path):
     spark.range(4).write.parquet(str(tmp_path / "in"))
     for _ in range(2):

@@ -56,9 +56,9 @@ def per_group(small: DataFrame, label: str) -> DataFrame:
 def first_by_key(rows: DataFrame, group: str, most: Column, ties: tuple[str, ...] = ()) -> DataFrame:
     """Of each ``group`` the ``most`` rows with the smallest ``key``, a ``shuffle_key``.
 
-    Keys are evenly spread, so the group's size says below which key these rows lie, with
-    a wide margin; only rows below it are sorted."""
-    counts = per_group(rows.groupBy(group).agg(F.count(F.lit(1)).alias("_of")), "group-sizes")
+    Keys are evenly spread, so the number of different ones says below which key these rows
+    lie, with a margin far wider than the error of that number; only rows below it are sorted."""
+    counts = per_group(rows.groupBy(group).agg(F.approx_count_distinct("key", 0.05).alias("_of")), "group-sizes")
     near = rows.join(counts, group).withColumn("_most", most).filter(
         F.col("key") <= F.least(F.lit(1.0), (4 * F.col("_most") + 100) / F.col("_of")) * F.lit(float(2 ** KEY_BITS)))
     order = Window.partitionBy(group).orderBy("key", *ties)

@@ -80,14 +80,16 @@ class BitSlices:
             k += 1
         return out
 
-    def top(self, query: np.ndarray, k: int, without: int | None) -> np.ndarray:
-        """Rows of the ``k`` highest scores, ties to the first rows.
+    def top(self, query: np.ndarray, k: int, without: range = range(0)) -> np.ndarray:
+        """Rows of the ``k`` highest scores, but for those in ``without``, ties to the first rows.
 
         From the most significant slice down, rows with the bit are taken while they fit;
         what still ties at the end is the boundary, and its first rows fill up."""
         alive = self.all.copy()
-        if without is not None:
-            alive[without // 64] &= ~np.uint64(1 << without % 64)
+        if without:
+            own = np.zeros(self.words * 64, np.int64)
+            own[without.start:without.stop] = 1
+            alive &= ~self._pack(own)
         taken, held = np.zeros(self.words, dtype=np.uint64), 0
         for bitmap in reversed(self.sums(query)):
             high = alive & bitmap
@@ -122,20 +124,20 @@ def products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
 
 
 def exact_top(vectors: DataFrame, k: int, is_query: Column, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
-    """``(query_id, rank, vec_id, score)``: for each row of ``vectors (vec_id, q)`` that is a
-    query the ``k`` other rows with the highest inner products, ties to the smaller ID.
+    """``(query_id, rank, vec_id, score)``: for each ID of ``vectors (vec_id, q)`` that is a
+    query the ``k`` rows of other IDs with the highest inner products, ties to the smaller ID.
 
-    Rows go to blocks, queries to blocks of their own, both by a hash of the ID; each block
+    Rows go to blocks, queries to blocks of their own, both by a hash of the row; each block
     of queries meets each block of rows in a task of its own, which builds the bit-sliced
     index of its rows and returns ``k`` rows per query, and these are merged by query.
     Exact search compares all queries with all rows, so a row is sent once per block of
     queries; larger ``query_block`` sends less and makes longer tasks.
-    Null IDs and vectors take no part; a repeated ID counts once, with its smallest vector;
-    shorter vectors are filled up with zeros.  An empty table gives no rows."""
-    rows = materialize(vectors.filter("vec_id IS NOT NULL AND q IS NOT NULL").groupBy("vec_id").agg(F.min("q").alias("q")), "vectors")
+    Null IDs and vectors take no part; rows that share an ID are rows of their own, as
+    candidates and, if it is a query, as questions under one number; shorter vectors are filled up with zeros.  An empty table gives no rows."""
+    rows = materialize(vectors.filter("vec_id IS NOT NULL AND q IS NOT NULL").withColumn("place", F.monotonically_increasing_id()), "vectors")
     n, wanted = rows.count(), rows.filter(is_query).count()
     blocks, query_blocks = max(1, -(-n // block)), max(1, -(-wanted // query_block))
-    spread = F.xxhash64("vec_id")
+    spread = F.xxhash64("place")
     one = F.lit(1).cast("long")
     candidates = rows.select(F.pmod(spread, blocks).alias("b"), F.explode(F.sequence(one * 0, one * (query_blocks - 1))).alias("a"),
                              F.lit(False).alias("asks"), "vec_id", "q")
@@ -149,8 +151,7 @@ def exact_top(vectors: DataFrame, k: int, is_query: Column, block: int = BLOCK,
         ids, index = own["vec_id"].to_numpy(), BitSlices(_matrix(own["q"], dims))
         query_ids, found, scores = [], [], []
         for query_id, query in zip(asked["vec_id"].to_numpy(), _matrix(asked["q"], dims), strict=True):
-            at = int(np.searchsorted(ids, query_id))
-            hits = index.top(query, k, at if at < len(ids) and ids[at] == query_id else None)
+            hits = index.top(query, k, range(*np.searchsorted(ids, [query_id, query_id + 1]).tolist()))
             query_ids.append(np.full(len(hits), query_id))
             found.append(ids[hits])
             scores.append(products(index.rows[hits], query))

@@ -252,13 +252,13 @@ def loose_terms(sample: DataFrame, terms: dict[str, int]) -> set[str]:
     return {r["term"] for r in seen.filter(F.col("n") >= LEAST_DOCS).collect()}
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 0.1, steps: int = 50) -> np.ndarray:
-    """Weights and, last, intercept, which is not penalised."""
+def logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, penalty: float = 0.1, steps: int = 50) -> np.ndarray:
+    """Weights and, last, intercept, which is not penalised; ``share`` is how much each row counts."""
     x = np.hstack([x, np.ones((len(x), 1))])
     w, ridge = np.zeros(x.shape[1]), np.diag([penalty] * (x.shape[1] - 1) + [1e-9])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        gradient, hessian = x.T @ (p - y) + ridge @ w, (x.T * (p * (1 - p) + 1e-9)) @ x + ridge
+        gradient, hessian = x.T @ (share * (p - y)) + ridge @ w, (x.T * (share * p * (1 - p) + 1e-9)) @ x + ridge
         move = np.linalg.solve(hessian, gradient)
         w = w - move * min(1.0, 5.0 / max(1e-12, np.abs(move).max()))
         if np.abs(move).max() < 1e-8:
@@ -299,10 +299,13 @@ def _measure(docs: DataFrame, key: str, terms: Broadcast, columns: list[str]) ->
     return docs.select(*columns, "text").mapInArrow(run, schema)
 
 
-def _sample(docs: DataFrame, labels: DataFrame, toxic: int, clean: int) -> DataFrame:
+def _marked(labels: DataFrame) -> DataFrame:
+    return labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+
+
+def _sample(docs: DataFrame, marked: DataFrame, toxic: int, clean: int) -> DataFrame:
     """Labelled texts, each once, within the bounds of both classes."""
     most = F.when(F.col("toxic") == 1, F.lit(toxic)).otherwise(F.lit(clean))
-    marked = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     ids = first_by_key(marked.withColumn("key", shuffle_key(0, F.col("doc_id"))), "toxic", most)
     texts = docs.filter("text IS NOT NULL").select("doc_id", "text").join(F.broadcast(ids), "doc_id")
     return first_by_key(texts, "toxic", most, ("text",)).groupBy("text").agg(F.max("toxic").alias("toxic"))
@@ -312,9 +315,12 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
     """Lexicon and weights from ``docs (doc_id, text)`` and ``labels (doc_id, toxic)``.
 
     At most ``toxic`` and ``clean`` labelled documents of the classes are used, the first
-    in a fixed random order of their IDs; equal texts count once."""
+    in a fixed random order of their IDs; equal texts count once.  Each class weighs as much
+    as its share of all labels, so scores mean the same however much of it was used."""
     spark = docs.sparkSession
-    sample = materialize(_sample(docs, labels, toxic, clean), "toxicity")
+    marked = materialize(_marked(labels), "marked")
+    every = Counter({r["toxic"]: r["n"] for r in marked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
+    sample = materialize(_sample(docs, marked, toxic, clean), "toxicity")
     size = Counter({r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()})
     telling = count_terms(sample).filter((F.col("toxic") >= LEAST_DOCS) & (F.col("toxic") * size[0] > F.col("clean") * size[1]))
     counts = {r["term"]: (r["toxic"], r["clean"]) for r in telling.collect()}
@@ -326,8 +332,11 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = TRAIN_TOXIC, clean: i
     if not size[0] or not size[1]:
         return ToxicityModel(key, sent, (0.0, 0.0, 0.0, -5.0 if not size[1] else 5.0))
     x = np.array([[r["x0"], r["x1"], r["x2"]] for r in rows])
-    order = np.lexsort(x.T)
-    return ToxicityModel(key, sent, tuple(logistic(x[order], np.array([r["toxic"] for r in rows], dtype=float)[order]).tolist()))
+    y = np.array([r["toxic"] for r in rows], dtype=float)
+    one = every[1] / (every[0] + every[1]) * len(rows)
+    share = np.where(y == 1, one / size[1], (len(rows) - one) / size[0])
+    order = np.lexsort([*x.T, y])
+    return ToxicityModel(key, sent, tuple(logistic(x[order], y[order], share[order]).tolist()))
 
 
 def score(docs: DataFrame, model: ToxicityModel, folds: int = FOLDS) -> DataFrame:

@@ -22,3 +22,13 @@ def test_odd_rows(spark, odd_docs, no_docs):
     assert by_id[1]["size"] == 16 and by_id[1]["text_crc32"] == 0
     assert by_id[4]["size"] == 200_016 and by_id[4]["text_crc32"] == zlib.crc32(b"x" * 200_000)
     assert sharding.interleave(no_docs, 4).collect() == []
+
+
+def test_written_shards_hold_every_row(spark, make_docs, odd_docs, tmp_path):
+    more = odd_docs.unionByName(make_docs([(None, f"text {i}", "en", "a") for i in range(30)] + [(1, "other", "en", "b"), (1, "other", "en", "b")]))
+    path = str(tmp_path / "shards")
+    sharding.write_shards(more, path, 4)
+    back = spark.read.parquet(path)
+    assert sorted(map(str, back.select(more.columns).collect())) == sorted(map(str, more.collect()))
+    for shard, n in Counter(r["shard"] for r in back.collect()).items():
+        assert sorted(r["slot"] for r in back.filter(back.shard == shard).collect()) == list(range(n))

@@ -42,16 +42,27 @@ def test_ties_and_copies(spark):
 def test_rows_that_take_no_part(spark):
     rows = [(0, [1.0, 2.0]), (1, [3.0]), (2, None), (3, [None, 1.0]), (4, [float("nan"), 1.0]), (5, [float("inf")]), (None, [9.0]),
             (7, [1e30]), (8, []), (0, [1.0, 2.0]), (20, None)]
-    assert found(spark, rows) == [(0, 1, 1, 64 * 192), (0, 2, 8, 0)]
+    assert found(spark, rows, 9) == [(0, 1, 1, 64 * 192), (0, 2, 1, 64 * 192), (0, 3, 8, 0), (0, 4, 8, 0)]
     assert found(spark, []) == [] and found(spark, [(0, [1.0])]) == []
 
 
+def test_every_row_of_a_repeated_id(spark):
+    rows = [(0, [5.0]), (1, [1.0]), (1, [5.0]), (2, [2.0])]
+    assert found(spark, rows) == [(0, 1, 1, 320 * 320), (0, 2, 2, 320 * 128), (0, 3, 1, 320 * 64)]
+    many = [(0, [1.0])] + [(7, [float(i % 5)]) for i in range(200)] + [(20, [3.0]), (20, [-1.0])]
+    want = sorted(((q, -64 * 64 * int(x * y), j) for q, (x,) in many if q % 20 == 0 for j, (y,) in many if j != q))
+    got = found(spark, many, 6, block=16, query_block=1)
+    for q in (0, 20):
+        mine = [(s, v) for i, _, v, s in got if i == q]
+        assert mine == [(-s, v) for i, s, v in want if i == q][:6]
+
+
 def test_large_components_take_part(spark):
     rows = [(i, [float(i % 7), 2.0 ** 18 * (i % 3), -1.0]) for i in range(60)] + [(100, [3e7, -3e7, 1.0]), (101, [2.0 ** 22, 1.0, 0.0]), (102, [3e7, 1.0, 0.0])]
     assert found(spark, rows) == expected(rows) and {i for i, *_ in expected(rows)} == {0, 20, 40, 100}
     assert found(spark, rows, 3, block=16, query_block=2) == expected(rows)
     ends = np.array([[-2 ** 63, 5], [2 ** 63 - 1024, -5], [0, 0]])
-    assert list(topk.BitSlices(ends).top(np.array([2 ** 40, -3]), 2, None)) == [1, 2]
+    assert list(topk.BitSlices(ends).top(np.array([2 ** 40, -3]), 2)) == [1, 2]
     with pytest.raises(OverflowError):
         topk.products(ends, np.array([2 ** 40, 0]))
 

@@ -105,6 +105,14 @@ def test_held_out_accuracy(spark):
     assert sum(caught) >= 0.85 * len(caught) and sum(wrong) <= 0.01 * len(wrong)
 
 
+def test_a_cut_sample_flags_as_much(spark):
+    """With a third of the clean documents and all toxic ones, about as many are flagged."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    flagged = [toxicity.score(docs, toxicity.train(docs, labels, 3000, clean)).agg({"predicted": "sum"}).first()[0] for clean in (6000, 900)]
+    assert abs(flagged[0] - flagged[1]) <= 0.06 * flagged[0], flagged
+
+
 def test_odd_rows(spark, make_docs, odd_docs, no_docs):
     texts = [(i, f"some words number {i}" if i % 2 else f"some idiot number {i}", "en", "s") for i in range(100)]
     labels = spark.createDataFrame([(i, 1, 1 - i % 2) for i in range(100)] + [(3, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int")

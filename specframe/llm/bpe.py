@@ -9,7 +9,7 @@ import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 from heapq import heappop, heappush
-from itertools import accumulate, chain, filterfalse, islice
+from itertools import accumulate, islice
 
 import numpy as np
 import pyarrow as pa
@@ -69,20 +69,15 @@ class CachedCoder:
         """The IDs of a punctuation mark."""
         raise NotImplementedError
 
-    def _unknown(self, known: dict[str, bytes], lists: list[list[str]]) -> set[str]:
-        new: set[str] = set()
-        for chunks in lists:
-            new.update(filterfalse(known.__contains__, chunks))
-        return new
-
-    def _fill(self, known: dict[str, bytes], prefix: str, lists: list[list[str]]) -> list[str]:
-        """Puts the IDs of all these chunks into ``known``; returns those too long to stay."""
-        new = self._unknown(known, lists)
+    def _coded(self, known: dict[str, bytes], prefix: str, lists: list[list[str]]) -> list[list[bytes]]:
+        """The IDs of all chunks; new ones are learned, and kept unless they are long."""
+        coded = [list(map(known.get, chunks)) for chunks in lists]
+        open_ = [k for k, ids in enumerate(coded) if None in ids]
+        new = {c for k in open_ for c, ids in zip(lists[k], coded[k], strict=True) if ids is None}
         if len(known) + len(new) > self.most:
             # frequent chunks came first
             for c in list(islice(known, self.most // 2, None)):
                 del known[c]
-            new = self._unknown(known, lists)
         # the pattern ends a match between letters and a mark
         marked = [c for c in new if c[-1:] in MARKS and c[:-1].isalpha()]
         wanted = list({c[:-1] for c in marked}.difference(known).union(new).difference(marked))
@@ -90,7 +85,11 @@ class CachedCoder:
         marks = {mark: self.mark(mark) for mark in {c[-1] for c in marked}}
         for c in marked:
             known[c] = known[c[:-1]] + marks[c[-1]]
-        return [c for some in (wanted, marked) for c in some if len(c) > LONGEST_KEPT]
+        for k in open_:
+            coded[k] = [known[c] if ids is None else ids for c, ids in zip(lists[k], coded[k], strict=True)]
+        for c in [c for some in (wanted, marked) for c in some if len(c) > LONGEST_KEPT]:
+            del known[c]
+        return coded
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """IDs of whole texts.
@@ -117,13 +116,9 @@ class CachedCoder:
                 heads.append([head] if head else [])
                 tails.append(tail)
             line_counts.append(len(lines))
-        long = [(known, self._fill(known, prefix, lists))
-                for known, prefix, lists in ((self.first, "", heads), (self.rest, " ", tails))]
-        first, rest, line_break = self.first.__getitem__, self.rest.__getitem__, self.mark("\n")
-        lines = [b"".join(chain(map(first, head), map(rest, tail))) for head, tail in zip(heads, tails, strict=True)]
-        for known, chunks in long:
-            for c in chunks:
-                del known[c]
+        line_break = self.mark("\n")
+        lines = [b"".join(head) + b"".join(tail) for head, tail in zip(
+            self._coded(self.first, "", heads), self._coded(self.rest, " ", tails), strict=True)]
         ends = list(accumulate(line_counts))
         return [line_break.join(lines[e - n:e]) for e, n in zip(ends, line_counts, strict=True)]
 

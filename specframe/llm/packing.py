@@ -28,6 +28,12 @@ CACHE_ENTRIES = 800_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+#: Byte-level models write a byte as the Latin-1 character of its number if that can be seen, the
+#: others, in their order, as the characters from 256 on.
+_SEEN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+_BYTE_CHARACTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _SEEN)}
+
+
 @dataclass(frozen=True)
 class TokenizerFile:
     """A tokenizer file sent to the executors."""
@@ -49,26 +55,23 @@ class _Coder(CachedCoder):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallel work
         self.tokenizer = Tokenizer.from_buffer(file.sent.value)
         self.marks: dict[str, bytes] = {}
-        (self.line_break,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.tokenize = self.tokenizer.model.tokenize
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """IDs of chunks that are a blank and letters, many at a call.  Between two of them
-        a line break is a token by itself, so it shows where the IDs of one end."""
-        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
-        ends = np.flatnonzero(ids == self.line_break).tolist()
-        data = ids.tobytes()
-        return [data[4 * i:4 * j] for i, j in zip([0, *[e + 1 for e in ends]], [*ends, len(ids)], strict=True)]
+    def _word(self, word: str) -> bytes:
+        """IDs of one match of the pattern, by the tokenizer's model, which takes a character for
+        each byte."""
+        if not word.isascii():
+            word = word.encode().decode("latin-1")
+        return array("I", [t.id for t in self.tokenize(word.translate(_BYTE_CHARACTERS))]).tobytes()
 
     def _apart(self, texts: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, prefix: str, chunks: list[str], known: dict[str, bytes]) -> None:
-        letters = [c for c in chunks if c.isalpha()] if prefix else []
-        for i in range(0, len(letters), 1000):
-            some = letters[i:i + 1000]
-            known.update(zip(some, self._words([prefix + c for c in some]), strict=True))
-        others = [c for c in chunks if not (prefix and c.isalpha())]
+        """Letters, and letters behind a blank, are one match of the pattern."""
+        known.update([(c, self._word(prefix + c)) for c in chunks if c.isalpha()])
+        others = [c for c in chunks if not c.isalpha()]
         known.update(zip(others, self._apart([prefix + c for c in others]), strict=True))
 
     def mark(self, mark: str) -> bytes:

@@ -67,7 +67,7 @@ def check_packed(rows, docs):
 
 
 @settings(max_examples=100, deadline=None)
-@given(st.lists(st.lists(st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "th", "ing", "é", "12", "!?", ".", "'s", "<|endoftext|>", "<|endof"]), max_size=12).map("".join),
+@given(st.lists(st.lists(st.sampled_from([" ", "  ", "\n", "\n\n", "\t", "\r\n", "a", "th", "ing", "é", "日本", "ß", "ñandú", "Ünï", "12", "!?", ".", "'s", "<|endoftext|>", "<|endof"]), max_size=12).map("".join),
                 min_size=1, max_size=4))
 def test_ids_of_the_plain_call(coder, texts):
     plain = Tokenizer.from_file(PATH)

@@ -126,6 +126,15 @@ def findings_for_file(t):
     return findings.findings_for_file(page_files(t), page_findings(t))
 
 
+@query("findings_by_location", f"""WITH {_PAGES}, lc AS (SELECT project_id, seq, CASE WHEN seq % 7 > 0 THEN 'at ' || url || ':' || seq END AS location FROM ff)
+SELECT project_id, file, seq FROM hits
+UNION SELECT a.project_id, a.file, seq FROM (SELECT DISTINCT project_id, file FROM pg WHERE file <> '') a JOIN lc ON lc.project_id = a.project_id AND contains(location, a.file)""")
+def findings_by_location(t):
+    """Locations are sentences around an address; its path, and paths within it, are files."""
+    location = F.when(c("seq") % 7 > 0, _text("at ", c("message"), ":", c("seq")))
+    return findings.findings_for_file(page_files(t), page_findings(t).withColumn("location", location), by_location=True)
+
+
 @query("findings_section", f"""WITH {_PAGES}
 SELECT project_id, file, seq AS ord, '- ' || CASE WHEN suffix(url, '/') THEN 'unknown' ELSE 'W1' END || ': ' || CASE WHEN suffix(url, '/') THEN '' ELSE 'W1' END
   || ' (severity: ' || CASE WHEN contains(url, 'utm') THEN 'low' ELSE 'unknown' END || ') — ' || url AS text FROM hits

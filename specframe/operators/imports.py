@@ -26,8 +26,8 @@ def match_imports(imports: DataFrame, rules: DataFrame, strategy: str = "exact",
     key end only at a dot, and modules below a ``deny`` entry never match.
 
     Modules repeat a lot, so candidates are made per distinct module: its dotted
-    parents, or its cuts to the key lengths that occur.  The candidate join is an
-    equality join on text, never a nested loop."""
+    parents, or its beginnings of every length.  The candidate join is an equality join on
+    text, never a nested loop."""
     keys = rules.select(F.col("rule_key")).distinct()
     modules = imports.select("module").filter("module IS NOT NULL").distinct()
     if strategy == "exact":
@@ -36,11 +36,9 @@ def match_imports(imports: DataFrame, rules: DataFrame, strategy: str = "exact",
             F.sequence(F.lit(1), F.size(parts)),
             lambda n: F.array_join(F.slice(parts, 1, n), "."))).alias("rule_key"))
     elif strategy == "prefix":
-        # one number per key length that occurs, so a short list however many rules
-        lengths = sorted(r.n for r in keys.select(F.length("rule_key").alias("n")).distinct().collect())
-        cuts = modules.select("module", F.explode(F.filter(
-            F.array(*[F.lit(n) for n in lengths]), lambda n: n <= F.length("module"))).alias("n")
-        ).select("module", F.expr("left(module, n)").alias("rule_key"))
+        whole = F.length("module")
+        cuts = modules.select("module", F.explode(F.when(whole > 0, F.sequence(F.lit(1), whole))).alias("n")).select(
+            "module", F.expr("left(module, n)").alias("rule_key"))
         if boundary == "segment":
             rest = F.expr("substring(module, length(rule_key) + 1, 1)")
             cuts = cuts.filter(rest.isin("", "."))

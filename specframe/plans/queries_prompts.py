@@ -14,6 +14,7 @@ from ..operators import prompts as G
 from ..operators import quality as Q
 from ..operators import responses as R
 from ..operators import selection
+from ..operators.documents import check_documents
 from ..runtime import shared_folder
 from . import jobs
 from .queries_graph import LINE_POS, _GROUPS, line_pos, order_elements
@@ -318,3 +319,45 @@ def raw_spec_violations(t):
     docs = t.orders.select(_text("o", c("o_orderkey")).alias("project_id"), _text(
         '{"meta": {"project_name": "x"}, "extra": 1, "elements": {"e": {"name": "n", "line": "', c("o_orderpriority"), '", "contract": {"', c("o_orderstatus"), '": 1}, "metadata": {"status": "x"}}}}').alias("doc"))
     return Q.document_violations(docs)
+
+
+_M = '{"confidence": "high", "source": "human_input", "status": "confirmed"'
+_BROKEN_DOC = (
+    '{"S": 1, "meta": {"project_name": "x", "spec_version": "T", "S": 1}, "cpg_ref": {"path": "p", "S": 1, "stats": {"nodes": 1.0, "call_resolution_pct": N, "S": 1}},'
+    ' "ecosystem_dependencies": [{"package": "a", "ecosystem": "b", "metadata": ' + _M + '}}, {"package": "a", "ecosystem": "b", "S": 1, "metadata": ' + _M + '},'
+    ' "cves": [{"id": "C", "severity": "HIGH"}, {"id": "D", "severity": "T", "S": 1}], "eol": {"is_eol": null, "confidence": null, "S": 1}}],'
+    ' "security_findings": [{"file": "f", "line": L, "rule_id": "r", "severity": "high", "S": 1, "metadata": ' + _M + '},'
+    ' "compliance": {"S": 1, "owasp_asvs": [{"id": "1"}, {"S": 1}], "asd_stig": [{"S": 1}], "pci_dss": ["x", N]}}],'
+    ' "elements": {"e.K": {"hierarchy_level": "class", "node_ref": "n", "name": "x", "S": 1, "metadata": ' + _M + ', "S": 1},'
+    ' "contract": {"S": 1, "error_conditions": [{"condition": "c", "behavior": "b"}, {"condition": "c", "S": 1}], "state_transitions": [{"S": 1}], "trust_boundary": {"input_trust": "T", "S": 1}},'
+    ' "data_model": {"S": 1, "entities": [{"name": "a", "S": 1, "fields": [{}, {"S": 1}]}, {}], "relationships": [{"S": 1}]}}},'
+    ' "usage_paths": [{"id": "u", "name": "x", "nodes": N, "S": 1, "metadata": ' + _M + '}}]}')
+_CLOSED = [
+    "(root)", "meta", "cpg_ref", "cpg_ref.stats", "ecosystem_dependencies.1", "ecosystem_dependencies.1.cves.1", "ecosystem_dependencies.1.eol", "security_findings.0",
+    "security_findings.0.compliance", "security_findings.0.compliance.owasp_asvs.1", "security_findings.0.compliance.asd_stig.0", "elements.e.K", "elements.e.K.metadata",
+    "elements.e.K.contract", "elements.e.K.contract.error_conditions.1", "elements.e.K.contract.state_transitions.0", "elements.e.K.contract.trust_boundary",
+    "elements.e.K.data_model", "elements.e.K.data_model.entities.0", "elements.e.K.data_model.entities.0.fields.1", "elements.e.K.data_model.relationships.0", "usage_paths.0"]
+
+
+@query("all_spec_violations", f"""
+WITH o AS (SELECT o_orderkey AS k, o_orderstatus AS s, o_orderpriority AS t, CAST(o_orderkey % 150 AS VARCHAR) AS n,
+  CASE o_orderstatus WHEN 'P' THEN '"' || o_orderpriority || '"' ELSE o_orderkey || '.5' END AS l FROM orders)
+SELECT 'o' || k AS project_id, replace(p, 'K', CAST(k AS VARCHAR)) AS path, 'unknown_key' AS rule, 'unexpected keys: ' || s AS message FROM o, (SELECT unnest({_CLOSED}) AS p)
+UNION ALL SELECT 'o' || k, 'meta.spec_version', 'const', '''0.1.0'' was expected, got ''' || t || '''' FROM o
+UNION ALL SELECT 'o' || k, 'cpg_ref.stats.call_resolution_pct', 'range', n || ' is not between 0 and 100' FROM o WHERE k % 150 > 100
+UNION ALL SELECT 'o' || k, 'security_findings.0.line', 'type', '''' || trim(l, '"') || ''' is not of type integer' FROM o
+UNION ALL SELECT 'o' || k, 'security_findings.0.compliance.pci_dss.1', 'type', '''' || n || ''' is not of type string' FROM o
+UNION ALL SELECT 'o' || k, 'usage_paths.0.nodes', 'type', '''' || n || ''' is not of type array' FROM o
+UNION ALL SELECT 'o' || k, 'elements.e.' || k || '.contract.error_conditions.1', 'required', '''behavior'' is a required property' FROM o
+UNION ALL SELECT 'o' || k, 'elements.e.' || k || '.data_model.entities.1', 'required', '''name'' is a required property' FROM o
+UNION ALL SELECT 'o' || k, 'ecosystem_dependencies.1.cves.1.severity', 'enum', '''' || t || ''' is not one of [''CRITICAL'', ''HIGH'', ''MEDIUM'', ''LOW'']' FROM o
+UNION ALL SELECT 'o' || k, 'ecosystem_dependencies.1.eol.confidence', 'enum', '''null'' is not one of [''high'', ''medium'', ''low'']' FROM o
+UNION ALL SELECT 'o' || k, 'elements.e.' || k || '.contract.trust_boundary.input_trust', 'enum', '''' || t || ''' is not one of [''trusted'', ''untrusted'', ''mixed'', ''n/a'']' FROM o""")
+def all_spec_violations(t):
+    """One document per order that breaks every closed object."""
+    number = F.when(c("o_orderstatus") == "P", _text('"', c("o_orderpriority"), '"')).otherwise(_text(c("o_orderkey"), ".5"))
+    doc = F.lit(_BROKEN_DOC)
+    for mark, value in (('"S"', _text('"', c("o_orderstatus"), '"')), ('"T"', _text('"', c("o_orderpriority"), '"')), ("e.K", _text("e.", c("o_orderkey"))),
+                        (": N", _text(": ", c("o_orderkey") % 150)), (", N", _text(", ", c("o_orderkey") % 150)), (": L", _text(": ", number))):
+        doc = F.replace(doc, F.lit(mark), value)
+    return check_documents(t.spread("orders").select(_text("o", c("o_orderkey")).alias("project_id"), doc.alias("doc")))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
 from ..operators import compare as H
+from ..runtime import shared_folder
+from ..sources.sinks import read_comparisons, write_comparisons
 from .registry import Tables, query, sql_keywords, sql_need, sql_overlap
 
 KW = sql_keywords
@@ -338,6 +342,20 @@ def comparison_text(t):
     return H.comparison_text(_compared(t)).select("element_id", "ord", "text")
 
 
+@query("comparison_files", f"""{_PAIRS}, {_FIELDS}, {_DETAILS}, {_TRUST}, {_PURPOSE}, {_TEXT}
+SELECT element_id, CAST(row_number() OVER (PARTITION BY element_id ORDER BY a, b) - 1 AS INT) AS ord, t AS text FROM lines
+UNION ALL SELECT element_id, -1, 'skipped' FROM ext WHERE reference_id NOT IN (SELECT reference_id FROM ref)""")
+def comparison_files(t):
+    """Comparisons and skipped elements are written, read back and shown."""
+    path = f"{shared_folder(t.spark)}/specframe/comparisons-{uuid.uuid4().hex}"
+    pairs, skipped = _pairs(t)
+    tables = {"comparisons": H.compare_elements(pairs), "skipped": skipped}
+    write_comparisons(tables, path)
+    back = read_comparisons(t.spark, path, {name: df.schema for name, df in tables.items()})
+    return H.comparison_text(back["comparisons"]).select("element_id", "ord", "text").unionByName(
+        back["skipped"].select("element_id", F.lit(-1).alias("ord"), F.lit("skipped").alias("text")))
+
+
 @query("comparison_summary_text", f"""{_PAIRS}, {_FIELDS}, {_DETAILS}, {_TRUST}, {_PURPOSE}, {_SUMMARY}
 SELECT unnest([0, 1, 2, 3, 4, 5]) AS ord, unnest(['Summary:', '  Elements compared: ' || elements_compared,
   '  Avg field coverage: ' || CAST(round_even(avg_field_coverage_pct, 0) AS BIGINT) || '%',

@@ -3,6 +3,7 @@ orders as findings, suppliers as packages, regions' nations as usage paths."""
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import report as J
+from ..runtime import shared_folder
+from ..sources.sinks import read_reviews, write_reviews
 from .registry import Tables, query
 
 c = F.col
@@ -218,8 +221,21 @@ def review_summary(t):
 
 @query("review_document", " UNION ALL ".join(_SQL.values()))
 def review_document(t):
-    return _shown(J.review_document({
-        "meta": meta(nations(t)), "graph_ref": graph_ref(nations(t)), "elements": elements(t), "findings": findings(t), "dependencies": dependencies(t), "usage_paths": usage_paths(t)}))
+    return _shown(_document(t))
+
+
+def _document(t: Tables) -> DataFrame:
+    return J.review_document({
+        "meta": meta(nations(t)), "graph_ref": graph_ref(nations(t)), "elements": elements(t), "findings": findings(t), "dependencies": dependencies(t), "usage_paths": usage_paths(t)})
+
+
+@query("review_files", f"""SELECT project_id, row_number() OVER (PARTITION BY project_id ORDER BY section, rank, pos IS NOT DISTINCT FROM -1, pos NULLS FIRST, ord) - 1 AS number, text
+  FROM ({" UNION ALL ".join(_SQL.values())})""")
+def review_files(t):
+    """Reviews are written as files and read back in order."""
+    path = f"{shared_folder(t.spark)}/specframe/reviews-{uuid.uuid4().hex}"
+    write_reviews(_document(t), path)
+    return read_reviews(t.spark, path)
 
 
 @query("findings_by_severity", f"SELECT 'n' || c_nationkey AS project_id, o_orderkey AS seq, r AS rank FROM {_ORDERS}")

@@ -51,6 +51,8 @@ def test_assemble_job(spark, tmp_path):
     text = "".join(p.read_text() for p in parts).split("\n")
     assert text[0] == "# Spec: Demo" and "### Classes" in text and text.index("### Classes") < text.index("### Functions")
     assert "| Security findings | 1 | 1 high/critical |" in text
+    numbered = sinks.read_reviews(spark, str(tmp_path / "reviews")).orderBy("number").collect()
+    assert [r.text for r in numbered] == text[:-1] and [r.number for r in numbered] == list(range(len(text) - 1))
     sinks.write_specs(tables, str(tmp_path / "spec"))
     back = spark.read.json(str(tmp_path / "spec" / "section=elements"))
     assert back.count() == 4
@@ -58,6 +60,8 @@ def test_assemble_job(spark, tmp_path):
     sinks.write_comparisons({k: again[k] for k in ("summary", "skipped")}, str(tmp_path / "cmp"))
     assert spark.read.json(str(tmp_path / "cmp" / "summary")).collect()[0].elements_compared == 0
     assert spark.read.json(str(tmp_path / "cmp" / "skipped")).count() == 4
+    found = sinks.read_comparisons(spark, str(tmp_path / "cmp"), {"skipped": again["skipped"].schema})["skipped"]
+    assert sorted(map(str, found.collect())) == sorted(map(str, again["skipped"].collect()))
 
 
 def test_graph_without_nodes(spark, tmp_path):

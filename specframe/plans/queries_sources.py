@@ -5,13 +5,14 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources import documents as D
 from ..sources import manifests as M
 from ..runtime import shared_folder
 from ..sources.sinks import read_spec_tables, spec_lines, write_specs
+from ..sources.split import large_elements, large_graph, split_items
 from .registry import Tables, query
 
 c = F.col
@@ -212,3 +213,41 @@ def stale_artifacts(t):
     artifacts = t.orders.select(c("o_orderkey").alias("project_id"), c("o_orderpriority").alias("path"), c("o_orderdate").alias("modified"))
     sources = t.lineitem.select(c("l_orderkey").alias("project_id"), F.lit("s").alias("path"), (c("l_shipdate") - F.expr("INTERVAL 60 DAYS")).alias("modified"))
     return D.stale_artifacts(artifacts, sources)
+
+
+def _documents(lines, label: str) -> str:
+    """Write ``(project_id, ord, value)`` as one file per project; the files' folder."""
+    path = f"{shared_folder(lines.sparkSession)}/specframe/{label}-{uuid.uuid4().hex}"
+    lines.repartition("project_id").sortWithinPartitions("project_id", "ord").select("project_id", "value").write.partitionBy("project_id").text(path)
+    return path
+
+
+@query("large_documents", """
+WITH n AS (SELECT 'n' || c_nationkey AS project_id, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS pos, * FROM customer),
+e AS (SELECT 'n' || s_nationkey AS project_id, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) - 1 AS pos, * FROM supplier WHERE s_nationkey IN (SELECT c_nationkey FROM customer))
+SELECT project_id, 'nodes' AS section, pos, 'c' || c_custkey AS a, 'src/{' || c_mktsegment || '.py' AS b, c_name || '"}' AS c FROM n
+UNION ALL SELECT project_id, 'edges', pos, 's' || s_suppkey, 'c{' || s_nationkey, '[' || s_name FROM e
+UNION ALL SELECT project_id, 'elements', pos, 'cls:{' || c_name, 'c' || c_custkey, 'high' FROM n""")
+def large_documents(t):
+    """A document per nation is written, split at its braces and read."""
+    project = lambda k: _text("n", c(k)).alias("project_id")
+    line = lambda df, key, section, pos, text: df.select(project(key), F.struct(F.lit(section).alias("s"), pos.cast("long").alias("p")).alias("ord"), text.alias("value"))
+    nations = t.customer.select("c_nationkey").distinct()
+    suppliers = t.supplier.join(nations.withColumnRenamed("c_nationkey", "s_nationkey"), "s_nationkey", "left_semi")
+    last = lambda k, by: F.lead(k).over(Window.partitionBy(by).orderBy(k)).isNull()
+    comma = lambda k, by: F.when(last(k, by), F.lit("")).otherwise(F.lit(","))
+    node = _text('{"id": "c', c("c_custkey"), '", "kind": "class", "name": "', c("c_name"), '\\"}", "location": {"file": "src/{', c("c_mktsegment"), '.py", "line": 1}}', comma("c_custkey", "c_nationkey"))
+    edge = _text('{"source": "s', c("s_suppkey"), '", "target": "c{', c("s_nationkey"), '", "kind": "[', c("s_name"), '"}', comma("s_suppkey", "s_nationkey"))
+    element = _text('"cls:{', c("c_name"), '": {"node_ref": "c', c("c_custkey"), '", "metadata": {"confidence": "high"}}', comma("c_custkey", "c_nationkey"))
+    none = F.lit(0)
+    path = _documents(line(nations, "c_nationkey", 0, none, F.lit('{"version": "1{", "stats": {"n": 1}, "nodes": [')).unionByName(
+        line(t.customer, "c_nationkey", 1, c("c_custkey"), node)).unionByName(
+        line(nations, "c_nationkey", 2, none, F.lit('], "edges": ['))).unionByName(line(suppliers, "s_nationkey", 3, c("s_suppkey"), edge)).unionByName(
+        line(nations, "c_nationkey", 4, none, F.lit('], "elements": {'))).unionByName(line(t.customer, "c_nationkey", 5, c("c_custkey"), element)).unionByName(
+        line(nations, "c_nationkey", 6, none, F.lit("}}"))), "documents")
+    items = split_items(t.spark, path, F.regexp_extract("path", "project_id=([^/]*)", 1))
+    nodes, edges = large_graph(items)
+    elements = large_elements(items)
+    shown = lambda df, section, *cols: df.select("project_id", F.lit(section).alias("section"), "pos", *[F.col(x).alias(n) for x, n in zip(cols, "abc")])
+    return shown(nodes, "nodes", "id", "file", "name").unionByName(shown(edges, "edges", "src", "dst", "kind")).unionByName(
+        shown(elements.withColumns({"ref": F.get_json_object("body", "$.node_ref"), "sure": F.get_json_object("body", "$.metadata.confidence")}), "elements", "element_id", "ref", "sure"))

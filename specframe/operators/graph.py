@@ -311,6 +311,17 @@ def skeleton_checks(nodes: DataFrame, elements: DataFrame) -> DataFrame:
         for c in checks])).alias("x")).select(P, "x.*")
 
 
+def stats_checks(nodes: DataFrame, edges: DataFrame, graph_ref: DataFrame) -> DataFrame:
+    """Acceptance check of the recorded statistics, ``(project_id, check, failures)``: how many
+    of the four counters differ from the graph.  A counter that is not recorded differs; a
+    project without a graph counts as zeros."""
+    names = ["nodes", "edges", "files", "functions"]
+    recorded = graph_ref.select(P, F.col("stats").alias("recorded"))
+    both = graph_stats(nodes, edges).join(recorded, P, "full")
+    differ = [F.coalesce(F.col(n), F.lit(0)).eqNullSafe(F.col(f"recorded.{n}")) for n in names]
+    return both.select(P, F.lit("stats_differ").alias("check"), sum(F.when(d, 0).otherwise(1) for d in differ).cast("bigint").alias("failures"))
+
+
 def spec_meta(projects: DataFrame, tools: DataFrame, now: str) -> DataFrame:
     """Meta rows.  ``projects``: ``(project_id, project_name, language, source_version)``;
     ``tools``: ``(project_id, tool, version)``, rows without a version ignored."""

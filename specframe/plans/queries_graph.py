@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import constants as K
 from ..functions import names as N
 from ..operators import extras, graph, selection
 from ..runtime import materialize
@@ -204,6 +205,29 @@ def skeleton_checks(t):
     return graph.skeleton_checks(n, graph.build_elements(n, projects(t)))
 
 
+@query("skeleton_faults", """
+WITH o AS (SELECT 'c' || o_custkey AS project_id, o.*, o_orderpriority <> '5-LOW' AS has FROM orders o),
+w AS (SELECT project_id, count(*) FILTER (NOT has AND o_orderstatus <> 'P') AS a, count(*) FILTER (has AND o_orderstatus = 'O') AS b,
+  count(*) FILTER (has AND o_totalprice > 150000) AS c FROM o GROUP BY 1 HAVING count(*) FILTER (has OR o_orderstatus <> 'P') > 0)
+SELECT project_id, unnest(['nodes_without_element', 'wrong_provenance', 'contract_not_empty']) AS "check", unnest([a, b, c]) AS failures FROM w
+UNION ALL SELECT project_id, 'stats_differ', CAST(count(*) <> count(*) FILTER (o_orderstatus = 'F') AS BIGINT) + CAST(count(DISTINCT o_orderpriority) <> 2 AS BIGINT) + 1 FROM o GROUP BY 1""")
+def skeleton_faults(t):
+    """Customers as projects whose inventories fail every check."""
+    c = F.col
+    project, node = _text("c", c("o_custkey")).alias("project_id"), _text("o", c("o_orderkey"))
+    status = c("o_orderstatus")
+    nodes = t.orders.select(project, node.alias("id"), F.when(status == "P", F.lit("package")).otherwise(F.lit("class")).alias("kind"), c("o_orderpriority").alias("file"))
+    edges = t.orders.filter(status == "F").select(project, node.alias("src"))
+    source = F.when(status == "O", F.lit("human_input")).otherwise(F.lit(K.SCANNED["source"]))
+    elements = t.orders.filter(c("o_orderpriority") != "5-LOW").select(
+        project, node.alias("node_ref"), F.struct(F.lit(K.SCANNED["confidence"]).alias("confidence"), source.alias("source"), F.lit(K.SCANNED["status"]).alias("status")).alias("metadata"),
+        F.when(c("o_totalprice") > 150000, F.lit("x")).alias("contract"))
+    count = F.count(F.lit(1))
+    recorded = t.orders.groupBy(project).agg(F.struct(
+        count.alias("nodes"), count.alias("edges"), F.lit(2).cast("bigint").alias("files"), F.lit(None).cast("bigint").alias("functions")).alias("stats"))
+    return graph.skeleton_checks(nodes, elements).unionByName(graph.stats_checks(nodes, edges, recorded))
+
+
 @query("spec_meta", """
 SELECT 'c' || c_custkey AS project_id, c_name AS project_name, '0.1.0' AS spec_version, 'java' AS source_language,
   CASE WHEN c_nationkey > 1 THEN CAST(c_nationkey AS VARCHAR) END AS source_version, '2024-01-01T00:00:00+00:00' AS created_at,

@@ -160,6 +160,27 @@ def replacement_report(classified: DataFrame) -> DataFrame:
     return head.unionByName(body)
 
 
+def replacement_tables(imports: DataFrame, classified: DataFrame, head: dict, codebase_path: Column | None = None) -> dict[str, DataFrame]:
+    """The structured report as tables for ``write_specs``: ``metadata`` and ``summary`` with
+    one row per project that has imports, ``findings`` in the order of files and lines.
+    ``head`` is the migration's header."""
+    side = lambda name: F.struct(
+        F.lit(head[f"{name}_language"]).cast("string").alias("language"), F.lit(head[f"{name}_version"]).cast("string").alias("version")).alias(name)
+    path = F.lit(None).cast("string") if codebase_path is None else codebase_path
+    scanned = imports.groupBy(P).agg(
+        F.count(F.lit(1)).alias("total_imports_scanned"), F.count_distinct("file").alias("total_files_scanned"))
+    acts = classified.groupBy(P, "action").agg(F.count(F.lit(1)).alias("n")).groupBy(P).agg(
+        F.sum("n").alias("matches"), F.map_from_entries(F.sort_array(F.collect_list(F.struct("action", "n")))).alias("by_action"))
+    return {
+        "metadata": scanned.select(P, F.lit(head["mapping_id"]).alias("migration_pair"), side("source"), side("target"),
+                                   path.alias("codebase_path"), "total_files_scanned"),
+        "findings": replacement_findings(classified).withColumn(
+            "seq", F.concat_ws(":", "file", F.lpad(F.col("line").cast("string"), 10, "0"), "module")),
+        "summary": scanned.join(acts, P, "left").select(
+            P, "total_imports_scanned", F.coalesce("matches", F.lit(0)).cast("bigint").alias("matches"),
+            F.coalesce("by_action", F.create_map().cast("map<string,bigint>")).alias("by_action"))}
+
+
 def replacement_checks(imports: DataFrame, classified: DataFrame, routed: DataFrame) -> DataFrame:
     """Acceptance checks, ``(project_id, check, failures)``: no action without a
     recommendation, no choice without an alternative, and matched plus unmatched imports

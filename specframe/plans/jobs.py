@@ -113,13 +113,15 @@ def compare(extracted: DataFrame, reference: DataFrame, id_map: DataFrame | None
 
 
 def map_imports(spark: SparkSession, statements: DataFrame, migration: str, target_version: str | None = None) -> dict[str, DataFrame]:
-    """All replacement tables of one migration."""
+    """All replacement tables of one migration; ``metadata`` is the block that heads the
+    structured report (``imports.replacement_tables``)."""
     head = R.migration(migration)
     rules, transforms = R.load_rules(spark, migration)
     found = materialize(imports.classify(
         imports.match_imports(statements, rules, head["match_strategy"]), rules, target_version or head["target_version"]), "replacements")
     routed = imports.route_symbols(found, transforms)
     return {
+        "metadata": imports.replacement_tables(statements, found, {**head, "target_version": target_version or head["target_version"]})["metadata"],
         "findings": imports.replacement_findings(found), "symbols": routed, "choices": imports.route_choices(routed),
         "summary": imports.replacement_summary(statements, found), "manual_review": imports.manual_review(statements, found),
         "new_dependencies": imports.new_dependencies(found), "report": imports.replacement_report(found),

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..operators import imports as E
+from ..runtime import shared_folder
 from ..sources import rules as R
+from ..sources.sinks import read_spec_tables, write_specs
 from .registry import Tables, query
 
 c = F.col
@@ -172,6 +176,33 @@ def replacement_report(t):
     return E.replacement_report(classified(t))
 
 
+@query("replacement_files", f"""WITH {_CLASSIFIED}, p AS (SELECT project_id, count(*) AS n, count(DISTINCT file) AS f FROM imp GROUP BY 1),
+md AS (SELECT project_id, unnest(['migration_pair', 'source', 'target', 'codebase_path', 'total_files_scanned']) AS item,
+  unnest(['web', 'python 2.7', 'python 3.9', '/code/' || project_id, CAST(f AS VARCHAR)]) AS value FROM p)
+SELECT project_id, 'metadata' AS section, item, value FROM md
+UNION ALL SELECT project_id, 'summary', 'total_imports_scanned', CAST(n AS VARCHAR) FROM p
+UNION ALL SELECT project_id, 'summary', 'matches', CAST((SELECT count(*) FROM k WHERE k.project_id = p.project_id) AS VARCHAR) FROM p
+UNION ALL SELECT project_id, 'summary', action, CAST(count(*) AS VARCHAR) FROM k GROUP BY project_id, action
+UNION ALL SELECT project_id, 'findings', file || ':' || lpad(CAST(line AS VARCHAR), 10, '0') || ':' || module, line || ' ' || array_to_string(names, ',') || ' ' || action || ' ' ||
+  coalesce(target_module, '-') || ' ' || coalesce(notes, '-') || ' ' || advisory FROM k""")
+def replacement_files(t):
+    """The structured report is written and read back."""
+    head = {"mapping_id": "web", "source_language": "python", "source_version": "2.7", "target_language": "python", "target_version": "3.9"}
+    tables = E.replacement_tables(imports(t), classified(t), head, F.concat(F.lit("/code/"), "project_id"))
+    path = f"{shared_folder(t.spark)}/specframe/replacements-{uuid.uuid4().hex}"
+    write_specs(tables, path)
+    back = read_spec_tables(t.spark, path, {name: df.schema for name, df in tables.items()})
+    pair = lambda name, value: F.struct(F.lit(name).alias("item"), value.cast("string").alias("value"))
+    rows = lambda section, items: back[section].select("project_id", F.lit(section).alias("section"), F.explode(items).alias("x")).select("project_id", "section", "x.*")
+    shown = lambda *cols: F.concat_ws(" ", *[F.coalesce(c(x).cast("string"), F.lit("-")) if isinstance(x, str) else x for x in cols])
+    return rows("metadata", F.array(
+        pair("migration_pair", c("migration_pair")), pair("source", shown("source.language", "source.version")), pair("target", shown("target.language", "target.version")),
+        pair("codebase_path", c("codebase_path")), pair("total_files_scanned", c("total_files_scanned")))).unionByName(
+        rows("summary", F.concat(F.array(pair("total_imports_scanned", c("total_imports_scanned")), pair("matches", c("matches"))), F.transform(
+            F.map_entries("by_action"), lambda e: F.struct(e["key"].alias("item"), e["value"].cast("string").alias("value")))))).unionByName(
+        rows("findings", F.array(F.struct(c("seq").alias("item"), shown("line", F.array_join("names", ","), "action", "target_module", "notes", "advisory").alias("value")))))
+
+
 @query("replacement_checks", f"""WITH {_ROUTED}, p AS (SELECT DISTINCT project_id FROM imp),
 bare AS (SELECT project_id, file, line, module, name FROM routed WHERE action = 'choice' GROUP BY ALL HAVING count(new_path) = 0)
 SELECT project_id, 'imports_not_accounted_for' AS "check", 0 AS failures FROM p UNION ALL SELECT project_id, 'unknown_action', 0 FROM p

@@ -37,7 +37,9 @@ def migration(source: str) -> dict:
     head = doc["migration"]
     return {
         "mapping_id": head["id"],
+        "source_language": head["source"].get("language"),
         "source_version": str(head["source"]["version"]),
+        "target_language": head["target"].get("language"),
         "target_version": str(head["target"]["version"]),
         "match_strategy": doc["match_strategy"],
         "description": head.get("description"),

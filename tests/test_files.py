@@ -113,3 +113,12 @@ def test_packaged_rules(spark):
     assert paths == {(1, "io.BytesIO"): True, (1, "io.StringIO"): True, (2, "setuptools.setup"): False, (4, "pickle"): False}
     choice = route_choices(routed).collect()[0].alternatives
     assert [(a.new_path, a.condition) for a in choice] == [("io.BytesIO", "if handling bytes data"), ("io.StringIO", "if handling text data")]
+
+
+def test_map_imports_heads_its_report(spark):
+    imports = spark.createDataFrame([("p", "a.py", 1, "cPickle", ["dumps"]), ("p", "b.py", 2, "threading", [])], "project_id string, file string, line int, module string, names array<string>")
+    tables = jobs.map_imports(spark, imports, "py2to3", "3.12")
+    head = tables["metadata"].collect()[0].asDict(True)
+    assert head == {"project_id": "p", "migration_pair": "py2to3", "source": {"language": "python", "version": "2.7"},
+                    "target": {"language": "python", "version": "3.12"}, "codebase_path": None, "total_files_scanned": 2}
+    assert [r.module for r in tables["findings"].collect()] == ["cPickle"]

@@ -93,3 +93,24 @@ def test_random_documents(spark):
     got = faults(spark, [(p, json.dumps(doc), None, None) for p, doc in docs.items()])
     assert len(want) > 1000 and {w[2] for w in want} == {"type", "required", "unknown_key", "enum", "const", "range"}
     assert [g[:3] for g in got] == want
+
+
+def test_shown_values(spark):
+    """Values in messages, as Spark casts them, and texts that are no JSON."""
+    shown = lambda value: f'{{"meta": {value}, "cpg_ref": {{"path": "p"}}, "elements": {{}}}}'
+    want = {
+        "2.50": "2.5", "2.0": "2", "1e5": "100000.0", "12345678.9e0": "1.23456789E7", "1E-7": "1.0E-7", "-0.0": "0", "1.5e400": "Infinity",
+        "1" * 30: "1" * 30, "1234567890" * 4 + "123": "1.2345678901234567E42", "0.00000001": "0.00000001", "true": "true", '"a\\u001fb\\n"': "a\x1fb\n", '"\\ud800x"': "?x",
+        '[1.50, null, {"b": "\\u001f\\\\u00ab/\\"", "a": -1e3}]': '[1.5,null,{"a":-1000.0,"b":"\\u001F\\\\u00ab/\\""}]',
+        "[" * 900 + "]" * 900: "[" * 900 + "]" * 900}
+    docs = [(k[:50] + str(len(k)), shown(k), "x", "y") for k in want]
+    assert faults(spark, docs) == sorted((k[:50] + str(len(k)), "meta", "type", f"'{v}' is not of type object") for k, v in want.items())
+    broken = ['{"meta": NaN}', '{"a": 01}', "{'a': 1}", '{"a": 1,}', " {}", '{"a": "\t"}']
+    assert faults(spark, [(b, b, "x", "y") for b in broken]) == sorted((b, "(root)", "type", "'null' is not of type object") for b in broken)
+
+
+def test_documents_are_walked_once(spark):
+    """One pass over the documents: no level of theirs is exploded."""
+    df = spark.createDataFrame([("a", "{}")], "project_id string, doc string")
+    plan = check_documents(df)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "Generate" not in plan and "Exchange" not in plan

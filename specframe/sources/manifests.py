@@ -17,7 +17,7 @@ def _package(line: Column) -> Column:
 
 
 def _stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, r"^\s+|\s+\z", "")
 
 
 def parse_requirements(lines: DataFrame) -> DataFrame:

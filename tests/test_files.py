@@ -122,3 +122,9 @@ def test_map_imports_heads_its_report(spark):
     assert head == {"project_id": "p", "migration_pair": "py2to3", "source": {"language": "python", "version": "2.7"},
                     "target": {"language": "python", "version": "3.12"}, "codebase_path": None, "total_files_scanned": 2}
     assert [r.module for r in tables["findings"].collect()] == ["cPickle"]
+
+
+def test_requirement_names_keep_their_letters(spark):
+    """Blanks of ASCII go, also before a final U+0085; a v at either end stays."""
+    lines = spark.createDataFrame([("p", v) for v in ("vllm>=1", " cv ", "\x0bx\x0b", "a \u0085", "b  ", "d\r")], "project_id string, value string")
+    assert sorted(r.package for r in M.parse_requirements(lines).collect()) == ["a \u0085", "b  ", "cv", "d", "vllm", "x"]

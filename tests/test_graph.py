@@ -171,3 +171,29 @@ def test_long_scope_chain_and_cycle(spark):
     nodes = frame(spark, [("p", 150, "m", "module", "m", None, "src/m.py", 1), ("p", 151, "f", "function", "f", "b74", "src/m.py", 1), *chain, *loop])
     got = {r.id: (r.parent_id, r.depth) for r in G.resolve_parent(nodes).collect()}
     assert got == {"m": (None, None), "f": ("m", 76), "g": (None, None)}
+
+
+def test_few_repeated_ids_move_no_rows(spark, monkeypatch):
+    """Nodes are written once a kind while few IDs occur twice, and IDs are those of the rounds."""
+    nodes = [("p", 0, "m", "module", "m", "", "src/m.py", 1), ("p", 1, "c", "class", "C", "m", "src/m.py", 2), ("p", 2, "d", "class", "C", "m", "src/m.py", 5)] + [
+        ("p", 3 + i, f"f{i}", "function", f"n{i % 9}", "cd"[i % 2], "src/m.py", 10 + i) for i in range(20)]
+    df = spark.createDataFrame(nodes, "project_id string, pos long, id string, kind string, name string, scope string, file string, line int")
+    prefixes = spark.createDataFrame([("p", "src/", "python")], "project_id string, prefix string, language string")
+    written, write = [], G.materialize
+    monkeypatch.setattr(G, "materialize", lambda rows, label: written.append(label) or write(rows, label))
+    got = {r.id: (r.element_id, r.is_collision) for r in G.assign_ids(G.link_parents(df), prefixes).collect()}
+    assert got["c"] == ("cls:m.C", False) and got["d"] == ("cls:m.C@5", True)
+    assert got["f0"] == ("fn:m.C/n0", False) and got["f18"] == ("fn:m.C/n0@28", True) and got["f9"] == ("fn:m.C@5/n0", False)
+    assert "bases-function" in written and not {"ids-class", "ids-function"} & set(written)
+    monkeypatch.setattr(G, "is_small", lambda rows: False)
+    again = G.assign_ids(G.link_parents(df), prefixes).collect()
+    assert got == {r.id: (r.element_id, r.is_collision) for r in again} and "ids-function" in written
+
+
+def test_nodes_without_an_id_have_no_element(spark):
+    nodes = spark.createDataFrame([("p", None, "class"), ("p", "a", "class"), ("p", "b", "class"), ("q", "a", "class"), ("r", "x", "package")], "project_id string, id string, kind string")
+    elements = spark.createDataFrame([("p", None, 1), ("p", "a", None), ("p", "a", 2)], "project_id string, node_ref string, contract int").withColumn(
+        "metadata", G.scanned_metadata())
+    got = {(r.project_id, r.check): r.failures for r in G.skeleton_checks(nodes, elements).collect()}
+    assert got == {("p", "nodes_without_element"): 2, ("p", "wrong_provenance"): 0, ("p", "contract_not_empty"): 2,
+                   ("q", "nodes_without_element"): 1, ("q", "wrong_provenance"): 0, ("q", "contract_not_empty"): 0}

@@ -114,3 +114,10 @@ def test_documents_are_walked_once(spark):
     df = spark.createDataFrame([("a", "{}")], "project_id string, doc string")
     plan = check_documents(df)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1 and "Generate" not in plan and "Exchange" not in plan
+
+
+def test_tables_between_steps_are_small(spark, tmp_path):
+    from specframe.streaming.resumable import resumable_apply
+    work = spark.createDataFrame([("a", "text")], "id string, prompt string")
+    out = resumable_apply(work, lambda todo: todo, str(tmp_path / "run"), ["id"])
+    assert [tuple(r) for r in out.collect()] == [("a", "text")] and all(".zstd." in f for f in out.inputFiles())

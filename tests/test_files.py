@@ -128,3 +128,39 @@ def test_requirement_names_keep_their_letters(spark):
     """Blanks of ASCII go, also before a final U+0085; a v at either end stays."""
     lines = spark.createDataFrame([("p", v) for v in ("vllm>=1", " cv ", "\x0bx\x0b", "a \u0085", "b  ", "d\r")], "project_id string, value string")
     assert sorted(r.package for r in M.parse_requirements(lines).collect()) == ["a \u0085", "b  ", "cv", "d", "vllm", "x"]
+
+
+def counted(spark, rows, schema):
+    """Rows, and an accumulator of how often one of them was computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def pass_on(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    return spark.createDataFrame(rows, schema).mapInArrow(pass_on, schema), seen
+
+
+def test_specs_are_parsed_once(spark):
+    spec = {"meta": {"project_name": "A\tB"}, "cpg_ref": {"stats": {"nodes": "x", "edges": 2}}, "security_findings": [{"file": "f", "line": "x"}, {}],
+            "elements": {"a": {"name": "n", "contract": {}}, "b": {"contract": {"purpose": "p"}, "line": [1]}, "c": {"cö": 1}}, "usage_paths": 3,
+            "ecosystem_dependencies": {"package": "one"}}
+    texts = [json.dumps(spec).replace("\\t", "\t"), json.dumps(spec).replace('"contract"', '"\\u0063ontract"'), '{"meta": {', None]
+    docs, seen = counted(spark, [(f"p{i}", t) for i, t in enumerate(texts)], "project_id string, doc string")
+    tables = D.parse_specs(docs)
+    rows = {k: sorted(v.collect(), key=lambda r: (r.project_id, r["pos"] if "pos" in r else 0)) for k, v in tables.items()}
+    assert seen.value == len(texts)
+    assert [r.project_name for r in rows["meta"]] == ["A\tB", "A\tB", None, None]
+    assert [r.stats and r.stats.edges for r in rows["graph_ref"]] == [2, 2, None, None]
+    assert [(r.element_id, r.contract_json, r.contract and r.contract.purpose) for r in rows["elements"]] == 2 * [("a", None, None), ("b", '{"purpose":"p"}', "p"), ("c", None, None)]
+    assert [(r.seq, r.file) for r in rows["findings"] if r.project_id == "p0"] == [(0, "f"), (1, None)]
+    assert not rows["usage_paths"] and [(r.seq, r.package) for r in rows["dependencies"]] == 2 * [(0, "one")]
+
+
+def test_written_specs_are_computed_once(spark, tmp_path):
+    paths, seen = counted(spark, [(f"p{i % 3}", i, f"u{i}") for i in range(30)], "project_id string, seq long, id string")
+    sinks.write_specs({"usage_paths": paths}, str(tmp_path / "spec"))
+    assert seen.value == 30
+    back = sinks.read_spec_tables(spark, str(tmp_path / "spec"), {"usage_paths": paths.schema})["usage_paths"]
+    assert sorted((r.project_id, r.seq, r.id) for r in back.collect()) == sorted((f"p{i % 3}", i, f"u{i}") for i in range(30))

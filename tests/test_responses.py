@@ -123,3 +123,16 @@ def test_resume_stream(spark, tmp_path):
 
 def test_schema_of_contract(spark):
     assert [f.name for f in S.struct(S.CONTRACT)][:2] == ["purpose", "preconditions"]
+
+
+def test_found_elements_are_parsed_once(spark):
+    """Asking for found elements alone does not search the responses before and after they are exploded."""
+    df = spark.createDataFrame([("p", "a", "single", ["a"], '{"purpose": "x"}', None)], RESPONSE)
+    plan = R.parse_responses(df.repartition(2)).filter("found")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Filter" not in plan.split("Generate", 1)[1]
+
+
+def test_a_text_cannot_bring_its_own_end(spark):
+    texts = ['{}', '{},"h0"', '{},"h"],["', '[1', '1],[2', ' 5 ', '']
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.ok for r in df.select(R.is_one_json(F.col("t")).alias("ok")).collect()] == [True, False, False, False, False, True, False]

@@ -17,6 +17,7 @@ from ..runtime import BROADCAST_ROWS, broadcast_if_small, is_small
 from .graph import P
 
 ERROR_FIELDS = ("condition", "behavior", "severity")
+_COVERAGE = "array<struct<field:string,coverage:struct<matched:int,total:int,uncovered:array<string>,field_missing:boolean>>>"
 
 
 # -- coverage at corpus scale ----------------------------------------------
@@ -77,16 +78,18 @@ def coverage_counts(ref_items: DataFrame, ext_items: DataFrame, max_broadcast: i
 def parse_id_map(entries: DataFrame) -> DataFrame:
     """``key=value`` strings in column ``entry`` (with their order in ``ord``) to
     ``(element_id, reference_id)``; entries without ``=`` are ignored, the last entry
-    of a key counts."""
+    of a key counts.  Few entries make a map that joins broadcast; they are counted before
+    they are grouped, so a large map is not computed twice."""
     at = F.instr("entry", "=")
     strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    return entries.filter(at > 0).groupBy(strip(F.expr("left(entry, instr(entry, '=') - 1)")).alias("element_id")).agg(
+    found = entries.filter(at > 0).groupBy(strip(F.expr("left(entry, instr(entry, '=') - 1)")).alias("element_id")).agg(
         F.max_by(strip(F.expr("substring(entry, instr(entry, '=') + 1)")), "ord").alias("reference_id"))
+    return F.broadcast(found) if is_small(entries) else found
 
 
 def map_ids(ext: DataFrame, id_map: DataFrame) -> DataFrame:
     """Extracted elements with the reference ID they map to, their own by default."""
-    renamed = broadcast_if_small(id_map.withColumnRenamed("reference_id", "mapped"))
+    renamed = id_map.withColumnRenamed("reference_id", "mapped")
     return ext.join(renamed, "element_id", "left").withColumn(
         "reference_id", F.coalesce("mapped", "element_id")).drop("mapped")
 
@@ -104,19 +107,19 @@ def pair_contracts(ext: DataFrame, ref: DataFrame) -> tuple[DataFrame, DataFrame
 
 # -- per-pair measures -----------------------------------------------------
 
-def _fields(side: str, names=K.CONTRACT_FIELDS) -> Column:
-    """Names of the fields a contract has."""
-    return F.filter(F.array(*[F.when(F.col(f"{side}.{f}").isNotNull(), F.lit(f)) for f in names]),
-                    lambda f: f.isNotNull())
-
+# Lambda functions are evaluated node by node, with all that they are applied to, while the rest of
+# a projection is compiled; so nulls are taken out by array_except and flatten where that will do.
 
 def field_set_diff(ext: str = "ext", ref: str = "ref") -> Column:
     """struct(matched, missing, extra): sorted field names."""
-    e, r = _fields(ext), _fields(ref)
+    def names(which) -> Column:
+        has = lambda side, f: F.col(f"{side}.{f}").isNotNull()
+        found = F.array(*[F.when(which(has(ext, f), has(ref, f)), F.lit(f)) for f in sorted(K.CONTRACT_FIELDS)])
+        return F.array_except(found, F.array(F.lit(None).cast("string")))
+
     return F.struct(
-        F.array_sort(F.array_intersect(r, e)).alias("matched"),
-        F.array_sort(F.array_except(r, e)).alias("missing"),
-        F.array_sort(F.array_except(e, r)).alias("extra"))
+        names(lambda e, r: e & r).alias("matched"), names(lambda e, r: r & ~e).alias("missing"),
+        names(lambda e, r: e & ~r).alias("extra"))
 
 
 def purpose_overlap(ext: Column, ref: Column) -> Column:
@@ -159,11 +162,14 @@ def array_coverage(ext_texts: Column, ref_texts: Column) -> Column:
 
 def array_field_coverage(ext: str = "ext", ref: str = "ref") -> Column:
     """One entry per array field the reference has: its name and coverage."""
-    sides = F.array(*[F.struct(
-        F.lit(f).alias("field"), _texts(F.col(f"{ref}.{f}"), f == "error_conditions").alias("refs"),
-        _texts(F.col(f"{ext}.{f}"), f == "error_conditions").alias("exts")) for f in K.COVERAGE_FIELDS])
-    return F.transform(F.filter(sides, lambda s: s["refs"].isNotNull()), lambda s: F.struct(
-        s["field"].alias("field"), array_coverage(s["exts"], s["refs"]).alias("coverage")))
+    none = F.array().cast(_COVERAGE)
+
+    def entry(f: str) -> Column:
+        refs, exts = (_texts(F.col(f"{side}.{f}"), f == "error_conditions") for side in (ref, ext))
+        return F.when(F.col(f"{ref}.{f}").isNotNull(), F.array(F.struct(
+            F.lit(f).alias("field"), array_coverage(exts, refs).alias("coverage")))).otherwise(none)
+
+    return F.concat(*[entry(f) for f in K.COVERAGE_FIELDS])
 
 
 def compare_trust(ext: Column, ref: Column) -> Column:
@@ -177,19 +183,23 @@ def compare_trust(ext: Column, ref: Column) -> Column:
         else:
             same = F.when(e == r, F.lit("MATCH")).otherwise(
                 F.concat(F.lit("MISMATCH ('"), e, F.lit("' vs ref '"), r, F.lit("')")))
-        return F.when(r.isNull() & e.isNull(), F.lit(None)).when(r.isNull(), F.lit("EXTRA")).when(
-            e.isNull(), F.lit("MISSING")).otherwise(same)
+        return F.when(r.isNull(), F.lit("EXTRA")).when(e.isNull(), F.lit("MISSING")).otherwise(same)
 
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), status(k).alias("status")) for k in K.TRUST_KEYS])
-    return F.when(ref.isNotNull(), F.filter(entries, lambda e: e["status"].isNotNull()))
+    none = F.array().cast("array<struct<key:string,status:string>>")
+
+    def entry(key: str) -> Column:
+        there = ref[key].isNotNull() | ext[key].isNotNull()
+        return F.when(there, F.array(F.struct(F.lit(key).alias("key"), status(key).alias("status")))).otherwise(none)
+
+    return F.when(ref.isNotNull(), F.concat(*[entry(k) for k in K.TRUST_KEYS]))
 
 
 def severity_levels(ext: Column, ref: Column) -> Column:
     """Distinct severities on both sides and whether they agree, a missing severity
     counting as one; null unless both sides have error conditions."""
     levels = lambda items: F.array_distinct(F.transform(items, lambda i: i["severity"]))
-    shown = lambda items: F.array_sort(F.filter(levels(items), lambda s: s.isNotNull() & (s != "")))
-    key = lambda items: F.array_sort(F.transform(levels(items), lambda s: F.coalesce(s, F.lit("\u0000"))))
+    shown = lambda items: F.sort_array(F.array_except(levels(items), F.array(F.lit(None).cast("string"), F.lit(""))))
+    key = lambda items: F.sort_array(F.array_distinct(F.transform(items, lambda i: F.coalesce(i["severity"], F.lit("\u0000")))))
     return F.when(ext.isNotNull() & ref.isNotNull(), F.struct(
         shown(ref).alias("reference"), shown(ext).alias("extracted"), (key(ref) == key(ext)).alias("match")))
 
@@ -240,15 +250,17 @@ def comparison_text(comparisons: DataFrame) -> DataFrame:
     join = lambda a: F.array_join(a, ", ")
     quoted = lambda a: F.concat(F.lit("["), F.array_join(F.transform(a, lambda s: F.concat(F.lit("'"), s, F.lit("'"))), ", "), F.lit("]"))
     line = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
-    when = lambda cond, *parts: F.when(cond, line(*parts))
-
-    head = F.array(
-        line("=== ", c("element_id"), " ===", F.when(
-            c("reference_id") != c("element_id"), line(" (mapped to ", c("reference_id"), ")")).otherwise(F.lit(""))),
-        line("  Matched fields:  ", F.coalesce(X.truthy(join("fields.matched")), F.lit("(none)"))),
-        when(F.size("fields.missing") > 0, "  Missing fields:  ", join("fields.missing")),
-        when(F.size("fields.extra") > 0, "  Extra fields:    ", join("fields.extra")),
-        F.lit(""))
+    none = F.array().cast("array<string>")
+    some = lambda cond, *parts: F.when(cond, F.array(line(*parts))).otherwise(none)
+
+    head = F.concat(
+        F.array(
+            line("=== ", c("element_id"), " ===", F.when(
+                c("reference_id") != c("element_id"), line(" (mapped to ", c("reference_id"), ")")).otherwise(F.lit(""))),
+            line("  Matched fields:  ", F.coalesce(X.truthy(join("fields.matched")), F.lit("(none)")))),
+        some(F.size("fields.missing") > 0, "  Missing fields:  ", join("fields.missing")),
+        some(F.size("fields.extra") > 0, "  Extra fields:    ", join("fields.extra")),
+        F.array(F.lit("")))
     p = c("purpose")
     purpose = F.when(p.isNotNull(), F.array(
         F.lit("  purpose:"), line("    REFERENCE: \"", p["reference"], "\""), line("    EXTRACTED: \"", p["extracted"], "\""),
@@ -270,9 +282,10 @@ def comparison_text(comparisons: DataFrame) -> DataFrame:
         F.lit("  error_severity_levels:"),
         line("    ", F.when(s["match"], F.lit("MATCH")).otherwise(F.lit("MISMATCH")), " — ref: ", quoted(s["reference"]),
              ", extracted: ", quoted(s["extracted"])), F.lit("")))
-    none = F.array().cast("array<string>")
-    lines = F.filter(F.concat(head, *[F.coalesce(x, none) for x in (purpose, arrays, trust, levels)]), lambda t: t.isNotNull())
-    return comparisons.select(P, "element_id", F.posexplode(lines).alias("ord", "text"))
+    lines = F.concat(head, *[F.coalesce(x, none) for x in (purpose, arrays, trust, levels)])
+    # made before they are exploded: a generator would evaluate them node by node
+    made = comparisons.select(P, "element_id", lines.alias("lines"))
+    return made.select(P, "element_id", F.posexplode(F.filter("lines", lambda t: t.isNotNull())).alias("ord", "text"))
 
 
 def summary_text(summary_row: DataFrame) -> DataFrame:

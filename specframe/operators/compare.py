@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import constants as K
 from ..functions import text as X
 from ..functions.text import keyword_overlap, keywords  # noqa: F401  (part of this module's interface)
-from ..runtime import BROADCAST_ROWS, broadcast_if_small, is_small
+from ..runtime import BROADCAST_ROWS, broadcast_if_small, is_small, materialize
 from .graph import P
 
 ERROR_FIELDS = ("condition", "behavior", "severity")
@@ -42,8 +42,8 @@ def covers(ref_items: DataFrame, ext_items: DataFrame, max_broadcast: int = BROA
     within the bound travel to the items: texts are read once and never shuffled, and
     only co-occurrence counts, combined per item on the map side, are exchanged (not
     even those when the items are bucketed by ``ext_id``).  A larger reference side is
-    looked up by its rarest keywords, with only IDs in the shuffle, and keyword sets are
-    fetched for the candidates alone."""
+    looked up by its rarest keywords.  Of the texts, which are read once, only keywords that
+    a reference has are written, and candidates are compared by those alone."""
     items = ref_items.select("ref_id", keywords(F.col("text")).alias("ref_kw")).select(
         "*", F.size("ref_kw").alias("n")).filter("n > 0")
     ext = ext_items.select("ext_id", keywords(F.col("text")).alias("ext_kw"))
@@ -55,10 +55,12 @@ def covers(ref_items: DataFrame, ext_items: DataFrame, max_broadcast: int = BROA
         return words.join(F.broadcast(index), "word").groupBy("ref_id", "ext_id", "n").agg(
             F.count(F.lit(1)).cast("int").alias("overlap")).filter(enough).select("ref_id", "ext_id", "overlap", "n")
     vocabulary = index.select("word").distinct()
-    frequencies = words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")).join(vocabulary, "word", "left_semi")
-    rare = _rare_keywords(items, frequencies)
-    candidates = words.join(rare, "word").select("ref_id", "ext_id").distinct()
-    return candidates.join(items, "ref_id").join(ext, "ext_id").select(
+    words = materialize(words.join(broadcast_if_small(vocabulary), "word", "left_semi"), "cover-words")
+    known = words.groupBy("ext_id").agg(F.collect_list("word").alias("ext_kw"))
+    rare = _rare_keywords(items, words.groupBy("word").agg(F.count(F.lit(1)).alias("freq")))
+    # dealt by text alone, so pairs meet their text's keywords where they are
+    candidates = words.join(rare, "word").select("ref_id", "ext_id").repartition("ext_id").distinct()
+    return candidates.join(known, "ext_id").join(items, "ref_id").select(
         "ref_id", "ext_id", X.overlap_size(F.col("ext_kw"), F.col("ref_kw")).alias("overlap"), "n").filter(enough)
 
 

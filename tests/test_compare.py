@@ -48,3 +48,11 @@ def test_null_items_and_levels(spark):
     assert tuple(row["severities"]) == (["fatal"], [], False)
     text = [t for _, t in sorted((r["ord"], r["text"]) for r in H.comparison_text(H.compare_elements(pairs)).collect())]
     assert '      missing: "gamma"' in text and None not in text and sum("missing: " in t for t in text) == 3
+
+
+def test_shuffled_cover_reads_texts_once(spark):
+    refs = spark.createDataFrame([("r", "alpha beta gamma delta epsilon zeta"), ("s", "the")], "ref_id string, text string")
+    texts = spark.createDataFrame([("a", "Beta zeta!"), ("b", "alpha"), ("c", None), ("d", "")], "ext_id string, text string")
+    found = H.covers(refs, texts, max_broadcast=0)
+    assert [tuple(r) for r in found.collect()] == [("r", "a", 2, 6)]
+    assert not any("ext_id" in line and "regexp_extract_all" in line for line in optimized(found).splitlines())

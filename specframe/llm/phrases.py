@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
-from itertools import chain, compress
 
 import numpy as np
 import pyarrow as pa
@@ -23,10 +22,12 @@ TRIGGER, CUT = 64, 4096
 FILTER_BITS = 27
 NO_LANGUAGE = "und"
 CACHE_ENTRIES = 800_000
-#: Hashes that a task holds before it passes their counts on.
-HELD = 1 << 21
+#: Hashes that a task holds before it passes their counts on, and about as many phrases' hashes go to one task.
+HELD, GROUP = 1 << 22, 1 << 20
 BREAK = b"."
 _LOWER = bytes(ord(".") if chr(b) in ",;:!?\n\x0b\x0c\r" else ord(" ") if b == 9 else b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: Counts travel in the low bits of a hash: 40 bits tell phrases apart, 24 hold their count.
+_LOW = np.uint64((1 << 24) - 1)
 _M = [np.uint64(m) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
@@ -39,7 +40,6 @@ class _Hashes(dict):
 
 
 _WORDS = _Hashes()
-_BREAK = np.uint64(xxhash.xxh64_intdigest(BREAK))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -54,12 +54,26 @@ def tokens(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_LOWER).replace(b".", b" . ").split()
 
 
-def _hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def _eights(data: np.ndarray) -> np.ndarray:
+    """At ``i`` the eight bytes that end before ``data[i]``; zeros stand around the data."""
+    padded = np.concatenate([np.zeros(8, np.uint8), data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 9,), np.dtype("<u8"), padded, strides=(1,))
+
+
+def _hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 bits for each word: of its length and bytes up to 16 bytes, else of its XXH64."""
+    eights, size = _eights(data), ends - starts
+    left = (8 * np.maximum(8 - size, 0)).astype(np.uint64)
+    head = eights[starts + 8] << left
+    tail = np.where(size > 8, eights[ends], np.uint64(0))
+    h = _mix(_mix(head + size.astype(np.uint64) * _M[1]) + tail * _M[2])
+    for i in np.flatnonzero(size > 16).tolist():
+        h[i] = _WORDS[data[starts[i]:ends[i]].tobytes()]
+    return h
 
 
 def parse(words: list[bytes], longest: int = LONGEST) -> list[tuple[bytes, int]]:
-    """Chunks of a text: their words joined by blanks, and at how many of them phrases start.
+    """Chunks of a text: their words, a blank behind each, and at how many of them phrases start.
 
     A chunk ends behind a word where the hash of the last eight bytes says so, and goes on for
     ``longest - 1`` words into the next one.  So every phrase lies whole in the chunk that
@@ -68,36 +82,39 @@ def parse(words: list[bytes], longest: int = LONGEST) -> list[tuple[bytes, int]]
     line = b" ".join([*words, BREAK, b""])
     data = np.frombuffer(line, np.uint8)
     ends = np.flatnonzero(data == 32)
-    n, context = len(ends), np.zeros(len(ends), np.uint64)
-    for k in range(8):
-        at = ends - 1 - k
-        context = context << np.uint64(8) | np.where(at >= 0, data[np.maximum(at, 0)], 0).astype(np.uint64)
-    cuts = np.flatnonzero(_mix(context) % np.uint64(TRIGGER) == 0) + 1
-    out, start, places = [], 0, [-1, *ends.tolist()]
+    n = len(ends)
+    cuts = np.flatnonzero(_mix(_eights(data)[ends]) % np.uint64(TRIGGER) == 0) + 1
+    stops, start = [0], 0
     for end in [*cuts.tolist(), n]:
         while start < end:
-            stop = min(end, start + CUT)
-            out.append((line[places[start] + 1:places[min(n, stop + longest - 1)]], stop - start))
-            start = stop
-    return out
+            start = min(end, start + CUT)
+            stops.append(start)
+    places, at = np.concatenate([[0], ends + 1]), np.array(stops)
+    begins, finals = places[at[:-1]].tolist(), places[np.minimum(n, at[1:] + longest - 1)].tolist()
+    return [(line[a:b], own) for a, b, own in zip(begins, finals, np.diff(at).tolist(), strict=True)]
 
 
 def dictionary(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """``(lang, chunk, own, freq)``: the distinct chunks of each language and how often they
-    occur, from ``(text, lang)``."""
+    """``(lang, chunk, own, freq, n)``: the distinct chunks of each language and how often they
+    occur, from ``(text, lang)``; all ``n`` of a language add up to its words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "text"):
                 count: Counter[tuple[str, bytes, int]] = Counter()
+                total: Counter[str] = Counter()
                 for text, lang in zip(part.column("text").cast(pa.binary()).to_pylist(), part.column("lang").to_pylist(), strict=True):
-                    count.update((lang, *c) for c in parse(tokens(text), longest))
+                    words = tokens(text)
+                    total[lang] += len(words) - words.count(BREAK)
+                    count.update((lang, *c) for c in parse(words, longest))
                 langs, chunks, owns = zip(*count, strict=True) if count else ((), (), ())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(owns, pa.int32()), pa.array(count.values(), pa.int64())],
-                    names=["lang", "chunk", "own", "freq"])
+                    [pa.array(langs, pa.string()), pa.array(chunks, pa.binary()), pa.array(owns, pa.int32()), pa.array(count.values(), pa.int64()),
+                     pa.array([total.pop(lang, 0) for lang in langs], pa.int64())],
+                    names=["lang", "chunk", "own", "freq", "n"])
 
     rows = docs.select("text", F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"))
-    return rows.mapInArrow(run, "lang string, chunk binary, own int, freq long").groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq"))
+    return rows.mapInArrow(run, "lang string, chunk binary, own int, freq long, n long").groupBy("lang", "chunk", "own").agg(
+        F.sum("freq").alias("freq"), F.sum("n").alias("n"))
 
 
 class Filter:
@@ -119,191 +136,195 @@ class Filter:
         return (table[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1)).astype(bool)
 
 
-def _short(hashes: np.ndarray) -> np.ndarray:
-    """32 bits of each word's hash; 0 for ``BREAK`` alone."""
-    return np.where(hashes == _BREAK, np.uint32(0), np.maximum(hashes.astype(np.uint32), np.uint32(1)))
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a column's values, and where each value starts and the last one ends."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    places = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2] or b"", np.uint8)[places[0]:places[-1]], places - places[0]
+
+
+def _values(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    places = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(places.tobytes()), pa.py_buffer(data.tobytes())])
 
 
 class _Chunks:
-    """A batch of chunks by the hashes of their words, side by side."""
+    """A batch of chunks by the hashes of their words, side by side: ``short`` has 32 bits of
+    each word's hash, 0 for ``BREAK`` alone."""
 
-    def __init__(self, part: pa.RecordBatch, hashes: np.ndarray, sizes: np.ndarray):
-        self.short, self.whole = hashes, hashes != 0
+    def __init__(self, part: pa.RecordBatch, short: np.ndarray, sizes: np.ndarray):
+        self.short = short
         self.chunk = np.repeat(np.arange(len(sizes)), sizes)
         first = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        self.own = np.arange(len(hashes)) - first < np.repeat(part.column("own").to_numpy().astype(np.int64), sizes)
-        self.freq = np.repeat(part.column("freq").to_numpy(), sizes)
+        self.own = np.arange(len(short)) - first < np.repeat(part.column("own").to_numpy().astype(np.int64), sizes)
+        self.freq = part.column("freq").to_numpy()
         langs = part.column("lang").to_pylist()
         names = {lang: k for k, lang in enumerate(dict.fromkeys(langs))}
-        self.lang_names = list(names)
-        self.lang = np.repeat(np.array([names[x] for x in langs], np.int64), sizes)
-        self.seed = _hashes_of_langs(self.lang_names)[self.lang] if names else np.zeros(0, np.uint64)
-
-    def phrases(self, longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """For each length the hash of the phrase from each word on, and where it is one."""
-        short = self.short.astype(np.uint64)
-        h, ok = _mix(self.seed + short), self.whole
-        yield 1, h, ok
-        for k in range(2, longest + 1):
-            if len(h) < 2:
-                return
-            h = _mix(h[:-1] * _M[2] + short[k - 1:])
-            ok = ok[:-1] & self.whole[k - 1:]
-            yield k, h, ok
+        self.lang_names = pa.array(list(names), pa.string())
+        self.lang = np.array([names[x] for x in langs], np.int64)
+        self.seeds = np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in names), np.uint64, len(names))
+
+    def phrases(self, filters: dict[int, Filter], longest: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """For each size up to ``longest`` the places of the phrases, and their hashes: of those
+        that pass the filter of their size, if there is one, and whose parts all pass theirs."""
+        at = np.flatnonzero(self.short)
+        h = _mix(self.seeds[self.lang[self.chunk[at]]] + self.short[at])
+        for k in range(1, longest + 1):
+            if k > 1:
+                both = np.flatnonzero(at[1:] == at[:-1] + 1)
+                at, h = at[both], h[both]
+                h = _mix(h * _M[2] + self.short[at + k - 1])
+            if k in filters:
+                passed = filters[k].has(h)
+                at, h = at[passed], h[passed]
+            yield k, at, h
 
 
 def _hashed(part: pa.RecordBatch) -> _Chunks:
     """Chunks by the hashes that stand beside them."""
-    data = part.column("hashes").to_pylist()
-    return _Chunks(part, np.frombuffer(b"".join(data), np.uint32), np.array([len(d) // 4 for d in data], np.int64))
+    data, places = _flat(part.column("hashes"))
+    return _Chunks(part, np.frombuffer(data.tobytes(), np.uint32), np.diff(places) // 4)
 
 
 class _Words(_Chunks):
-    """Chunks with their words."""
+    """Chunks with their words, each from its start to the blank behind it."""
 
     def __init__(self, part: pa.RecordBatch):
-        lists = [c.split() for c in part.column("chunk").to_pylist()]
-        self.words = list(chain.from_iterable(lists))
-        self.hashes = _hashes(self.words)
-        super().__init__(part, _short(self.hashes), np.array([len(x) for x in lists], np.int64))
+        self.data, places = _flat(part.column("chunk"))
+        self.ends = np.flatnonzero(self.data == 32)
+        self.starts = np.concatenate([[0], self.ends + 1])[:-1]
+        self.hashes = _hashes(self.data, self.starts, self.ends)
+        breaks = (self.ends - self.starts == 1) & (self.data[self.starts] == BREAK[0])
+        short = np.where(breaks, np.uint32(0), np.maximum(self.hashes.astype(np.uint32), np.uint32(1)))
+        super().__init__(part, short, np.diff(np.searchsorted(self.ends, places)))
+
+
+def _summed(packed: np.ndarray) -> np.ndarray:
+    """Each hash once, with the sum of its counts, as far as the low bits hold it."""
+    if not len(packed):
+        return packed
+    packed = np.sort(packed)
+    h = packed & ~_LOW
+    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+    return h[first] | np.minimum(np.add.reduceat(packed & _LOW, first), _LOW)
 
 
-def _hashes_of_langs(langs: list[str]) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(x, 1) for x in langs), np.uint64, len(langs))
+def _packed(counts: np.ndarray) -> bytes:
+    """Ascending hashes as differences, and counts, byte by byte, so that equal bytes meet."""
+    steps = np.diff(counts >> np.uint64(24), prepend=np.uint64(0)) << np.uint64(24) | counts & _LOW
+    return pa.Codec("zstd").compress(steps.view(np.uint8).reshape(-1, 8).T.tobytes(), asbytes=True)
 
 
-def _counted(h: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not len(h):
-        return h, freq
-    order = np.argsort(h)
-    h, freq = h[order], freq[order]
-    first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-    return h[first], np.add.reduceat(freq, first)
+def _unpacked(data: bytes, rows: int) -> np.ndarray:
+    planes = np.frombuffer(pa.Codec("zstd").decompress(data, 8 * rows, asbytes=True), np.uint8)
+    steps = np.ascontiguousarray(planes.reshape(8, -1).T).view(np.uint64).ravel()
+    return np.cumsum(steps >> np.uint64(24), dtype=np.uint64) << np.uint64(24) | steps & _LOW
 
 
-def frequent_hashes(chunks: DataFrame, size: int, shorter: Filter, least: int) -> DataFrame:
-    """Hashes ``h`` of the phrases of ``size`` words whose counts reach ``least``, and of
-    those that share a hash with others and reach it together; of phrases alone whose
-    first and last ``size - 1`` words pass ``shorter``, as all parts of a frequent one do."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(h, freq):
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(freq)], names=["h", "freq"])
+def hash_counts(chunks: DataFrame, size: int, filters: dict[int, Filter], groups: int) -> DataFrame:
+    """``(part, rows, counts)``: packed counts of the hashes of phrases of ``size`` words all parts
+    of which pass ``filters``, dealt by their first bits to ``groups``, a power of two."""
+    column, made = ("hashes", _hashed) if "hashes" in chunks.columns else ("chunk", _Words)
+    bounds = np.array([k * ((1 << 64) // groups) for k in range(1, groups)], np.uint64)
+
+    def deal(held: list[np.ndarray]) -> pa.RecordBatch:
+        parts = np.split(counts := _summed(np.concatenate(held)), np.searchsorted(counts, bounds))
+        filled = [(k, len(x), _packed(x)) for k, x in enumerate(parts) if len(x)]
+        columns = zip(*filled, strict=True) if filled else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int32(), pa.int32(), pa.binary()), strict=True)], names=["part", "rows", "counts"])
 
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
         waiting = 0
         for batch in batches:
-            for part in by_bytes(batch, "hashes"):
-                work, before = _hashed(part), None
-                for k, h, ok in work.phrases(size):
-                    if k == size - 1:
-                        before = shorter.has(h) & ok
-                    if k == size:
-                        at = np.flatnonzero(before[:-1] & before[1:] & ok & work.own[:len(ok)])
-                        held.append(_counted(h[at], work.freq[at]))
-                        waiting += len(held[-1][0])
+            for part in by_bytes(batch, column):
+                work = made(part)
+                *_, (_, at, h) = work.phrases(filters, size)
+                mine = work.own[at]
+                freq = np.minimum(work.freq[work.chunk[at[mine]]], int(_LOW)).astype(np.uint64)
+                held.append(_summed(h[mine] & ~_LOW | freq))
+                waiting += len(held[-1])
                 if waiting > HELD:
-                    yield out(*_counted(*map(np.concatenate, zip(*held, strict=True))))
+                    yield deal(held)
                     held, waiting = [], 0
         if held:
-            yield out(*_counted(*map(np.concatenate, zip(*held, strict=True))))
-
-    return chunks.select("lang", "own", "freq", "hashes").mapInArrow(run, "h long, freq long").groupBy("h").agg(F.sum("freq").alias("f")).filter(F.col("f") >= least).select("h")
+            yield deal(held)
 
+    return chunks.select("lang", "own", "freq", column).mapInArrow(run, "part int, rows int, counts binary")
 
-def word_counts(chunks: DataFrame) -> DataFrame:
-    """``(lang, phrase, f)``: how often each word occurs, in its own part of the chunks."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in by_bytes(batch, "chunk"):
-                found: defaultdict[str, Counter[bytes]] = defaultdict(Counter)
-                columns = (part.column(c).to_pylist() for c in ("lang", "chunk", "own", "freq"))
-                for lang, chunk, own, freq in zip(*columns, strict=True):
-                    words = chunk.split()[:own]
-                    if freq == 1:
-                        found[lang].update(words)
-                    else:
-                        count = found[lang]
-                        for word in words:
-                            count[word] += freq
-                for lang, count in found.items():
-                    del count[BREAK]
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(count), pa.string()), pa.array(count.keys(), pa.binary()).cast(pa.string()), pa.array(count.values(), pa.int64())],
-                        names=["lang", "phrase", "f"])
 
-    return chunks.mapInArrow(run, "lang string, phrase string, f long").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
+def frequent_hashes(chunks: DataFrame, size: int, filters: dict[int, Filter], least: int, groups: int) -> DataFrame:
+    """Hashes ``h`` of the phrases of ``size`` words whose counts reach ``least``, and of
+    those that share 40 bits of a hash with others and reach it together; of phrases alone
+    all parts of which pass ``filters``, as those of a frequent one do."""
+    least = min(least, int(_LOW))
 
+    def add(group: pa.Table) -> pa.Table:
+        held = zip(group.column("counts").to_pylist(), group.column("rows").to_pylist(), strict=True)
+        counts = _summed(np.concatenate([_unpacked(data, n) for data, n in held]))
+        return pa.table({"h": pa.array((counts[counts & _LOW >= np.uint64(least)] & ~_LOW).view(np.int64))})
 
-def word_hashes(words: DataFrame) -> DataFrame:
-    """``h`` of the words of ``(lang, phrase)``, as phrases of one word have it."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            seed = _hashes_of_langs(batch.column("lang").to_pylist())
-            h = _mix(seed + _short(_hashes(batch.column("phrase").cast(pa.binary()).to_pylist())).astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
-
-    return words.select("lang", "phrase").mapInArrow(run, "h long")
+    return hash_counts(chunks, size, filters, groups).groupBy("part").applyInArrow(add, "h long")
 
 
 def without_rare(chunks: DataFrame, frequent: Filter) -> DataFrame:
     """The chunks with a break in place of each stretch of words that are not frequent, as no
     frequent phrase holds one, and with ``hashes`` of what stays, 32 bits a word;
-    chunks without two neighbouring words drop out."""
+    chunks drop out if no phrase can start in them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "chunk"):
-                work = _Words(part)
-                if not len(work.words):
-                    continue
-                (_, h, ok), *_ = work.phrases(1)
-                keep = frequent.has(h) & ok
-                inside = np.concatenate([[False], work.chunk[1:] == work.chunk[:-1]])
-                stay = keep | np.concatenate([[False], keep[:-1]]) & inside
-                pair = np.concatenate([[False], keep[1:] & keep[:-1]]) & inside
-                rows = part.num_rows
-                useful = np.bincount(work.chunk[pair], minlength=rows) > 0
-                sizes = np.bincount(work.chunk[stay], minlength=rows)
-                owns = np.bincount(work.chunk[stay & work.own], minlength=rows)
-                words = [w if k else BREAK for w, k in zip(compress(work.words, stay.tolist()), keep[stay].tolist(), strict=True)]
-                ends = np.cumsum(sizes)
-                at = np.flatnonzero(useful & (owns > 0))
-                text = [b" ".join(words[e - n:e]) for e, n in zip(ends[at].tolist(), sizes[at].tolist(), strict=True)]
-                short = np.where(keep, work.short, np.uint32(0))[stay].tobytes()
-                hashes = [short[4 * (e - n):4 * e] for e, n in zip(ends[at].tolist(), sizes[at].tolist(), strict=True)]
-                taken = pa.array(at)
+                work, rows = _Words(part), part.num_rows
+                (_, at, _), = work.phrases({1: frequent}, 1)
+                keep = np.zeros(len(work.short), bool)
+                keep[at] = True
+                useful = np.bincount(work.chunk[keep & work.own], minlength=rows) > 0
+                keep &= useful[work.chunk]
+                cut = np.concatenate([[False], keep[:-1] & (work.chunk[1:] == work.chunk[:-1])])[:len(keep)] & ~keep
+                stay = keep | cut
+                data, bytes_kept = work.data.copy(), np.repeat(keep, work.ends - work.starts + 1)
+                data[work.starts[cut]] = BREAK[0]
+                bytes_kept[work.starts[cut]] = bytes_kept[work.ends[cut]] = True
+                size = np.where(keep, work.ends - work.starts + 1, 2 * cut)
+                taken = np.flatnonzero(useful)
+
+                def per_chunk(values: np.ndarray) -> np.ndarray:
+                    return np.bincount(work.chunk, values, rows).astype(np.int64)[taken]
+
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("lang").take(taken), pa.array(text, pa.binary()), pa.array(owns[at].astype(np.int32)), part.column("freq").take(taken),
-                     pa.array(hashes, pa.binary())], names=["lang", "chunk", "own", "freq", "hashes"])
+                    [part.column("lang").take(pa.array(taken)), _values(data[bytes_kept], per_chunk(size)), pa.array(per_chunk(stay & work.own).astype(np.int32)),
+                     part.column("freq").take(pa.array(taken)), _values(np.where(keep, work.short, np.uint32(0))[stay].view(np.uint8), per_chunk(4 * stay))],
+                    names=["lang", "chunk", "own", "freq", "hashes"])
 
-    return chunks.mapInArrow(run, "lang string, chunk binary, own int, freq long, hashes binary")
+    return chunks.select("lang", "chunk", "own", "freq").mapInArrow(run, "lang string, chunk binary, own int, freq long, hashes binary")
 
 
 def exact_counts(chunks: DataFrame, filters: dict[int, Filter], longest: int) -> DataFrame:
-    """``(lang, phrase, words, f)``: how often phrases of two words or more occur, by their full
-    text, if they pass the filter of their size; the longest ones, which have none, if
-    their first and last words pass the filter of a word less."""
+    """``(lang, phrase, words, f)``: how often phrases occur, by their full text, if they and
+    all their parts pass the filters of their sizes; the longest ones have none."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in by_bytes(batch, "chunk"):
-                work, before = _Words(part), None
-                for k, h, ok in work.phrases(longest):
-                    passed = filters[k].has(h) & ok if k < longest else before[:-1] & before[1:] & ok
-                    before = passed
-                    at = np.flatnonzero(passed & work.own[:len(ok)]) if k > 1 else np.zeros(0, np.int64)
-                    if not len(at):
+                work = _Words(part)
+                for k, at, h in work.phrases(filters, longest):
+                    mine = np.flatnonzero(work.own[at])
+                    if not len(mine):
                         continue
-                    at = at[np.argsort(h[at], kind="stable")]
-                    new = (h[at][1:] != h[at][:-1]) | (work.lang[at[1:]] != work.lang[at[:-1]])
+                    mine = mine[np.argsort(h[mine])]
+                    at, h = at[mine], h[mine]
+                    lang = work.lang[work.chunk[at]]
+                    new = (h[1:] != h[:-1]) | (lang[1:] != lang[:-1])
                     for i in range(k):  # words that differ under one hash make rows of their own
-                        new |= work.hashes[at[1:] + i] != work.hashes[at[:-1] + i]
+                        word = work.hashes[at + i]
+                        new |= word[1:] != word[:-1]
                     first = np.flatnonzero(np.concatenate([[True], new]))
-                    freq = np.add.reduceat(work.freq[at], first)
-                    starts = at[first]
-                    names, words = work.lang_names, work.words
+                    freq = np.add.reduceat(work.freq[work.chunk[at]], first)
+                    starts, ends = work.starts[at[first]], work.ends[at[first] + k - 1]
+                    size = ends - starts
+                    texts = work.data[np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([names[x] for x in work.lang[starts].tolist()], pa.string()),
-                         pa.array([b" ".join(words[s:s + k]) for s in starts.tolist()], pa.binary()).cast(pa.string()),
-                         pa.array(np.full(len(starts), k, np.int32)), pa.array(freq)],
+                        [work.lang_names.take(pa.array(lang[first])), _values(texts, size).cast(pa.string()), pa.array(np.full(len(first), k, np.int32)), pa.array(freq)],
                         names=["lang", "phrase", "words", "f"])
 
     found = chunks.select("lang", "chunk", "own", "freq").mapInArrow(run, "lang string, phrase string, words int, f long")
@@ -315,15 +336,15 @@ def phrase_counts(docs: DataFrame, least: int = LEAST_COUNT, longest: int = LONG
     times, and ``(lang, n)``, all words of a language; both written."""
     spark = docs.sparkSession
     chunks = materialize(dictionary(docs, longest), "chunks")
-    single = materialize(word_counts(chunks), "words")
-    totals = materialize(single.groupBy("lang").agg(F.sum("f").alias("n")), "totals")
-    frequent = single.filter(F.col("f") >= least)
-    filters = {1: Filter(spark, word_hashes(frequent), bits)}
-    chunks = materialize(without_rare(chunks, filters[1]), "frequent-chunks")
-    for k in range(2, longest):
-        filters[k] = Filter(spark, frequent_hashes(chunks, k, filters[k - 1], least), bits)
-    longer = exact_counts(chunks, filters, longest).filter(F.col("f") >= least)
-    return materialize(frequent.select("lang", "phrase", F.lit(1).alias("words"), "f").union(longer), "phrases"), totals
+    totals = materialize(chunks.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
+    words = chunks.agg(F.sum("own")).first()[0] or 0
+    groups = 1 << (words // GROUP).bit_length()
+    filters: dict[int, Filter] = {}
+    for k in range(1, longest):
+        filters[k] = Filter(spark, frequent_hashes(chunks, k, filters, least, groups), bits)
+        if k == 1:
+            chunks = materialize(without_rare(chunks, filters[1]), "frequent-chunks")
+    return materialize(exact_counts(chunks, filters, longest).filter(F.col("f") >= least), "phrases"), totals
 
 
 def scored(counts: DataFrame, totals: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from specframe.llm import phrases
@@ -88,3 +89,48 @@ def test_odd_rows(spark, odd_docs, no_docs):
     want = slow([(r["text"], r["lang"]) for r in odd_docs.collect()], 2, 5, 2000)
     assert got == sorted(want) and ("en", 1, "plain words here", 2, 2, 2, 10, 5000) in got
     assert phrases.collocations(no_docs).collect() == []
+
+
+def test_packed_counts(monkeypatch):
+    rnd = np.random.default_rng(3)
+    hashes = rnd.integers(0, 1 << 64, 5000, np.uint64) & ~phrases._LOW
+    count = rnd.integers(1, 1000, 5000).astype(np.uint64)
+    count[:3] = phrases._LOW - np.uint64(5)
+    twice = phrases._summed(np.concatenate([hashes | count, hashes | count]))
+    got = phrases._unpacked(phrases._packed(twice), len(twice))
+    assert np.array_equal(got, twice) and len(got) == len(set(hashes.tolist()))
+    want = dict(zip(hashes.tolist(), np.minimum(2 * count, phrases._LOW).tolist(), strict=True))
+    assert {h: c for h, c in zip((got & ~phrases._LOW).tolist(), (got & phrases._LOW).tolist(), strict=True)} == want
+    assert len(phrases._packed(twice)) < 8 * len(twice)
+    assert phrases._unpacked(phrases._packed(twice[:0]), 0).tolist() == []
+
+
+def test_hashes_of_words():
+    words = [b"a" * n for n in range(1, 40)] + [b"ab", b"ba", b"\0", b"\0\0", b"abcdefgh\0", b"abcdefgh", "日本".encode(), b"x" * 16 + b"y" * 9, b"x" * 17 + b"y" * 8]
+    data = np.frombuffer(b"".join(w + b" " for w in words), np.uint8)
+    ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    starts = ends - [len(w) for w in words]
+    h = phrases._hashes(data, starts, ends)
+    assert len(set(h.tolist())) == len(words)
+    alone = [phrases._hashes(np.frombuffer(w + b" ", np.uint8), np.array([0]), np.array([len(w)]))[0] for w in words]
+    assert h.tolist() == alone
+
+
+def test_counts_are_dealt_to_several_parts(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(phrases, "GROUP", 100)
+    monkeypatch.setattr(phrases, "HELD", 50)
+    rows = corpus(4)
+    docs = make_docs([(i, t, lang, "a") for i, (t, lang) in enumerate(rows)]).repartition(3)
+    got = phrases.collocations(docs, 5, 5, 2000).collect()
+    assert sorted(map(tuple, got)) == sorted(slow(rows, 5, 5, 2000))
+
+
+def test_pairs_travel_in_few_rows(spark, make_docs):
+    """A row holds the counts of many phrases, so rows do not grow with phrases."""
+    rnd = random.Random(5)
+    docs = make_docs([(i, " ".join(f"w{rnd.randrange(60)}" for _ in range(200)), "en", "a") for i in range(40)]).repartition(2)
+    chunks = phrases.dictionary(docs)
+    words = phrases.frequent_hashes(chunks, 1, {}, 5, 2)
+    clean = phrases.without_rare(chunks, phrases.Filter(spark, words, 16)).coalesce(2)
+    assert phrases.frequent_hashes(clean, 2, {}, 1, 4).count() > 3000
+    assert phrases.hash_counts(clean, 2, {}, 4).count() <= 2 * 4

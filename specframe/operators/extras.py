@@ -44,21 +44,25 @@ def k_hop(edges: DataFrame, seeds: DataFrame, k: int, direction: str = "out") ->
     """Nodes within ``k`` steps of each seed, ``(project_id, seed, id, hops)``, the seed at 0.
 
     Breadth first: each round joins only the newest frontier with the edges, drops what
-    was reached before, and is written out.  ``direction``: ``out``, ``in`` or ``both``."""
+    was reached before, and is written out.  ``direction``: ``out``, ``in`` or ``both``.
+
+    Repeated edges are not dropped by a shuffle of their own, as each round keeps a pair of seed
+    and node once.  Keys begin with the node: sorts compare the first bytes of the first key,
+    and those of the project are the same in most rows."""
     out = edges.select(P, F.col("src").alias("id"), F.col("dst").alias("to"))
     back = edges.select(P, F.col("dst").alias("id"), F.col("src").alias("to"))
-    steps = materialize({"out": out, "in": back, "both": out.unionByName(back)}[direction].distinct(), "steps")
-    frontier = seeds.select(P, F.col("id").alias("seed"), "id").distinct()
+    steps = materialize({"out": out, "in": back, "both": out.unionByName(back)}[direction], "steps")
+    frontier = seeds.select("id", F.col("id").alias("seed"), P).distinct()
     reached = materialize(frontier.withColumn("hops", F.lit(0)), "hops")
     frontier = reached.drop("hops")
     for hop in range(1, k + 1):
-        new = steps.join(broadcast_if_small(frontier), [P, "id"]).select(P, "seed", F.col("to").alias("id")).distinct()
-        fresh = materialize(new.join(reached, [P, "seed", "id"], "left_anti").withColumn("hops", F.lit(hop)), "hops")
+        new = steps.join(broadcast_if_small(frontier), ["id", P]).select(F.col("to").alias("id"), "seed", P).distinct()
+        fresh = materialize(new.join(reached, ["id", "seed", P], "left_anti").withColumn("hops", F.lit(hop)), "hops")
         if fresh.isEmpty():
             break
         reached = reached.unionByName(fresh)
         frontier = fresh.drop("hops")
-    return reached
+    return reached.select(P, "seed", "id", "hops")
 
 
 def cluster_modules(edges: DataFrame, rounds: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from specframe.operators import extras
 from specframe.operators import graph as G
 
 NODE = ("project_id string, pos long, id string, kind string, name string, scope string, file string, line int")
@@ -197,3 +198,32 @@ def test_nodes_without_an_id_have_no_element(spark):
     got = {(r.project_id, r.check): r.failures for r in G.skeleton_checks(nodes, elements).collect()}
     assert got == {("p", "nodes_without_element"): 2, ("p", "wrong_provenance"): 0, ("p", "contract_not_empty"): 2,
                    ("q", "nodes_without_element"): 1, ("q", "wrong_provenance"): 0, ("q", "contract_not_empty"): 0}
+
+
+@pytest.mark.parametrize("direction", ["out", "in", "both"])
+def test_k_hop_of_repeated_edges(spark, monkeypatch, direction):
+    """Cycles, loops and edges that stand several times, against breadth first search; edges
+    are not shuffled only to drop repeated ones."""
+    rng = random.Random(7)
+    rows = [(p, f"n{rng.randrange(25)}", f"n{rng.randrange(25)}") for p in "ab" for _ in range(40)]
+    rows += rows[:30] * 3 + [("a", "n1", "n1"), ("a", "n1", None), ("b", None, "n1")]
+    seeds = [("a", "n1"), ("a", "n1"), ("a", "n2"), ("b", "n1"), ("b", "gone")]
+    plans = {}
+    write = extras.materialize
+    monkeypatch.setattr(extras, "materialize", lambda df, label: plans.setdefault(label, df) is None or write(df, label))
+    got = extras.k_hop(spark.createDataFrame(rows, "project_id string, src string, dst string"), spark.createDataFrame(seeds, "project_id string, id string"), 3, direction)
+    assert got.columns == ["project_id", "seed", "id", "hops"]
+    assert "Aggregate" not in plans["steps"]._jdf.queryExecution().optimizedPlan().toString()
+    steps = {(p, a, b) for p, a, b in rows} if direction == "out" else {(p, b, a) for p, a, b in rows}
+    if direction == "both":
+        steps |= {(p, a, b) for p, a, b in rows}
+    want = set()
+    for p, seed in set(seeds):
+        seen, frontier = {seed: 0}, {seed}
+        for hop in range(1, 4):
+            frontier = {b for q, a, b in steps if q == p and a is not None and a in frontier and b not in seen}
+            seen |= dict.fromkeys(frontier, hop)
+        want |= {(p, seed, node, hop) for node, hop in seen.items()}
+    found = [tuple(r) for r in got.collect()]
+    assert len([r for r in found if r[2] is not None]) == len({r for r in found if r[2] is not None})
+    assert {r for r in found if r[2] is not None} == {r for r in want if r[2] is not None}

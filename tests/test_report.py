@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from specframe import schemas as S
 from specframe.functions import names as N
 from specframe.operators import report as J
+from specframe.sources import sinks
 
 
 def text(frames):
@@ -31,3 +32,28 @@ def test_versions_of_any_length(spark):
     df = spark.createDataFrame([(a, b) for a, b, _ in cases], "a string, b string")
     got = [r[0] for r in df.select(N.version_before(F.col("a"), F.col("b"))).collect()]
     assert got == [want for *_, want in cases]
+
+
+def test_elements_of_one_file_are_dealt(spark, tmp_path):
+    """Each element makes many lines, so a small file of elements is spread before."""
+    elements = spark.sql("""SELECT 'p' AS project_id, id AS pos, concat('e', id) AS element_id, 'class' AS hierarchy_level, 'n' AS name, 'f' AS file, 1 AS line,
+        CAST(NULL AS STRING) AS notes, named_struct('confidence', 'high', 'source', 's', 'status', 'confirmed') AS metadata FROM range(0, 400, 1, 1)""")
+    elements = elements.withColumn("contract", F.from_json(F.lit('{"purpose": "x"}'), S.CONTRACT))
+    _, _, body, _ = J.element_lines(elements, spark.range(1).select(F.lit("p").alias("project_id")))
+    by_task = body.groupBy(F.spark_partition_id()).count().collect()
+    assert len(by_task) > 1 and sum(r["count"] for r in by_task) == body.count()
+    assert max(r["count"] for r in by_task) < body.count() / 2
+
+
+def test_review_lines_are_made_once(spark, tmp_path):
+    made = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    lines = spark.sql("SELECT 'p' AS project_id, id AS pos, concat('l', id) AS text FROM range(0, 5000, 1, 4)").mapInArrow(run, "project_id string, pos long, text string")
+    sinks.write_reviews(lines, str(tmp_path / "reviews"))
+    got = [(r["number"], r["text"]) for r in sinks.read_reviews(spark, str(tmp_path / "reviews")).orderBy("number").collect()]
+    assert got == [(i, f"l{i}") for i in range(5000)] and made.value == 5000

@@ -34,7 +34,7 @@ def test_versions_of_any_length(spark):
     assert got == [want for *_, want in cases]
 
 
-def test_elements_of_one_file_are_dealt(spark, tmp_path):
+def test_elements_of_one_file_are_dealt(spark):
     """Each element makes many lines, so a small file of elements is spread before."""
     elements = spark.sql("""SELECT 'p' AS project_id, id AS pos, concat('e', id) AS element_id, 'class' AS hierarchy_level, 'n' AS name, 'f' AS file, 1 AS line,
         CAST(NULL AS STRING) AS notes, named_struct('confidence', 'high', 'source', 's', 'status', 'confirmed') AS metadata FROM range(0, 400, 1, 1)""")

@@ -140,6 +140,7 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of a column's values, and where each value starts and the last one ends."""
     if not len(column):
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
+    column = column.cast(pa.binary())
     places = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1].astype(np.int64)
     return np.frombuffer(column.buffers()[2] or b"", np.uint8)[places[0]:places[-1]], places - places[0]
 

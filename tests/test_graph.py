@@ -191,6 +191,25 @@ def test_few_repeated_ids_move_no_rows(spark, monkeypatch):
     assert got == {r.id: (r.element_id, r.is_collision) for r in again} and "ids-function" in written
 
 
+NESTED = [("p", 0, "m", "module", "m", None, "src/m.py", 1)] + [
+    ("p", 1 + i, f"o{i}", "class", f"O{i % 20}", "m", "src/m.py", i) for i in range(40)] + [
+    ("p", 100 + i, f"i{i}", "class", "I", f"o{i % 40}", "src/m.py", 50 + i) for i in range(80)] + [
+    ("p", 200 + i, f"f{i}", "function", "f", f"i{i % 80}", "src/m.py", i % 3) for i in range(400)]
+
+
+def test_nested_classes_start_from_the_ids_above(spark, monkeypatch):
+    """Classes in classes need no second round, whether the outer ones collide or not, and rows that
+    are read once are not written again."""
+    sizes = {}
+    monkeypatch.setattr(G, "is_small", lambda *rows: False)
+    monkeypatch.setattr(G, "materialize", lambda df, label, inner=G.materialize: (lambda out: sizes.setdefault(label, out.count()) < 0 or out)(inner(df, label)))
+    got = ids_of(spark, NESTED)[0]
+    assert got["p", "o0"] == ("cls:m.O0", False) and got["p", "o20"] == ("cls:m.O0@20", True)
+    assert got["p", "i20"] == ("cls:m.O0@20.I", False) and got["p", "i60"] == ("cls:m.O0@20.I@110", True)
+    assert got["p", "f60"] == ("fn:m.O0@20.I@110/f", False) and got["p", "f140"] == ("fn:m.O0@20.I@110/f@2", True)
+    assert sizes["moved-class"] == sizes["delta-class"] == 0 and "bases-function" in sizes and "ids-function" not in sizes
+
+
 def test_nodes_without_an_id_have_no_element(spark):
     nodes = spark.createDataFrame([("p", None, "class"), ("p", "a", "class"), ("p", "b", "class"), ("q", "a", "class"), ("r", "x", "package")], "project_id string, id string, kind string")
     elements = spark.createDataFrame([("p", None, 1), ("p", "a", None), ("p", "a", 2)], "project_id string, node_ref string, contract int").withColumn(

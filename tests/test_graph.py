@@ -210,6 +210,21 @@ def test_nested_classes_start_from_the_ids_above(spark, monkeypatch):
     assert sizes["moved-class"] == sizes["delta-class"] == 0 and "bases-function" in sizes and "ids-function" not in sizes
 
 
+def test_inventory_counts_without_elements(spark, monkeypatch):
+    """As many as there are elements, IDs of several nodes counted once, from IDs alone."""
+    rows = [*NESTED, ("q", 0, "m", "module", "m", None, "src/m.py", 1), ("q", 1, "x", "block", "b", "m", "src/m.py", 1), ("r", 0, "x", "block", "b", None, "src/m.py", 1)]
+    meta = spark.createDataFrame([(p, "src", "python") for p in "pqr"], "project_id string, source_root string, language string")
+    nodes, found = frame(spark, rows), spark.createDataFrame([("p",), ("s",)], "project_id string")
+    elements = G.build_elements(nodes, meta)
+    want = {(r.project_id, r.item): r.n for r in G.element_counts(elements, found).collect()}
+    written = []
+    monkeypatch.setattr(G, "is_small", lambda *rows: False)
+    monkeypatch.setattr(G, "materialize", lambda df, label, inner=G.materialize: written.append(label) or inner(df, label))
+    got = {(r.project_id, r.item): r.n for r in G.inventory_counts(nodes, meta, found).collect()}
+    assert got == want and got["p", "total"] == elements.filter("project_id = 'p'").count() < 521 and got["s", "findings"] == 1
+    assert "ids-function" not in written
+
+
 def test_nodes_without_an_id_have_no_element(spark):
     nodes = spark.createDataFrame([("p", None, "class"), ("p", "a", "class"), ("p", "b", "class"), ("q", "a", "class"), ("r", "x", "package")], "project_id string, id string, kind string")
     elements = spark.createDataFrame([("p", None, 1), ("p", "a", None), ("p", "a", 2)], "project_id string, node_ref string, contract int").withColumn(

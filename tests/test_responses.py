@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from specframe import schemas as S
 from specframe.operators import prompts as G
 from specframe.operators import responses as R
+from specframe.operators import selection
 from specframe.operators.blocks import assemble_text
 from specframe.streaming.resumable import existing, resumable_apply, resumable_stream
 
@@ -169,3 +170,31 @@ def test_units_carry_only_what_prompts_need(spark, monkeypatch):
     monkeypatch.setattr(G, "materialize", lambda df, label: written.setdefault(label, df))
     G.prompts(*prompt_tables(spark))
     assert not {"member_ids", "class_id"} & set(written["prompt-units"].columns)
+
+
+def test_pending_units_are_written_without_prompts(spark, tmp_path, monkeypatch):
+    """Units are named and found again without their texts and without a look-up of their elements;
+    a unit that lacks an element is asked again, a whole one is not."""
+    from specframe.plans import jobs
+    from specframe.streaming import resumable
+    rows = [("p", "cls:a", 0, "class", None, "src/a.py", 1, "n0"), ("p", "fn:a/x", 1, "function", "cls:a", "src/x.py", 2, "n1"),
+            ("p", "fn:a/y", 2, "function", "cls:a", "src/y.py", 3, "n1"), ("p", "fn:z", 3, "function", "mod:m", "src/z.py", None, "n2"), ("p", "mod:m", 4, "module", None, None, 1, "n0")]
+    elements = spark.createDataFrame(rows, "project_id string, element_id string, pos int, hierarchy_level string, parent string, file string, line int, node_ref string")
+    groups, plain = (selection.group_elements(elements.withColumn("contract", F.lit(None).cast("string")), keep=k) for k in (G.UNIT_FIELDS, ()))
+    tables = prompt_tables(spark)[2:]
+    text = lambda df: sorted(map(tuple, df.select("group_id", "prompt", "expected_ids").collect()))
+    assert plain.columns == groups.columns[:6] and "file" not in plain.columns
+    assert text(G.prompts(groups, elements, *tables)) == text(G.prompts(plain, elements, *tables)) and groups.count() == 3
+
+    written = {}
+    monkeypatch.setattr(resumable, "materialize", lambda df, label, inner=resumable.materialize: written.setdefault(label, []).append(inner(df, label)) or written[label][-1])
+    spec = {"elements": elements.withColumns({"contract": F.lit(None).cast(S.struct(S.CONTRACT)), "metadata": F.lit(None).cast(S.struct(S.METADATA))}),
+            "findings": tables[1], "dependencies": tables[2]}
+    half = lambda prompt: json.dumps({"cls:a": {"purpose": "1"}, "fn:a/x": {"purpose": "1"}} if "  - cls:a" in prompt else {"purpose": "1"})
+    whole = lambda prompt: json.dumps({e: {"purpose": "2"} for e in ("cls:a", "fn:a/x", "fn:a/y")})
+    done = jobs.extract(spec, tables[0], half, str(tmp_path / "run"), "m", "now")
+    assert done["outcomes"].collect()[0].asDict() == {"project_id": "p", "successes": 4, "failures": 1}
+    done = jobs.extract(spec, tables[0], whole, str(tmp_path / "run"), "m", "now")
+    assert done["outcomes"].collect()[0].asDict() == {"project_id": "p", "successes": 5, "failures": 0}
+    assert {r.element_id: r.contract.purpose for r in done["elements"].collect()} == {"cls:a": "1", "fn:a/x": "1", "fn:a/y": "2", "fn:z": "1", "mod:m": "1"}
+    assert [df.count() for df in written["pending"]] == [3, 1] and all("prompt" not in df.columns for df in written["pending"])
